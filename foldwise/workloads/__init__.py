@@ -5,6 +5,7 @@ result, used as the correctness oracle."""
 from __future__ import annotations
 
 from foldwise.workloads.common import REGISTRY, Workload  # noqa: F401
+from foldwise.workloads import features as _features  # noqa: F401
 from foldwise.workloads import infold as _infold  # noqa: F401
 
 
