@@ -68,7 +68,7 @@ def with_position(df: DataFrame, order_by: Sequence[str | Column], pos_col: str
     offsets = counts.select(
         "_fw_pid", *group, "_fw_first",
         F.coalesce(F.sum("_fw_cnt").over(before), F.lit(0)).alias("_fw_off"),
-        F.sum("_fw_cnt").over(whole).alias("_fw_n"))
+        F.sum("_fw_cnt").over(whole).alias("_fw_gn"))
     if group:
         bound = None if max_groups is None else nparts * max_groups
         offsets, _ = size_checked_broadcast(offsets, known_max_rows=bound)
@@ -81,8 +81,8 @@ def with_position(df: DataFrame, order_by: Sequence[str | Column], pos_col: str
         joined = ranged.join(offsets, "_fw_pid", "inner")
     out = joined.withColumn(pos_col, F.col("_fw_off") + F.col("_fw_lix") - F.col("_fw_first"))
     if size_col:
-        out = out.withColumn(size_col, F.col("_fw_n"))
-    return out.drop("_fw_mid", "_fw_pid", "_fw_lix", "_fw_cnt", "_fw_first", "_fw_off", "_fw_n")
+        out = out.withColumn(size_col, F.col("_fw_gn"))
+    return out.drop("_fw_mid", "_fw_pid", "_fw_lix", "_fw_cnt", "_fw_first", "_fw_off", "_fw_gn")
 
 
 def with_trailing_window(df: DataFrame, order_by: Sequence[str | Column],

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from foldwise.workloads.common import REGISTRY, Workload  # noqa: F401
 from foldwise.workloads import features as _features  # noqa: F401
+from foldwise.workloads import folds as _folds  # noqa: F401
 from foldwise.workloads import infold as _infold  # noqa: F401
 from foldwise.workloads import profile as _profile  # noqa: F401
 
