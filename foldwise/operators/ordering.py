@@ -164,3 +164,30 @@ def near_monotonic(df: DataFrame, columns: Sequence[str], order_by: Sequence[str
     return agg.withColumn(
         "is_monotonic",
         (F.col("n_nonnull") >= 3) & F.coalesce(F.col("share_nondecreasing") >= F.lit(frac), F.lit(False)))
+
+
+def running_sums(df: DataFrame, order_by: Sequence[str | Column], values: Sequence[str],
+                 partition_by: Sequence[str] = (), suffix: str = "_cum",
+                 num_partitions: int | None = None) -> DataFrame:
+    """Inclusive running sums of ``values`` in ``order_by`` order (within
+    ``partition_by`` groups), computed without a single-task window: the
+    range-partitioned table is pinned in the checkpoint directory, each
+    (range partition, group) chunk is summed, the chunk prefix offsets come
+    from a table of one row per chunk, and the in-chunk running sum is a
+    window over the chunk only.  ``order_by`` must be unique within a group."""
+    nparts = _num_partitions(df, num_partitions)
+    group = list(partition_by)
+    keys = [*_cols(group), *_cols(order_by)]
+    ranged = materialize(df.repartitionByRange(nparts, *keys).withColumn("_fw_pid", F.spark_partition_id()))
+    chunk = ranged.groupBy("_fw_pid", *group).agg(*[F.sum(v).alias(f"_fw_t{i}") for i, v in enumerate(values)])
+    before = Window.partitionBy(*group).orderBy("_fw_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = chunk.select("_fw_pid", *group, *[F.coalesce(F.sum(f"_fw_t{i}").over(before), F.lit(0))
+                                                  .alias(f"_fw_o{i}") for i in range(len(values))])
+    offsets, _ = size_checked_broadcast(offsets, known_max_rows=None if group else nparts)
+    cond = [ranged["_fw_pid"] == offsets["_fw_pid"]] + [ranged[g].eqNullSafe(offsets[g]) for g in group]
+    joined = ranged.join(offsets, cond, "inner").drop(offsets["_fw_pid"])
+    for g in group:
+        joined = joined.drop(offsets[g])
+    w = Window.partitionBy("_fw_pid", *group).orderBy(*_cols(order_by)).rowsBetween(Window.unboundedPreceding, 0)
+    out = joined.withColumns({f"{v}{suffix}": F.sum(v).over(w) + F.col(f"_fw_o{i}") for i, v in enumerate(values)})
+    return out.drop("_fw_pid", *[f"_fw_o{i}" for i in range(len(values))])
