@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from foldwise.operators.folds import CONTIGUOUS, KFOLD, STRATIFIED, assign_folds, fit_mask
 from foldwise.operators.metrics import score
 from foldwise.operators.models import build_estimator
+from foldwise.session import materialize
 
 FEATURES = "_features"
 
@@ -58,20 +59,36 @@ class FittedModel:
         return cur.select(*keep, F.array(*[F.try_divide(p, tot) for p in ps]).alias("pred"))
 
 
+ROWS_PER_PARTITION = 1_000_000
+
+
+def _sized(df: DataFrame, n_rows: int) -> DataFrame:
+    """Iterative learners run one Spark job per iteration; give them
+    partitions of about ROWS_PER_PARTITION rows (many partitions at scale,
+    one for a small fold) instead of whatever the upstream shuffles left."""
+    target = max(1, -(-n_rows // ROWS_PER_PARTITION))
+    current = df.rdd.getNumPartitions()
+    return df.coalesce(target) if target < current else df
+
+
 def fit_model(name: str, params: dict, train: DataFrame, label: str, task_kind: str, n_classes: int,
               seed: int = 42) -> FittedModel:
     """Fit one catalogue model on an assembled frame."""
-    stats = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(F.col(label).cast("double")).alias("sd")).first()
+    data = train.select(FEATURES, F.col(label).cast("double").alias("_label"))
+    stats = data.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("_label").alias("sd")).first()
     spec = build_estimator(name, params, n_rows=stats["n"], label_sd=stats["sd"], seed=seed,
                            features_col=FEATURES, label_col="_label")
-    data = train.withColumn("_label", F.col(label).cast("double"))
+    data = _sized(data, stats["n"]).persist()
     fm = FittedModel(name, task_kind, n_classes)
-    if task_kind == "classification" and spec.family == "gbm" and n_classes > 2:
-        for c in range(n_classes):
-            binary = data.withColumn("_label", (F.col("_label") == float(c)).cast("double"))
-            fm.models.append(spec.estimator.copy().fit(binary))
-    else:
-        fm.models.append(spec.estimator.fit(data))
+    try:
+        if task_kind == "classification" and spec.family == "gbm" and n_classes > 2:
+            for c in range(n_classes):
+                binary = data.withColumn("_label", (F.col("_label") == float(c)).cast("double"))
+                fm.models.append(spec.estimator.copy().fit(binary))
+        else:
+            fm.models.append(spec.estimator.fit(data))
+    finally:
+        data.unpersist()
     return fm
 
 
@@ -90,38 +107,76 @@ def _with_encodings(df: DataFrame, enc: DataFrame | None, row_id: str, fit_fold:
     return df.join(e.select(row_id, *cols), row_id, "left")
 
 
+@dataclass
+class FoldData:
+    """Per-fold assembled training / held-out frames, persisted once and
+    reused by every trial of a search."""
+    row_id: str
+    features: list[str]
+    folds: list[tuple[DataFrame, DataFrame]]
+
+    def release(self) -> None:
+        for tr, va in self.folds:
+            tr.unpersist()
+            va.unpersist()
+
+
+def prepare_folds(matrix: DataFrame, row_id: str, label: str, features: Sequence[str], k: int,
+                  fold_col: str = "fold", fold_kind: str = KFOLD, encodings: DataFrame | None = None) -> FoldData:
+    enc_cols = [] if encodings is None else [c for c in encodings.columns if c not in (row_id, "fit_fold", "heldout")]
+    feats = list(features) + [c for c in enc_cols if c not in features]
+    # pin the matrix and the all-folds encodings once; every fold frame is
+    # then a filter + join over checkpointed files
+    matrix = materialize(matrix.select(row_id, label, fold_col, *features))
+    if encodings is not None:
+        encodings = materialize(encodings)
+    out = []
+    for f in range(k):
+        tr = _with_encodings(matrix.filter(fit_mask(F.col(fold_col), F.lit(f), fold_kind)), encodings, row_id, f)
+        va = _with_encodings(matrix.filter(F.col(fold_col) == f), encodings, row_id, f)
+        out.append((assemble(tr, feats).select(row_id, label, FEATURES).persist(),
+                    assemble(va, feats).select(row_id, label, FEATURES).persist()))
+    return FoldData(row_id, feats, out)
+
+
 def run_cv(matrix: DataFrame, row_id: str, label: str, features: Sequence[str], name: str, params: dict,
            task_kind: str, n_classes: int, k: int, fold_col: str = "fold", fold_kind: str = KFOLD,
            encodings: DataFrame | None = None, test: DataFrame | None = None,
-           test_encodings: DataFrame | None = None, seed: int = 42, parallelism: int | None = None) -> CVResult:
+           test_encodings: DataFrame | None = None, seed: int = 42, parallelism: int | None = None,
+           prepared: FoldData | None = None) -> CVResult:
     """Fit one model per fold on its training rows (plus that fold's in-fold
     encodings) and predict the held-out rows; optionally average the fold
-    models' test predictions (test encodings from the full-train fit)."""
-    enc_cols = [] if encodings is None else [c for c in encodings.columns if c not in (row_id, "fit_fold", "heldout")]
-    feats = list(features) + [c for c in enc_cols if c not in features]
+    models' test predictions (test encodings from the full-train fit).
+    ``prepared`` reuses persisted fold frames (searches)."""
+    fd = prepared or prepare_folds(matrix, row_id, label, features, k, fold_col, fold_kind, encodings)
 
     def one(f: int):
-        tr = _with_encodings(matrix.filter(fit_mask(F.col(fold_col), F.lit(f), fold_kind)), encodings, row_id, f)
-        va = _with_encodings(matrix.filter(F.col(fold_col) == f), encodings, row_id, f)
-        m = fit_model(name, params, assemble(tr, feats), label, task_kind, n_classes, seed)
-        p = m.predict(assemble(va, feats), [row_id]).withColumn("fold", F.lit(f))
+        tr, va = fd.folds[f]
+        m = fit_model(name, params, tr, label, task_kind, n_classes, seed)
+        p = m.predict(va, [row_id]).withColumn("fold", F.lit(f))
         return m, p
 
-    with ThreadPoolExecutor(max_workers=parallelism or k) as ex:
-        results = list(ex.map(one, range(k)))
-    models = [m for m, _ in results]
-    oof = results[0][1]
-    for _, p in results[1:]:
-        oof = oof.unionByName(p)
-    oof = oof.select(row_id, F.lit(name).alias("model"), "fold", "pred")
-    fold_test = None
-    if test is not None:
-        te = assemble(_with_encodings(test, test_encodings, row_id, None), feats)
-        parts = [m.predict(te, [row_id]).withColumn("fold", F.lit(i)) for i, m in enumerate(models)]
-        allp = parts[0]
-        for p in parts[1:]:
-            allp = allp.unionByName(p)
-        fold_test = average_predictions(allp, row_id).withColumn("model", F.lit(name))
+    try:
+        with ThreadPoolExecutor(max_workers=parallelism or k) as ex:
+            results = list(ex.map(one, range(k)))
+        models = [m for m, _ in results]
+        oof = results[0][1]
+        for _, p in results[1:]:
+            oof = oof.unionByName(p)
+        oof = oof.select(row_id, F.lit(name).alias("model"), "fold", "pred")
+        if prepared is None:
+            oof = materialize(oof)  # pin predictions before the fold frames are released
+        fold_test = None
+        if test is not None:
+            te = assemble(_with_encodings(test, test_encodings, row_id, None), fd.features)
+            parts = [m.predict(te, [row_id]).withColumn("fold", F.lit(i)) for i, m in enumerate(models)]
+            allp = parts[0]
+            for p in parts[1:]:
+                allp = allp.unionByName(p)
+            fold_test = materialize(average_predictions(allp, row_id).withColumn("model", F.lit(name)))
+    finally:
+        if prepared is None:
+            fd.release()
     return CVResult(oof, models, fold_test)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Broadcast only fitted-state tables up to this many rows; bigger tables are
@@ -70,7 +71,9 @@ def size_checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS
 
     if known_max_rows is not None and known_max_rows <= max_rows:
         return F.broadcast(df), True
-    m = materialize(df)
+    # Fitted-state tables are deterministic aggregates: keep them in the
+    # block cache (recomputed from lineage if an executor is lost) and count.
+    m = df.persist(StorageLevel.MEMORY_AND_DISK)
     n = m.count()
     if n <= max_rows:
         return F.broadcast(m), True

@@ -11,6 +11,7 @@ from foldwise.workloads import infold as _infold  # noqa: F401
 from foldwise.workloads import profile as _profile  # noqa: F401
 from foldwise.workloads import scoring as _scoring  # noqa: F401
 from foldwise.workloads import text as _text  # noqa: F401
+from foldwise.workloads import training as _training  # noqa: F401
 
 
 def queries():
