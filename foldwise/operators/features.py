@@ -1,9 +1,9 @@
 """Immediate feature operators: fit on train, apply to any frame.
 
 Fitting is batched: every scalar statistic the plan needs (minimums for the
-non-negativity guard, min/max for equal-width bins, exact quantiles for
-equal-frequency bins, the earliest timestamp) comes from ONE aggregate over
-train; value lookups (count encoding, common titles) are small grouped tables
+non-negativity guard, min/max for equal-width bins, distinct-count estimates,
+the earliest timestamp) comes from ONE aggregate over train, and exact
+quantiles for equal-frequency bins from ``ordering.quantiles``; value lookups (count encoding, common titles) are small grouped tables
 joined back with a size-checked broadcast.  Application is one projection
 plus those joins, and one block-halo window pass for lag / rolling mean.
 
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.functions import columns as C
-from foldwise.operators.ordering import with_trailing_window
+from foldwise.operators.ordering import quantiles, with_trailing_window
 from foldwise.plans.spec import FeatureOp, PlanError
 from foldwise.session import size_checked_broadcast
 
@@ -139,11 +139,16 @@ def fit_immediate(train: DataFrame, ops: Sequence[FeatureOp]) -> FittedFeatures:
         elif op.operation == "bin_equal_width":
             aggs += [F.min(C.as_double(a)).alias(f"lo{i}"), F.max(C.as_double(a)).alias(f"hi{i}")]
         elif op.operation == "bin_equal_freq":
-            pts = _quantile_points(op.param("bins", 10))
-            aggs.append(F.percentile(C.as_double(a), F.array(*[F.lit(p) for p in pts])).alias(f"q{i}"))
+            aggs.append(F.approx_count_distinct(C.as_double(a)).alias(f"nd{i}"))
         elif op.operation == "datetime_parts":
             aggs.append(F.min(F.unix_micros(C.as_timestamp(a, dtypes[a]))).alias(f"tmin{i}"))
     row = train.agg(*aggs).first().asDict() if aggs else {}
+    freq = [(i, op) for i, op in enumerate(ops) if op.operation == "bin_equal_freq"]
+    for i, op in freq:  # exact quantiles; per op because the bin counts differ
+        src = train.select(C.as_double(op.columns[0]).alias("x"))
+        row[f"q{i}"] = quantiles(src, ["x"], _quantile_points(op.param("bins", 10)), {"x": row[f"nd{i}"]})["x"]
+        if row[f"q{i}"][0] is None:
+            row[f"q{i}"] = None
     fitted = FittedFeatures(ops, {})
     for i, op in enumerate(ops):
         name, skip = op.output_name, None

@@ -191,3 +191,77 @@ def running_sums(df: DataFrame, order_by: Sequence[str | Column], values: Sequen
     w = Window.partitionBy("_fw_pid", *group).orderBy(*_cols(order_by)).rowsBetween(Window.unboundedPreceding, 0)
     out = joined.withColumns({f"{v}{suffix}": F.sum(v).over(w) + F.col(f"_fw_o{i}") for i, v in enumerate(values)})
     return out.drop("_fw_pid", *[f"_fw_o{i}" for i in range(len(values))])
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
+    """Exact linear-interpolation quantiles (numpy's default) of several
+    numeric columns, without any single task holding a column's values.
+
+    Non-null values are stacked as (column, value), counted per distinct value
+    (map-side combined), given distributed running counts in value order, and
+    only the ranks floor/ceil(p * (n - 1)) are looked up; the few matching rows
+    are returned to the driver and interpolated.  NULL per column when it has
+    no non-null value."""
+    if not columns:
+        return {}
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns]))
+    stacked = df.select(cells.alias("cell")).select("cell.c", "cell.v").filter(
+        F.col("v").isNotNull() & ~F.isnan("v"))
+    vc = stacked.groupBy("c", "v").agg(F.count(F.lit(1)).alias("cnt"))
+    cum = running_sums(vc, ["v"], ["cnt"], partition_by=["c"])
+    n = {r["c"]: r["n"] for r in cum.groupBy("c").agg(F.max("cnt_cum").alias("n")).collect()}
+    wanted = set()
+    for c, nc in n.items():
+        for p in probs:
+            pos = p * (nc - 1)
+            wanted.add((c, int(pos // 1)))
+            wanted.add((c, int(-(-pos // 1))))
+    spark = df.sparkSession
+    targets = spark.createDataFrame(sorted(wanted), "c string, k long")  # <= 2 * len(probs) rows per column
+    hits = (cum.join(F.broadcast(targets), "c")
+            .filter((F.col("cnt_cum") - F.col("cnt") <= F.col("k")) & (F.col("k") < F.col("cnt_cum")))
+            .select("c", "k", "v").collect())
+    at = {(r["c"], r["k"]): r["v"] for r in hits}
+    out: dict[str, list[float | None]] = {}
+    for c in columns:
+        if c not in n:
+            out[c] = [None] * len(probs)
+            continue
+        vals = []
+        for p in probs:
+            pos = p * (n[c] - 1)
+            lo, hi = int(pos // 1), int(-(-pos // 1))
+            a, b = at[(c, lo)], at[(c, hi)]
+            vals.append(a if lo == hi else a + (b - a) * (pos - lo))
+        out[c] = vals
+    return out
+
+
+# Spark's exact ``percentile`` merges one value -> count map per column in a
+# single task; above this many distinct values the distributed path is used.
+PERCENTILE_MAP_LIMIT = 1_000_000
+
+
+def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
+              distinct: dict[str, int] | None = None) -> dict[str, list[float | None]]:
+    """Exact linear quantiles per column; the built-in aggregate for columns
+    with a bounded number of distinct values, ``exact_quantiles`` otherwise.
+    ``distinct`` may carry known distinct counts (else an HLL estimate)."""
+    cols = list(columns)
+    if not cols:
+        return {}
+    if distinct is None:
+        row = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
+        distinct = {c: row[c] for c in cols}
+    small = [c for c in cols if distinct.get(c, 0) <= PERCENTILE_MAP_LIMIT]
+    big = [c for c in cols if c not in small]
+    out: dict[str, list[float | None]] = {}
+    if small:
+        arr = F.array(*[F.lit(float(p)) for p in probs])
+        row = df.agg(*[F.percentile(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), arr)
+                       .alias(c) for c in small]).first()
+        for c in small:
+            out[c] = list(row[c]) if row[c] is not None else [None] * len(probs)
+    if big:
+        out.update(exact_quantiles(df, big, probs))
+    return out
