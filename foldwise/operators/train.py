@@ -60,15 +60,23 @@ class FittedModel:
 
 
 ROWS_PER_PARTITION = 1_000_000
+MIN_ROWS_PER_TASK = 50_000
 
 
 def _sized(df: DataFrame, n_rows: int) -> DataFrame:
-    """Iterative learners run one Spark job per iteration; give them
-    partitions of about ROWS_PER_PARTITION rows (many partitions at scale,
-    one for a small fold) instead of whatever the upstream shuffles left."""
-    target = max(1, -(-n_rows // ROWS_PER_PARTITION))
+    """Iterative learners run one Spark job per iteration.  Partitions hold
+    about ROWS_PER_PARTITION rows at scale; small data uses at most one
+    partition per core and at least MIN_ROWS_PER_TASK rows per task, so a
+    small fold is not split into many tiny tasks and a mid-sized one still
+    uses every core."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    target = max(-(-n_rows // ROWS_PER_PARTITION), min(par, max(1, n_rows // MIN_ROWS_PER_TASK)), 1)
     current = df.rdd.getNumPartitions()
-    return df.coalesce(target) if target < current else df
+    if target < current:
+        return df.coalesce(target)
+    if current * 2 <= target:
+        return df.repartition(target)
+    return df
 
 
 def fit_model(name: str, params: dict, train: DataFrame, label: str, task_kind: str, n_classes: int,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foldwise.operators.text import fit_tfidf_svd, fit_vocabulary, term_counts, weights
+from foldwise.session import materialize
 from foldwise.workloads.common import is_test, r, table, workload
 
 
@@ -24,8 +25,9 @@ def tfidf_weights(spark, d):
     smoothed idf, L2 per document) of every document, train and test roles."""
     docs = table(spark, d, "documents").select("doc_id", "text")
     train = docs.filter(~is_test("doc_id"))
-    vocab = fit_vocabulary(term_counts(train, "text", "doc_id"), train.count(), 500)
-    w = weights(term_counts(docs, "text", "doc_id"), vocab, "doc_id")
+    tc = materialize(term_counts(docs, "text", "doc_id"))  # tokenized once for both steps
+    vocab = fit_vocabulary(tc.filter(~is_test("doc_id")), train.count(), 500)
+    w = weights(tc, vocab, "doc_id")
     return w.select("doc_id", F.when(is_test("doc_id"), "test").otherwise("train").alias("split"), "term",
                     r("weight"))
 
