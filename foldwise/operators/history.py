@@ -7,7 +7,7 @@ Tables: ``outputs(run_id, iteration, ts, path, cv_score, public_score)``,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values that must equal the reference.
@@ -40,8 +40,8 @@ def reentry_decision(state: DataFrame, max_iterations: int) -> DataFrame:
     trigger fires — CV/public gap → 5b, blend gain below 0.002 → 6, pending
     feature follow-ups → 3 — or NULL when none fires or the iteration budget
     is spent."""
-    latest = state.withColumn("_rn", F.row_number().over(
-        Window.partitionBy("run_id").orderBy(F.desc("iteration")))).filter("_rn = 1").drop("_rn")
+    cols = [c for c in state.columns if c != "run_id"]
+    latest = state.groupBy("run_id").agg(F.max_by(F.struct(*cols), "iteration").alias("_l")).select("run_id", "_l.*")
     gap = F.coalesce(F.abs(F.col("delta")) > GAP_THRESHOLD, F.lit(False))
     gain = F.coalesce(F.abs(F.col("blend_score") - F.col("best_solo")) < MIN_BLEND_GAIN, F.lit(False))
     follow = F.coalesce(F.col("followups") > 0, F.lit(False))

@@ -36,7 +36,11 @@ def _write_per_partition(df, base: str, fmt: str) -> None:
         if not tables:
             return
         t = pa.concat_tables(tables)
-        name = f"{base}/part-{uuid.uuid4().hex}.{fmt}"
+        from pyspark import TaskContext
+
+        # one file per input partition, named by partition id: a retried
+        # task overwrites its own file instead of adding a duplicate
+        name = f"{base}/part-{TaskContext.get().partitionId():05d}.{fmt}"
         with output_stream(name) as out:
             if fmt == "feather":
                 feather.write_feather(t, out)
