@@ -88,7 +88,8 @@ SELECT kind, model, count(*) AS n_rows FROM (
 """)
 def sink_predictions(spark, d):
     """Prediction table written partitioned by (kind, model), a versioned
-    Parquet matrix and a JSON score file; read back with partition pruning."""
+    Parquet matrix, a JSON score file and a CSV output (row count checked
+    after reading it back); the prediction table read back per partition."""
     p = binary_preds(spark, d)
     oof = p.select(F.lit("oof").alias("kind"), "model", F.col("o_orderkey").alias("row_id"), "fold", "pred")
     test = p.filter((F.col("model") == "m_a") & (F.col("o_orderkey") % 5 == 4)).select(
@@ -98,7 +99,12 @@ def sink_predictions(spark, d):
     K.write_predictions(oof.unionByName(test), f"{base}/preds")
     K.write_matrix(p.select("o_orderkey", "pred"), f"{base}/matrix", 1)
     K.write_scores_json(p.groupBy("model").agg(F.avg("pred").alias("mean_pred")), f"{base}/scores")
+    K.write_output_csv(test.select(F.col("row_id").alias("o_orderkey"), "pred"), f"{base}/output.csv",
+                       order_by="o_orderkey")
     back = spark.read.parquet(f"{base}/preds")
+    out_rows = S.load_table(spark, f"{base}/output.csv", "csv").count()
+    if out_rows != back.filter(F.col("kind") == "test").count():
+        raise RuntimeError("CSV output lost rows")
     return back.groupBy("kind", "model").agg(F.count(F.lit(1)).alias("n_rows"))
 
 

@@ -193,3 +193,41 @@ def immediate_features(spark, d):
     out = tr.unionByName(te)
     codes = ["o_orderpriority"]
     return out.select("o_orderkey", "split", *[F.col(c) if c in codes else r(c) for c in cp.features])
+
+
+@workload("plan_error_counts", f"""
+WITH {_PLAN_TEXT_SQL},
+b AS (SELECT event_id, dataset, trim(regexp_replace(text, '^\\s*```[A-Za-z]*\\s*|\\s*```\\s*$', '', 'g')) AS body FROM t),
+p AS (SELECT event_id, dataset, CASE WHEN starts_with(body, '[')
+             THEN from_json(body, '[{{"operation": "VARCHAR", "columns": ["VARCHAR"], "output_name": "VARCHAR"}}]')
+             ELSE from_json(body, '{{"operations": [{{"operation": "VARCHAR", "columns": ["VARCHAR"], "output_name": "VARCHAR"}}]}}').operations
+             END AS ops FROM b),
+v AS (SELECT event_id, dataset, unnest(ops) AS o FROM p),
+{_registry_sql()},
+ds(dataset, is_time_series, identity_cols) AS (VALUES ('view', true, ['user_id']), ('click', true, []::VARCHAR[]),
+    ('error', false, ['value']), ('purchase', false, []::VARCHAR[]), ('signup', false, ['user_id'])),
+errs AS (SELECT CASE WHEN reg.arity IS NULL THEN 'unknown_operation'
+                  WHEN len(o.columns) <> reg.arity THEN 'wrong_arity'
+                  WHEN reg.needs_order AND NOT coalesce(ds.is_time_series, false) THEN 'needs_time_order'
+                  WHEN o.operation = 'tfidf_svd' AND coalesce(list_has_any(o.columns, ds.identity_cols), false)
+                    THEN 'identity_unsafe' END AS error_type
+      FROM v LEFT JOIN reg ON o.operation = reg.operation LEFT JOIN ds ON v.dataset = ds.dataset)
+SELECT 'features' AS phase, error_type, count(*) AS n FROM errs WHERE error_type IS NOT NULL GROUP BY 1, 2
+""")
+def plan_error_counts(spark, d):
+    """Skipped-op log: validation errors of the parsed plans appended to an
+    errors table and counted per (phase, error type)."""
+    from foldwise.operators.history import error_counts
+
+    plans = parse_plans(_plan_texts(spark, d), key=["dataset", "event_id"])
+    ds = spark.createDataFrame(
+        [("view", True, ["user_id"]), ("click", True, []), ("error", False, ["value"]), ("purchase", False, []),
+         ("signup", False, ["user_id"])], "dataset string, is_time_series boolean, identity_cols array<string>")
+    v = validate_plans(plans, ds).filter(F.col("error").isNotNull())
+    etype = (F.when(F.col("error").startswith("Unknown operation"), "unknown_operation")
+             .when(F.col("error").contains("column(s), got"), "wrong_arity")
+             .when(F.col("error").contains("requires is_time_series"), "needs_time_order")
+             .otherwise("identity_unsafe"))
+    errors = v.select(F.col("dataset").alias("run_id"), F.lit("features").alias("phase"), etype.alias("error_type"),
+                      F.col("error").alias("message"))
+    return error_counts(errors)
