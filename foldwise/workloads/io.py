@@ -123,7 +123,7 @@ def header_catalog(spark, d):
 
 
 @workload("load_target_limit", """
-SELECT count(*) AS n_rows, round(sum(CAST(o_orderstatus = 'F' AS INTEGER)), 6) AS n_f FROM orders
+SELECT count(*) AS n_rows, round(CAST(sum(CAST(o_orderstatus = 'F' AS INTEGER)) AS DOUBLE), 6) AS n_f FROM orders
 """)
 def load_target_limit(spark, d):
     """Target load as a two-column projection (pruned at the scan) and a

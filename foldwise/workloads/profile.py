@@ -81,14 +81,14 @@ def profile_documents(spark, d):
 @workload("profile_summary", """
 WITH b AS (SELECT d.lang, d.source, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
 g AS (SELECT lang, source, quality, toxic, count(*) AS cnt FROM b GROUP BY ALL)
-SELECT sum(cnt) AS n_rows, 4 AS n_cols, sum(cnt - 1) AS duplicate_rows,
+SELECT CAST(sum(cnt) AS BIGINT) AS n_rows, 4 AS n_cols, CAST(sum(cnt - 1) AS BIGINT) AS duplicate_rows,
        array_to_string(list_sort(list_filter(
          [CASE WHEN sum(CASE WHEN lang IS NULL THEN cnt ELSE 0 END) / sum(cnt) > 0.3 THEN 'lang' END,
           CASE WHEN sum(CASE WHEN source IS NULL THEN cnt ELSE 0 END) / sum(cnt) > 0.3 THEN 'source' END,
           CASE WHEN sum(CASE WHEN quality IS NULL THEN cnt ELSE 0 END) / sum(cnt) > 0.3 THEN 'quality' END,
           CASE WHEN sum(CASE WHEN toxic IS NULL THEN cnt ELSE 0 END) / sum(cnt) > 0.3 THEN 'toxic' END],
          lambda x: x IS NOT NULL)), ',') AS high_missing,
-       sum((coalesce(strlen(lang), 0) + coalesce(strlen(source), 0) + 4 + 4) * cnt) AS logical_bytes
+       CAST(sum((coalesce(strlen(lang), 0) + coalesce(strlen(source), 0) + 4 + 4) * cnt) AS BIGINT) AS logical_bytes
 FROM g
 """)
 def profile_summary(spark, d):

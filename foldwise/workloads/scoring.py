@@ -282,7 +282,7 @@ def _history(spark, d):
     e = table(spark, d, "events")
     # stand-in history rows; per-run iteration numbering over a bounded run
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return e.select(F.col("user_id").alias("run_id"), F.row_number().over(w).alias("iteration"),
+    return e.select(F.col("user_id").alias("run_id"), F.row_number().over(w).cast("bigint").alias("iteration"),
                     F.concat(F.lit("out_"), F.col("event_id").cast("string")).alias("path"),
                     (F.col("value") / 100.0).alias("cv_score"),
                     ((F.col("value") + (F.col("event_id") % 7) - 3) / 100.0).alias("public_score"),
