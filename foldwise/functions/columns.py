@@ -73,16 +73,35 @@ def as_timestamp(c: str, dtype: str) -> Column:
     return F.try_to_timestamp(F.col(c).cast("string"))
 
 
+def epoch_micros(c: str | Column, dtype: str) -> Column:
+    """Microseconds since 1970-01-01 00:00 of the value's wall clock.
+
+    Time-zone-free values (TIMESTAMP_NTZ, DATE, parsed text) are read as UTC
+    wall clocks whatever the session time zone, so differences between them
+    never pick up daylight-saving shifts; TIMESTAMP values are instants."""
+    col = F.col(c) if isinstance(c, str) else c
+    if dtype == "timestamp":
+        return F.unix_micros(col)
+    if dtype.startswith("timestamp") or dtype == "date":
+        ts = col.cast("timestamp")
+    else:
+        ts = F.try_to_timestamp(col.cast("string"))
+    # the cast read the wall clock in the session zone; shift the instant back
+    # so its UTC rendering is that wall clock again
+    return F.unix_micros(F.from_utc_timestamp(ts, F.current_timezone()))
+
+
 def weekday_mon0(ts: Column) -> Column:
     """Day of week with Monday = 0."""
     return F.weekday(ts)
 
 
-def days_since(ts: Column, origin_micros: int | None) -> Column:
-    """Whole days since the origin, floored (negative before the origin)."""
+def days_since(micros: Column, origin_micros: int | None) -> Column:
+    """Whole days between two ``epoch_micros`` values, floored (negative
+    before the origin)."""
     if origin_micros is None:
         return F.lit(None).cast("bigint")
-    return F.floor((F.unix_micros(ts) - F.lit(origin_micros)) / F.lit(MICROS_PER_DAY)).cast("bigint")
+    return F.floor((micros - F.lit(origin_micros)) / F.lit(MICROS_PER_DAY)).cast("bigint")
 
 
 def title_of(c: str) -> Column:

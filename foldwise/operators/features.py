@@ -61,7 +61,8 @@ class FittedFeatures:
         if op.operation == "datetime_parts":
             ts = C.as_timestamp(a, dtypes[a])
             return {f"{o}_year": F.year(ts), f"{o}_month": F.month(ts), f"{o}_dow": C.weekday_mon0(ts),
-                    f"{o}_hour": F.hour(ts), f"{o}_days_since_min": C.days_since(ts, s.get(f"tmin{i}"))}
+                    f"{o}_hour": F.hour(ts),
+                    f"{o}_days_since_min": C.days_since(C.epoch_micros(a, dtypes[a]), s.get(f"tmin{i}"))}
         if op.operation == "family_size":
             return {o: C.family_size(a, op.columns[1])}
         if op.operation == "is_alone":
@@ -141,7 +142,7 @@ def fit_immediate(train: DataFrame, ops: Sequence[FeatureOp]) -> FittedFeatures:
         elif op.operation == "bin_equal_freq":
             aggs.append(F.approx_count_distinct(C.as_double(a)).alias(f"nd{i}"))
         elif op.operation == "datetime_parts":
-            aggs.append(F.min(F.unix_micros(C.as_timestamp(a, dtypes[a]))).alias(f"tmin{i}"))
+            aggs.append(F.min(C.epoch_micros(a, dtypes[a])).alias(f"tmin{i}"))
     row = train.agg(*aggs).first().asDict() if aggs else {}
     freq = [(i, op) for i, op in enumerate(ops) if op.operation == "bin_equal_freq"]
     for i, op in freq:  # exact quantiles; per op because the bin counts differ

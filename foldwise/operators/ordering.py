@@ -144,10 +144,10 @@ def near_monotonic(df: DataFrame, columns: Sequence[str], order_by: Sequence[str
     stacked = None
     for c in columns:
         t = dtypes[c]
-        if t.startswith("timestamp"):
-            v = F.unix_micros(F.col(c).cast("timestamp")).cast("double")
-        elif t == "date":
-            v = F.unix_date(F.col(c)).cast("double")
+        if t.startswith("timestamp") or t == "date":
+            from foldwise.functions.columns import epoch_micros
+
+            v = epoch_micros(c, t).cast("double")
         else:
             v = F.col(c).cast("double")
         part = df.select(*order_names, F.lit(c).alias("column"), v.alias("_fw_v")).filter(F.col("_fw_v").isNotNull())
