@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Broadcast only fitted-state tables up to this many rows; bigger tables are
 # joined with a shuffle (AQE may still pick a broadcast at run time).
-DEFAULT_BROADCAST_ROWS = 2_000_000
+DEFAULT_BROADCAST_ROWS = 1_000_000
 
 
 def get_spark(master: str | None = None, app: str = "foldwise",
