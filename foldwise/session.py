@@ -64,7 +64,7 @@ def size_checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS
     """Mark ``df`` for broadcast only when its row count is proven small.
 
     ``known_max_rows`` is a bound that holds by construction (e.g. one row per
-    partition); otherwise the table is materialised and counted.  Returns the
+    partition); otherwise the table is persisted and counted.  Returns the
     (possibly hinted) frame and whether it was broadcast; beyond the bound the
     caller's join stays a shuffle join."""
     from pyspark.sql import functions as F
