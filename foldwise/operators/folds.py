@@ -51,9 +51,17 @@ def assign_folds(df: DataFrame, row_id: str, k: int = 5, kind: str = KFOLD, seed
 
     ``kind``: ``kfold`` (shuffled), ``stratified`` (shuffled within ``y``),
     ``forward`` (time-ordered by ``order_by``, default the row id) or
-    ``contiguous`` (unshuffled blocks; within ``y`` when given)."""
+    ``contiguous`` (unshuffled blocks; within ``y`` when given).  Positions
+    are computed on the ``(row_id, y, order_by)`` projection only; other
+    columns are joined back by the (unique) row id."""
     if k < 2:
         raise ValueError("need at least 2 folds")
+    needed = list(dict.fromkeys([row_id, *([y] if y else []), *(order_by or [])]))
+    if set(df.columns) - set(needed):
+        # number only the narrow key projection (that is what gets pinned in
+        # the checkpoint directory) and join the fold back by row id
+        folds = assign_folds(df.select(*needed), row_id, k, kind, seed, y, order_by, fold_col, max_classes)
+        return df.join(folds.select(row_id, fold_col), row_id, "inner")
     if kind == KFOLD:
         out = with_position(df, [shuffle_key(row_id, seed), F.col(row_id)], "_fw_fpos")
         fold = F.col("_fw_fpos") % k
