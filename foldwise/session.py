@@ -29,6 +29,7 @@ def get_spark(master: str | None = None, app: str = "foldwise",
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .config("spark.driver.memory", os.environ.get("FOLDWISE_DRIVER_MEM", "16g")))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
