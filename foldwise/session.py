@@ -33,10 +33,38 @@ def get_spark(master: str | None = None, app: str = "foldwise",
          .config("spark.driver.memory", os.environ.get("FOLDWISE_DRIVER_MEM", "16g")))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    prepare_session(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``foldwise`` importable in Python workers (Arrow UDFs, the
+    Feather data source): zip the package once per application and register
+    it with ``addPyFile``, Spark's own mechanism for shipping Python code to
+    executors."""
+    import shutil
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import foldwise
+
+    pkg = os.path.dirname(os.path.abspath(foldwise.__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="foldwise-py-"), "foldwise")
+    archive = shutil.make_archive(base, "zip", root_dir=os.path.dirname(pkg), base_dir="foldwise")
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
+
+
+def prepare_session(spark: SparkSession) -> str:
+    """Checkpoint directory plus the package on the executors' Python path."""
+    ship_package(spark)
+    return ensure_checkpoint_dir(spark)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint directory the cluster names in
     ``spark.checkpoint.dir``.  Only when nothing is configured (tests, a laptop)

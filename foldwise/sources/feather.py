@@ -85,4 +85,7 @@ class FeatherReader(DataSourceReader):
 
 
 def register(spark) -> None:
+    from foldwise.session import ship_package
+
+    ship_package(spark)  # the reader classes are imported by the Python workers
     spark.dataSource.register(FeatherDataSource)
