@@ -238,7 +238,8 @@ def permutation_importance(model: FittedModel, valid: DataFrame, row_id: str, la
                            task_kind: str, metric: str | None = None, seed: int = 42, repeats: int = 3) -> dict:
     """Score drop when one feature's values are permuted among the rows (a
     seeded md5 order matched to the row order through distributed
-    positions); all features × repeats are scored in one aggregate."""
+    positions).  Each repeat needs one join, which carries every feature's
+    permuted value; all features × repeats are scored in one aggregate."""
     from foldwise.operators.ordering import with_position
 
     metric = metric or ("rmse" if task_kind == "regression" else "accuracy")
@@ -252,10 +253,12 @@ def permutation_importance(model: FittedModel, valid: DataFrame, row_id: str, la
                                                                         F.col(row_id).cast("string"))),
                                                         F.col(row_id)], "_rank").withColumnRenamed(row_id, "_src")
         mapping = ordered.join(shuffled, "_rank").select(row_id, "_src")
-        for c in features:
-            donor = valid.select(F.col(row_id).alias("_src"), F.col(c).alias("_perm"))
-            perm = (valid.join(mapping, row_id).join(donor, "_src").drop(c, "_src")
-                    .withColumnRenamed("_perm", c))
+        # one join per repeat brings every feature's permuted value alongside
+        # the original row; each feature's frame is then a projection
+        donor = valid.select(F.col(row_id).alias("_src"), *[F.col(c).alias(f"_perm_{i}") for i, c in enumerate(features)])
+        both = valid.join(mapping, row_id).join(donor, "_src").drop("_src")
+        for i, c in enumerate(features):
+            perm = both.select(row_id, label, *[F.col(f"_perm_{i}").alias(f) if f == c else F.col(f) for f in features])
             p = model.predict(assemble(perm, features), [row_id, label]).withColumn("g", F.lit(f"{c}|{rep}"))
             parts.append(p)
     allp = parts[0]
