@@ -59,9 +59,11 @@ SELECT fmt AS format, count(*) AS n_rows, round(sum(o_totalprice), 4) AS sum_tot
 FROM orders, (VALUES ('csv'), ('parquet'), ('feather'), ('json')) t(fmt) GROUP BY 1
 """)
 def scan_formats(spark, d):
-    """Orders round-tripped through CSV (header, inferred types), Parquet,
-    Feather (Python data source, one partition per file) and JSON arrays of
-    records, each scanned back with the format reader."""
+    """Orders written out as CSV, Feather and JSON arrays of records and
+    scanned back with the library's readers (CSV with header and inferred
+    types, Feather through the Python data source with one partition per
+    file, multi-line JSON), plus the given Parquet file through the Parquet
+    reader; the same aggregates per format."""
     o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
     base = _scratch(spark)
     o.write.option("header", "true").csv(f"{base}/csv")
