@@ -141,7 +141,9 @@ def near_monotonic(df: DataFrame, columns: Sequence[str], order_by: Sequence[str
     ``(column, n_nonnull, share_nondecreasing, is_monotonic)``."""
     dtypes = dict(df.dtypes)
     order_names = [c for c in order_by if isinstance(c, str)]
-    stacked = None
+    if not columns:
+        raise ValueError("no columns to check")
+    cells = []
     for c in columns:
         t = dtypes[c]
         if t.startswith("timestamp") or t == "date":
@@ -150,10 +152,10 @@ def near_monotonic(df: DataFrame, columns: Sequence[str], order_by: Sequence[str
             v = epoch_micros(c, t).cast("double")
         else:
             v = F.col(c).cast("double")
-        part = df.select(*order_names, F.lit(c).alias("column"), v.alias("_fw_v")).filter(F.col("_fw_v").isNotNull())
-        stacked = part if stacked is None else stacked.unionByName(part)
-    if stacked is None:
-        raise ValueError("no columns to check")
+        cells.append(F.struct(F.lit(c).alias("column"), v.alias("_fw_v")))
+    # one scan: every checked column becomes (column, value) rows
+    stacked = (df.select(*order_names, F.explode(F.array(*cells)).alias("_fw_cell"))
+               .select(*order_names, "_fw_cell.column", "_fw_cell._fw_v").filter(F.col("_fw_v").isNotNull()))
     diffs = with_trailing_window(
         stacked, order_by, lambda w: {"_fw_prev": F.lag("_fw_v", 1).over(w)}, halo=1,
         partition_by=["column"], max_groups=len(columns))
