@@ -111,3 +111,26 @@ def read_header(spark: SparkSession, path: str) -> list[str]:
 def load_target(df: DataFrame, row_id: str, targets: Sequence[str]) -> DataFrame:
     """``(row_id, first target)``: a two-column projection, pruned at the scan."""
     return df.select(row_id, targets[0])
+
+
+def with_row_order(df: DataFrame, name: str = "_row") -> DataFrame:
+    """Add a stable 0-based file-order row number.
+
+    Parquet scans expose ``_metadata.file_path`` and ``_metadata.row_index``:
+    rows are numbered in (path, row index) order with the distributed
+    position helper, so the number does not change when the plan is
+    recomputed.  Other sources get ``monotonically_increasing_id`` (split
+    order, row order within a split), pinned once in the checkpoint
+    directory because it is only reproducible for an identical partitioning."""
+    from pyspark.errors import AnalysisException
+
+    from foldwise.operators.ordering import with_position
+    from foldwise.session import materialize
+
+    try:
+        m = df.select("*", F.col("_metadata.file_path").alias("_fw_file"),
+                      F.col("_metadata.row_index").alias("_fw_ridx"))
+        m.schema  # resolve now: fails for sources without a row index
+    except AnalysisException:
+        return materialize(df.withColumn(name, F.monotonically_increasing_id()))
+    return with_position(m, ["_fw_file", "_fw_ridx"], name).drop("_fw_file", "_fw_ridx")
