@@ -91,8 +91,8 @@ def plan_parse_validate(spark, d):
 _CAND_SQL = f"""
 c AS (SELECT conv_id AS dataset, turn, ({_sql_list(MODELS)})[((conv_id * 7 + turn) % {len(MODELS)}) + 1] AS model,
              role FROM conversations),
-tx AS (SELECT dataset, '{{"models": [' || string_agg('{{"model": "' || model || '", "priority": ' || CAST(turn AS VARCHAR)
-                || '}}', ', ' ORDER BY turn) || ']}}' AS text FROM c GROUP BY 1),
+tx AS (SELECT dataset, turn, '{{"models": [{{"model": "' || model || '", "priority": ' || CAST(turn AS VARCHAR)
+                || '}}]}}' AS text FROM c),
 tk AS (SELECT conv_id AS dataset,
               CASE WHEN lower(CASE conv_id % 3 WHEN 0 THEN 'regression' WHEN 1 THEN 'Binary Classification' ELSE '' END)
                         LIKE '%regress%' THEN 'regression'
@@ -105,13 +105,12 @@ tk AS (SELECT conv_id AS dataset,
 @workload("select_models", f"""
 WITH {_CAND_SQL},
 cat(model, kind, family) AS (VALUES {", ".join(f"('{m}', '{k}', '{f}')" for m, (k, f) in CATALOG.items())}),
-p AS (SELECT dataset, unnest(from_json(text, '{{"models": [{{"model": "VARCHAR", "priority": "BIGINT"}}]}}').models) AS m,
-             unnest(generate_series(0, len(from_json(text, '{{"models": [{{"model": "VARCHAR", "priority": "BIGINT"}}]}}').models) - 1)) AS seq
-      FROM tx),
+p AS (SELECT dataset, turn AS seq,
+             unnest(from_json(text, '{{"models": [{{"model": "VARCHAR", "priority": "BIGINT"}}]}}').models) AS m FROM tx),
 v AS (SELECT p.dataset, p.seq, p.m.model AS model, p.m.priority AS priority, cat.family
       FROM p JOIN tk ON p.dataset = tk.dataset JOIN cat ON p.m.model = cat.model WHERE cat.kind = tk.task_kind),
 d AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY dataset, model ORDER BY priority, seq) = 1),
-g AS (SELECT tk.dataset, CAST(1 << 30 AS BIGINT) AS seq,
+g AS (SELECT tk.dataset, CAST(4611686018427387904 AS BIGINT) AS seq,
              CASE WHEN tk.task_kind = 'classification' THEN 'LGBMClassifier' ELSE 'LGBMRegressor' END AS model,
              0 AS priority, 'gbm' AS family
       FROM tk WHERE tk.dataset NOT IN (SELECT dataset FROM d WHERE family = 'gbm')),
@@ -119,24 +118,24 @@ a AS (SELECT * FROM d UNION ALL SELECT * FROM g)
 SELECT dataset, model, CAST(row_number() OVER (PARTITION BY dataset ORDER BY priority, seq) AS INTEGER) AS priority FROM a
 """)
 def select_models_workload(spark, d):
-    """Model-candidate lists (JSON per conversation) parsed, filtered to known
-    models of the dataset's task kind with a search space, deduplicated by
-    best priority, a default GBM forced in when missing, renumbered."""
+    """Model-candidate texts (one JSON list per conversation turn) parsed,
+    filtered to known models of the dataset's task kind with a search
+    space, deduplicated by best priority, a default GBM forced in when
+    missing, renumbered."""
     conv = table(spark, d, "conversations")
     models = F.array(*[F.lit(m) for m in MODELS])
     c = conv.select(F.col("conv_id").alias("dataset"), "turn", "role",
                     F.element_at(models, ((F.col("conv_id") * 7 + F.col("turn")) % len(MODELS) + 1).cast("int"))
                     .alias("model"))
-    item = F.concat(F.lit('{"model": "'), F.col("model"), F.lit('", "priority": '), F.col("turn").cast("string"),
-                    F.lit("}"))
-    texts = c.groupBy("dataset").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", item.alias("i")))),
-                                                              lambda s: s["i"]), ", ").alias("items")) \
-        .select("dataset", F.concat(F.lit('{"models": ['), F.col("items"), F.lit("]}")).alias("text"))
+    # one candidate text per turn (no per-conversation gathering)
+    texts = c.select("dataset", "turn", F.concat(F.lit('{"models": [{"model": "'), F.col("model"),
+                                                 F.lit('", "priority": '), F.col("turn").cast("string"),
+                                                 F.lit("}]}")).alias("text"))
     pt = F.when(F.col("dataset") % 3 == 0, "regression").when(F.col("dataset") % 3 == 1, "Binary Classification") \
         .otherwise("")
     tasks = conv.groupBy(F.col("conv_id").alias("dataset")).agg(F.count_distinct("role").alias("n_distinct")) \
         .select("dataset", task_kind_col(pt, F.lit(""), F.col("n_distinct")).alias("task_kind"))
-    cands = parse_candidates(texts, default_kind=tasks)
+    cands = parse_candidates(texts, default_kind=tasks, order="turn")
     sel = select_models(cands, tasks)
     return sel.select("dataset", "model", F.col("priority").cast("int").alias("priority"))
 
