@@ -278,11 +278,13 @@ def history_best_gap(spark, d):
 
 
 def _history(spark, d):
-    from pyspark.sql import Window
-    e = table(spark, d, "events")
-    # stand-in history rows; per-run iteration numbering over a bounded run
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return e.select(F.col("user_id").alias("run_id"), F.row_number().over(w).cast("bigint").alias("iteration"),
+    from foldwise.operators.ordering import with_position
+
+    # stand-in history rows: one run per user, iterations numbered in event
+    # time order with distributed positions (no per-user window)
+    e = with_position(table(spark, d, "events").select("event_id", "ts", "user_id", "value"),
+                      ["ts", "event_id"], "_it", partition_by=["user_id"])
+    return e.select(F.col("user_id").alias("run_id"), (F.col("_it") + 1).cast("bigint").alias("iteration"),
                     F.concat(F.lit("out_"), F.col("event_id").cast("string")).alias("path"),
                     (F.col("value") / 100.0).alias("cv_score"),
                     ((F.col("value") + (F.col("event_id") % 7) - 3) / 100.0).alias("public_score"),
