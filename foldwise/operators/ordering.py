@@ -40,6 +40,15 @@ def _num_partitions(df: DataFrame, n: int | None) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def _range(df: DataFrame, keys: list[Column], num_partitions: int | None) -> DataFrame:
+    """Range-partition on ``keys``.  Without an explicit count the shuffle
+    uses spark.sql.shuffle.partitions as an upper bound and AQE may merge
+    adjacent (small) ranges, which keeps their key order."""
+    if num_partitions:
+        return df.repartitionByRange(num_partitions, *keys)
+    return df.repartitionByRange(*keys)
+
+
 def with_position(df: DataFrame, order_by: Sequence[str | Column], pos_col: str = "_pos",
                   partition_by: Sequence[str] = (), size_col: str | None = None,
                   num_partitions: int | None = None, max_groups: int | None = None) -> DataFrame:
@@ -50,10 +59,10 @@ def with_position(df: DataFrame, order_by: Sequence[str | Column], pos_col: str
 
     ``max_groups`` is a known bound on the number of groups; it lets the
     per-(partition, group) offsets table be broadcast without counting it."""
-    nparts = _num_partitions(df, num_partitions)
+    nparts = _num_partitions(df, num_partitions)  # upper bound on range partitions
     group = list(partition_by)
     keys = [*_cols(group), *_cols(order_by)]
-    ranged = (df.repartitionByRange(nparts, *keys).sortWithinPartitions(*keys)
+    ranged = (_range(df, keys, num_partitions).sortWithinPartitions(*keys)
               .withColumn("_fw_mid", F.monotonically_increasing_id()))
     ranged = (ranged.withColumn("_fw_pid", F.shiftright(F.col("_fw_mid"), _LOCAL_BITS))
               .withColumn("_fw_lix", F.col("_fw_mid").bitwiseAND(F.lit(_LOCAL_MASK))))
@@ -177,10 +186,10 @@ def running_sums(df: DataFrame, order_by: Sequence[str | Column], values: Sequen
     (range partition, group) chunk is summed, the chunk prefix offsets come
     from a table of one row per chunk, and the in-chunk running sum is a
     window over the chunk only.  ``order_by`` must be unique within a group."""
-    nparts = _num_partitions(df, num_partitions)
+    nparts = _num_partitions(df, num_partitions)  # upper bound on range partitions
     group = list(partition_by)
     keys = [*_cols(group), *_cols(order_by)]
-    ranged = materialize(df.repartitionByRange(nparts, *keys).withColumn("_fw_pid", F.spark_partition_id()))
+    ranged = materialize(_range(df, keys, num_partitions).withColumn("_fw_pid", F.spark_partition_id()))
     chunk = ranged.groupBy("_fw_pid", *group).agg(*[F.sum(v).alias(f"_fw_t{i}") for i, v in enumerate(values)])
     before = Window.partitionBy(*group).orderBy("_fw_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = chunk.select("_fw_pid", *group, *[F.coalesce(F.sum(f"_fw_t{i}").over(before), F.lit(0))
