@@ -46,5 +46,3 @@ def r(c: str | Column, name: str | None = None) -> Column:
 def is_test(id_col: str) -> Column:
     return (F.col(id_col) % 5) == 4
 
-
-TEST_SQL = "({id} % 5 = 4)"
