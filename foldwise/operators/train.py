@@ -171,9 +171,7 @@ def run_cv(matrix: DataFrame, row_id: str, label: str, features: Sequence[str],
         oof = results[0][1]
         for _, p in results[1:]:
             oof = oof.unionByName(p)
-        oof = oof.select(row_id, F.lit(name).alias("model"), "fold", "pred")
-        if prepared is None:
-            oof = materialize(oof)  # pin predictions before the fold frames are released
+        oof = materialize(oof.select(row_id, F.lit(name).alias("model"), "fold", "pred"))  # pin the predictions
         fold_test = None
         if test is not None:
             te = assemble(_with_encodings(test, test_encodings, row_id, None), fd.features)
