@@ -41,12 +41,11 @@ def _num_partitions(df: DataFrame, n: int | None) -> int:
 
 
 def _range(df: DataFrame, keys: list[Column], num_partitions: int | None) -> DataFrame:
-    """Range-partition on ``keys``.  Without an explicit count the shuffle
-    uses spark.sql.shuffle.partitions as an upper bound and AQE may merge
-    adjacent (small) ranges, which keeps their key order."""
-    if num_partitions:
-        return df.repartitionByRange(num_partitions, *keys)
-    return df.repartitionByRange(*keys)
+    """Range-partition on ``keys`` into ``num_partitions`` ranges (default
+    spark.sql.shuffle.partitions, which the cluster sizes for its data).  An
+    explicit count keeps every range a parallel task; letting AQE merge small
+    ranges measured slower (fewer, larger sort tasks)."""
+    return df.repartitionByRange(num_partitions or _num_partitions(df, None), *keys)
 
 
 def with_position(df: DataFrame, order_by: Sequence[str | Column], pos_col: str = "_pos",
