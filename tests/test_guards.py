@@ -53,3 +53,37 @@ def test_label_domain_is_bounded(spark):
     assert label_domain(df, "y", max_labels=100)[:3] == [0.0, 1.0, 2.0]
     with pytest.raises(ValueError):
         label_domain(df, "y", max_labels=10)
+
+
+def test_near_monotonic_skips_nulls(spark):
+    df = spark.createDataFrame([(0, 1.0), (1, None), (2, 2.0), (3, 1.5), (4, 3.0)], "rid long, x double")
+    r = O.near_monotonic(df, ["x"], ["rid"]).first()
+    assert r["n_nonnull"] == 4 and r["share_nondecreasing"] == pytest.approx(2 / 3) and not r["is_monotonic"]
+    short = spark.createDataFrame([(0, 1.0), (1, 2.0)], "rid long, x double")
+    assert not O.near_monotonic(short, ["x"], ["rid"]).first()["is_monotonic"]   # fewer than 3 values
+
+
+def test_r2_constant_target_and_null_predictions(spark):
+    from foldwise.operators.metrics import score
+
+    same = spark.createDataFrame([(2.0, 2.0, 1), (2.0, 2.0, 1)], "y double, pred double, g int")
+    assert score(same, "r2", group_by=["g"]).first()["score"] == 1.0
+    off = spark.createDataFrame([(2.0, 3.0, 1), (2.0, 2.0, 1)], "y double, pred double, g int")
+    assert score(off, "r2", group_by=["g"]).first()["score"] == 0.0
+    withnull = spark.createDataFrame([(1.0, None, 1), (2.0, 2.5, 1)], "y double, pred double, g int")
+    assert score(withnull, "mae", group_by=["g"]).first()["score"] == 0.5   # never-validated rows left out
+
+
+def test_probability_vectors_average_weight_and_pivot(spark):
+    from foldwise.operators import blend as B
+    from foldwise.operators.train import average_predictions
+
+    p = spark.createDataFrame([(1, "m", 0, [0.2, 0.8]), (1, "m", 1, [0.4, 0.6]), (2, "m", 0, [1.0, 0.0])],
+                              "row_id long, model string, fold int, pred array<double>")
+    avg = {r["row_id"]: r["pred"] for r in average_predictions(p).collect()}
+    assert avg[1] == pytest.approx([0.3, 0.7]) and avg[2] == [1.0, 0.0]
+    two = spark.createDataFrame([(1, "a", [0.2, 0.8]), (1, "b", [0.6, 0.4])], "row_id long, model string, pred array<double>")
+    w = spark.createDataFrame([("a", 0.25), ("b", 0.75)], "model string, weight double")
+    assert B.weighted_average(two, w).first()["pred"] == pytest.approx([0.5, 0.5])
+    wide = B.meta_features(two, ["a", "b"]).first()
+    assert (wide["a_0"], wide["a_1"], wide["b_0"], wide["b_1"]) == (0.2, 0.8, 0.6, 0.4)
