@@ -172,7 +172,10 @@ def fit_immediate(train: DataFrame, ops: Sequence[FeatureOp]) -> FittedFeatures:
         elif op.operation == "datetime_parts":
             fitted.scalars[f"tmin{i}"] = row[f"tmin{i}"]
         elif op.operation == "count_encoding":
-            t = (train.groupBy(F.col(op.columns[0]).alias("_lk_key")).agg(F.count(F.lit(1)).alias("_lk_val"))
+            key = F.col(op.columns[0])
+            if dtypes[op.columns[0]] in ("float", "double"):
+                key = F.nanvl(key, F.lit(None).cast(dtypes[op.columns[0]]))  # NaN keys are missing
+            t = (train.groupBy(key.alias("_lk_key")).agg(F.count(F.lit(1)).alias("_lk_val"))
                  .filter(F.col("_lk_key").isNotNull()))
             t, _ = size_checked_broadcast(t)
             fitted.lookups[name] = _Lookup(op, t, "raw")

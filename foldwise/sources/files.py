@@ -96,9 +96,18 @@ def load_table(spark: SparkSession, path: str, fmt: str | None = None, nrows: in
             raise ValueError("JSON must be an array of records (column-oriented objects are not supported)")
     else:
         raise ValueError(f"Unsupported data format: .{fmt}")
+    df = nan_to_null(df)
     return df.limit(nrows) if nrows is not None else df
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """Floating NaN becomes NULL (missing), so max / corr / quantiles and
+    comparisons treat it as the reference's pandas code does."""
+    fix = {f.name: F.nanvl(F.col(f.name), F.lit(None).cast(f.dataType))
+           for f in df.schema.fields if f.dataType.typeName() in ("float", "double")}
+    return df.withColumns(fix) if fix else df
+
+
 def read_header(spark: SparkSession, path: str) -> list[str]:
     """Column names only: CSV reads the header line without type inference;
     the other formats read their schema metadata, not the data."""

@@ -87,3 +87,17 @@ def test_probability_vectors_average_weight_and_pivot(spark):
     assert B.weighted_average(two, w).first()["pred"] == pytest.approx([0.5, 0.5])
     wide = B.meta_features(two, ["a", "b"]).first()
     assert (wide["a_0"], wide["a_1"], wide["b_0"], wide["b_1"]) == (0.2, 0.8, 0.6, 0.4)
+
+
+def test_nan_is_missing(spark):
+    from foldwise.operators.matrix import fit_matrix
+
+    nan = float("nan")
+    tr = spark.createDataFrame([(0, 1.0), (1, nan), (2, 3.0), (3, 5.0)], "rid long, x double")
+    f = fit_immediate(tr, [FeatureOp.of("bin_equal_width", "x", "b", bins=2),
+                           FeatureOp.of("count_encoding", "x", "ce")])
+    got = {r["rid"]: (r["b"], r["ce"]) for r in f.apply(tr).collect()}
+    assert got[1] == (None, 0) and got[0] == (0, 1) and got[3] == (1, 1)   # edges from 1..5, NaN ignored
+    fm = fit_matrix(tr, ["x"], order_by="rid")
+    filled = {r["rid"]: r["x"] for r in fm.apply(tr, keep=["rid"]).collect()}
+    assert filled[1] == 3.0                                                  # median of 1, 3, 5
