@@ -101,3 +101,15 @@ def test_nan_is_missing(spark):
     fm = fit_matrix(tr, ["x"], order_by="rid")
     filled = {r["rid"]: r["x"] for r in fm.apply(tr, keep=["rid"]).collect()}
     assert filled[1] == 3.0                                                  # median of 1, 3, 5
+
+
+def test_fewer_rows_than_folds(spark):
+    from foldwise.operators.folds import KFOLD, assign_folds
+    from foldwise.operators.infold import Deferred, infold_encode
+
+    df = spark.createDataFrame([(1, "a", 1), (2, "a", 0), (3, "b", 1)], "rid long, k string, y int")
+    f = assign_folds(df, "rid", k=5, kind=KFOLD)
+    assert sorted(r["fold"] for r in f.collect()) == [0, 1, 2]      # two folds stay empty
+    enc = infold_encode(f, [Deferred("target_encode", ("k",), "te")], "rid", "y", k=5).collect()
+    assert len(enc) == 15                                           # every row in every fit fold
+    assert all(r["te"] is not None for r in enc)
