@@ -195,7 +195,8 @@ def near_duplicates(prints: DataFrame, *, doc_id: str = "doc_id", fp: str = "fp"
 def simhash_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp (signed long), fingerprint (16 hex digits), component_id, component_fp."""
     prints = materialize(fingerprints(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "text", shingle).select("doc_id", "fp"))
-    groups = near_duplicates(prints, radius=radius)
+    # written out first, so that a fingerprint of very many documents meets it in a plain join, which Spark can split
+    groups = materialize(near_duplicates(prints, radius=radius))
     return prints.join(groups, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_fp")
 
 

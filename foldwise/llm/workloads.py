@@ -2,7 +2,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import compression, decontaminate, simhash
+from foldwise.llm import compression, decontaminate, licenses, mixing, simhash, warc
 from foldwise.llm.common import table
 
 
@@ -19,6 +19,29 @@ def op2_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.compression_rules(docs, out="r").select("doc_id", *[F.col(f"r.{n}").alias(n) for n in names])
 
 
+def op3_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the mix of sources (targets: square roots of the document counts)."""
+    mixed = mixing.pfair_mix(table(spark, sf_dir, "documents").select("doc_id", "source"), out="m")
+    return mixed.select("doc_id", "source", "m.block", "m.release", "m.deadline", "m.slot", "m.position")
+
+
+def op7_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and detections of every document."""
+    scan = licenses.license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"), out="s")
+    base, found = F.col("s.base"), F.col("s.detections")
+    starts = F.transform(base, lambda d: d["first"].cast("bigint"))
+    return scan.select("doc_id", "s.n_words", F.size(base).cast("bigint").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+                       licenses.label_list(base).alias("base_labels"), licenses.label_list(base, found).alias("labels"), F.col("s.score").alias("score"))
+
+
+def op8_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to zstandard WARC archives and read back from them."""
+    directory, manifest = warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    records = warc.read_archives(spark, directory, manifest)
+    sound = F.when(F.col("error").isNull(), F.col("record_type")).otherwise(F.raise_error(F.concat(F.col("archive"), F.lit(": "), F.col("error"))))
+    return records.select("page_id", "payload_bytes", "payload_digest", sound.alias("record_type"), "refers_to")
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of 13 words found in every document."""
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
@@ -27,7 +50,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
                         decontaminate.items_digest(F.col("c.items")).alias("items_sha256"), "c.contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_bk_tree, op2_compression_bands, op9_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_simhash_bk_tree, op2_compression_bands, op3_pfair_mix, op7_license_rules, op8_zstd_warc, op9_benchmark_decontamination)}
 
 ORACLES: dict[str, str] = {}
 
