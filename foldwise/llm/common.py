@@ -34,8 +34,9 @@ def crc_bucket(id_col: str, mod: int) -> Column:
 
 def per_text(make_worker: Callable[[], Callable[[list], list[tuple]]], schema: StructType) -> Callable[[Column], Column]:
     """A column function over texts.  ``make_worker`` runs once a task; what it returns maps a list of UTF-8
-    texts (None for null) to one tuple of ``schema``'s fields each.  Marked non-deterministic only so that Spark
-    never evaluates it twice (in a filter and again in a projection)."""
+    texts (None for null) to one tuple of ``schema``'s fields each.  A struct column gives a tuple of its fields
+    for each row instead, strings as UTF-8.  Marked non-deterministic only so that Spark never evaluates it twice
+    (in a filter and again in a projection)."""
     from pyspark.sql.functions import arrow_udf
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -48,17 +49,40 @@ def per_text(make_worker: Callable[[], Callable[[list], list[tuple]]], schema: S
             rows = []
             for at in range(0, len(texts), 512):
                 part = texts.slice(at, 512)
-                if not pa.types.is_large_binary(part.type) and not pa.types.is_binary(part.type):
-                    part = part.cast(pa.large_binary() if pa.types.is_large_string(part.type) else pa.binary())
-                rows += worker(part.to_pylist())
+                rows += worker(list(zip(*map(_plain, part.flatten()))) if pa.types.is_struct(part.type) else _plain(part))
             columns = list(zip(*rows)) if rows else [[] for _ in names]
             yield pa.StructArray.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds)], names=names)
 
     return arrow_udf(run, returnType=schema).asNondeterministic()
 
 
-def with_struct(df: DataFrame, made: Column, *names: str, hidden: str = "__made") -> DataFrame:
-    """``df`` with the fields ``names`` of the struct ``made``; they replace columns of the same name."""
-    wide = df.withColumn(hidden, made)
-    low = {n.lower() for n in names}
-    return wide.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low], *[F.col(f"{hidden}.{n}").alias(n) for n in names])
+def _plain(values: pa.Array) -> list:
+    if pa.types.is_string(values.type) or pa.types.is_large_string(values.type):
+        values = values.cast(pa.large_binary() if pa.types.is_large_string(values.type) else pa.binary())
+    return values.to_pylist()
+
+
+class Buckets(dict):
+    """Word to hash value, kept for the words seen lately; at most ``limit`` of them."""
+
+    def __init__(self, hashed: Callable[[bytes], int], limit: int = 400_000):
+        super().__init__()
+        self.hashed, self.limit = hashed, limit
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        value = self[word] = self.hashed(word)
+        return value
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, *, label: str, columns: list[str], doc_id: str, text: str, rows: int, max_bytes: int, held_out: tuple[int, int]) -> DataFrame:
+    """At most ``rows`` labelled documents to learn from, the first by a hash of their id: ``columns`` and ``label``
+    (0 or 1).  Rows whose crc32 of the id is remainder ``held_out[1]`` modulo ``held_out[0]`` are never among them, nor
+    texts over ``max_bytes``.  A document labelled twice counts with the larger label; null labels and ids are left out."""
+    known = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias(label)).filter(F.col(label).isin(0, 1) & F.col("__id").isNotNull())
+    known = known.filter(crc_bucket("__id", held_out[0]) != held_out[1]).groupBy("__id").agg(F.max(label).alias(label))
+    chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(rows)
+    rest = docs.select(F.col(f"`{doc_id}`").alias("__id"), *[F.col(f"`{c}`") for c in columns]).filter(F.octet_length(F.col(f"`{text}`").cast("binary")) <= max_bytes)
+    # ``rows`` ids and labels: a bounded side
+    return rest.join(F.broadcast(chosen), "__id").dropDuplicates(["__id"])

@@ -2,8 +2,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import compression, decontaminate, licenses, mixing, simhash, warc
-from foldwise.llm.common import table
+from foldwise.llm import compression, decontaminate, fm, licenses, mixing, simhash, textcnn, warc
+from foldwise.llm.common import crc_bucket, table
 
 
 def op1_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,14 @@ def op3_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "m.block", "m.release", "m.deadline", "m.slot", "m.position")
 
 
+def op4_text_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = textcnn.train_toxicity(docs, table(spark, sf_dir, "labels"))
+    scored = textcnn.toxicity_scores(docs, model, out="t")
+    return scored.select("doc_id", (crc_bucket("doc_id", 4) == 2).alias("held_out"), "t.score", "t.predicted", "t.language_threshold", "t.flagged")
+
+
 def op7_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and detections of every document."""
     scan = licenses.license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"), out="s")
@@ -50,7 +58,15 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
                         decontaminate.items_digest(F.col("c.items")).alias("items_sha256"), "c.contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_bk_tree, op2_compression_bands, op3_pfair_mix, op7_license_rules, op8_zstd_warc, op9_benchmark_decontamination)}
+def op10_factor_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    model = fm.train_quality(docs, table(spark, sf_dir, "labels"))
+    scored = fm.quality_scores(docs, model, out="q")
+    return scored.select("doc_id", (crc_bucket("doc_id", 4) == 2).alias("held_out"), "q.score", "q.predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_bk_tree, op2_compression_bands, op3_pfair_mix, op4_text_cnn, op7_license_rules, op8_zstd_warc, op9_benchmark_decontamination, op10_factor_machine)}
 
 ORACLES: dict[str, str] = {}
 
