@@ -2,7 +2,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import compression, decontaminate, fm, licenses, mixing, simhash, textcnn, warc
+from foldwise.llm import compression, decontaminate, fm, language, licenses, mixing, simhash, textcnn, warc
 from foldwise.llm.common import crc_bucket, table
 
 
@@ -33,6 +33,20 @@ def op4_text_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_bucket("doc_id", 4) == 2).alias("held_out"), "t.score", "t.predicted", "t.language_threshold", "t.flagged")
 
 
+def op5_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document and of every page, from text, declared markup language, address suffix and host.
+
+    Documents have a doc_id, pages a page_id; a document's source stands for its host.  Text likelihoods are learnt
+    from the documents' lang outside the held-out remainder."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    model = language.train_text_model(docs)
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = docs.select("doc_id", none("bigint").alias("page_id"), "text", none("string").alias("html"), none("string").alias("url"), "source").unionByName(
+        pages.select(none("bigint").alias("doc_id"), "page_id", none("string").alias("text"), F.coalesce("html", F.lit("")).alias("html"), "url", none("string").alias("source")))
+    found = language.language_fusion(rows, model, text="text", markup="html", url="url", host="source", out="l")
+    return found.select("doc_id", "page_id", "l.language", F.round("l.posterior", 6).alias("posterior"), "l.text_language", "l.declared", "l.host", "l.n_words", "l.kept")
+
+
 def op7_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and detections of every document."""
     scan = licenses.license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"), out="s")
@@ -66,7 +80,7 @@ def op10_factor_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_bucket("doc_id", 4) == 2).alias("held_out"), "q.score", "q.predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_bk_tree, op2_compression_bands, op3_pfair_mix, op4_text_cnn, op7_license_rules, op8_zstd_warc, op9_benchmark_decontamination, op10_factor_machine)}
+QUERIES = {f.__name__: f for f in (op1_simhash_bk_tree, op2_compression_bands, op3_pfair_mix, op4_text_cnn, op5_language_fusion, op7_license_rules, op8_zstd_warc, op9_benchmark_decontamination, op10_factor_machine)}
 
 ORACLES: dict[str, str] = {}
 
