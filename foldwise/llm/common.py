@@ -1,4 +1,5 @@
 """Helpers that the operators share: table reads, tokens on bytes, per-task workers as Arrow UDFs."""
+import uuid
 from typing import Callable, Iterator
 
 import pyarrow as pa
@@ -6,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from foldwise.session import prepare_session
+from foldwise.session import ensure_checkpoint_dir, prepare_session
 
 #: ASCII letters to lower case, every other ASCII byte that is no digit to a space; bytes from 0x80 on belong to words.
 ALNUM_TABLE = bytes(c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -17,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the session's checkpoint directory, which all executors share."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def alnum_words(data: bytes) -> list[bytes]:
     """Lower-cased words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``; UTF-8 keeps bytes over 0x7F for longer characters."""
     return data.translate(ALNUM_TABLE).split()

@@ -11,7 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.session import ensure_checkpoint_dir, materialize, size_checked_broadcast
+from foldwise.llm.common import scratch_folder
+from foldwise.session import materialize, size_checked_broadcast
 
 SKIPPABLE = 0x184D2A5D
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
@@ -124,7 +125,7 @@ def write_archives(pages: DataFrame, *, min_bytes: int = 0, level: int = 3, arch
     hold at most DICTIONARY_PAGE_BYTES.
     Null html is an empty payload; an empty table writes nothing."""
     spark = pages.sparkSession
-    directory = directory or f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    directory = directory or scratch_folder(spark, "warc")
     files, root = filesystem(directory)
     files.create_dir(root, recursive=True)
     ids = pages.select("page_id").filter("page_id is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(DICTIONARY_PAGES)

@@ -2,7 +2,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import compression, decontaminate, fm, language, licenses, mixing, simhash, textcnn, warc
+from foldwise.llm import compression, decontaminate, fm, language, licenses, mixing, ngram, simhash, textcnn, warc
 from foldwise.llm.common import crc_bucket, table
 
 
@@ -47,6 +47,11 @@ def op5_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "page_id", "l.language", F.round("l.posterior", 6).alias("posterior"), "l.text_language", "l.declared", "l.host", "l.n_words", "l.kept")
 
 
+def op6_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under the bigram model of the training rows."""
+    return ngram.lm_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and detections of every document."""
     scan = licenses.license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"), out="s")
@@ -80,7 +85,14 @@ def op10_factor_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_bucket("doc_id", 4) == 2).alias("held_out"), "q.score", "q.predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_bk_tree, op2_compression_bands, op3_pfair_mix, op4_text_cnn, op5_language_fusion, op7_license_rules, op8_zstd_warc, op9_benchmark_decontamination, op10_factor_machine)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline over documents, stage by stage."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_bk_tree, op2_compression_bands, op3_pfair_mix, op4_text_cnn, op5_language_fusion, op6_elias_fano_lm, op7_license_rules, op8_zstd_warc, op9_benchmark_decontamination, op10_factor_machine, pipeline)}
 
 ORACLES: dict[str, str] = {}
 
