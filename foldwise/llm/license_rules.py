@@ -15,7 +15,7 @@ gpl-2.0 | 2 | gpl | (gnu gpl|gpl) [version|v] (2|2 0|v2|v2 0) [only]
 gpl-3.0 | 2 | gpl | (gnu gpl|gpl) [version|v] (3|3 0|v3|v3 0) [only]
 gpl-2.0-or-later | 3 | gnu | gnu general public license [as published by the free software foundation] [either] (version 2|v2) [0] [of the license] or (any later version|at your option any later version|later)
 gpl-3.0-or-later | 3 | gnu | gnu general public license [as published by the free software foundation] [either] (version 3|v3) [0] [of the license] or (any later version|at your option any later version|later)
-gpl-1.0 | 3 | licensed | (licensed|released|distributed) under [the terms of] the gnu general public license [as published by the free software foundation] version 1 [0]
+gpl-1.0 | 3 | gnu | (licensed|released|distributed) under [the terms of] the gnu general public license [as published by the free software foundation] version 1 [0]
 gpl-2.0 | 3 | gnu | (licensed|released|distributed|available) under [the terms of] the gnu general public license [as published by the free software foundation] version 2 [0]
 gpl-3.0 | 3 | gnu | (licensed|released|distributed|available) under [the terms of] the gnu general public license [as published by the free software foundation] version 3 [0]
 gpl | 3 | gnu | (licensed|released|distributed|available) under [the terms of] the gnu general public license
@@ -128,7 +128,8 @@ ms-rl | 1 | microsoft | microsoft reciprocal (license|licence)
 afl-3.0 | 1 | academic | academic free license [version|v] [3|3 0|2 1]
 osl-3.0 | 1 | osl | osl 3 0
 osl | 1 | open | open software (license|licence) [version|v] [3|3 0]
-qpl-1.0 | 1 | qpl | (qpl|q public license) [1 0]
+qpl-1.0 | 1 | qpl | qpl [1 0]
+qpl-1.0 | 1 | q | q public license [1 0]
 vim | 1 | vim | vim license
 beerware | 1 | beerware | beerware [license]
 beerware | 3 | beer | you can buy me a beer in return
@@ -139,7 +140,8 @@ odbl | 1 | odbl | odbl [1 0]
 odbl | 1 | database | open (database|data commons open database) (license|licence) [odbl]
 odc-by | 1 | commons | open data commons attribution license
 pddl | 1 | pddl | pddl [1 0]
-openrail | 1 | openrail | (openrail|open rail m|openrail m|creativeml openrail m) [license]
+openrail | 1 | openrail | (openrail|openrail m|creativeml openrail m) [license]
+openrail | 1 | rail | open rail m [license]
 sspl-1.0 | 1 | sspl | sspl [1 0|1]
 sspl-1.0 | 1 | side | server side public license [version] [1]
 busl-1.1 | 1 | business | business source license [version] [1 1]
