@@ -4,7 +4,6 @@ Words of the items get a code point each, so that a window of words is a short s
 character a word (all words that no item has share one character, which no pattern holds).  The automaton then
 runs over words, not bytes; hits come back as word positions and, for texts with hits, as offsets in the original.
 """
-import hashlib
 import re
 from itertools import chain
 
@@ -96,18 +95,18 @@ def original_spans(text: bytes, words: list[list[int]]) -> list[list[int]]:
 
 
 def scan_texts(blocks: list[dict]):
-    """Worker factory: the automata are built once a task from the shipped windows."""
+    """Worker factory over (text, items so far, runs so far): the automata are built once a task from the shipped windows."""
 
     def make():
         machines = [WindowScanner(b) for b in blocks]
 
-        def work(texts):
+        def work(rows):
             out = []
-            for text in texts:
+            for text, items, runs in rows:
                 words = alnum_words(text or b"")
                 found = list(chain.from_iterable(m.scan(words) for m in machines)) if words else []
-                runs = merged([(a, b) for a, b, _ in found])
-                keys = sorted({k for _, _, ks in found for k in ks})
+                runs = merged([(a, b) for a, b, _ in found] + [tuple(r) for r in runs or ()])
+                keys = sorted({k for _, _, ks in found for k in ks}.union(items or ()))
                 out.append((len(words), sum(b - a for a, b in runs), keys, runs, original_spans(text, runs) if runs else []))
             return out
 
@@ -116,11 +115,18 @@ def scan_texts(blocks: list[dict]):
     return make
 
 
-def collect_items(items: DataFrame, item_id: str, item_text: str, max_bytes: int) -> list[tuple[str, bytes]] | None:
-    """The items, or None where they hold more than ``max_bytes``; null ids and empty texts are no items."""
+def item_slices(items: DataFrame, item_id: str, item_text: str, max_bytes: int) -> list[list[tuple[str, bytes]]]:
+    """The items in as few hash slices (a power of two) as keep each within ``max_bytes``; null ids and texts are no items."""
     kept = items.select(F.col(item_id).cast("string").alias("k"), F.col(item_text).cast("binary").alias("t")).filter("k is not null and t is not null")
-    size = kept.agg(F.sum(F.octet_length("t") + F.length("k") + 64)).first()[0] or 0
-    return [(r.k, bytes(r.t)) for r in kept.collect()] if size <= max_bytes else None
+    slices = 1
+    while True:
+        own = F.pmod(F.xxhash64("k"), F.lit(slices))
+        largest = kept.groupBy(own.alias("s")).agg(F.sum(F.octet_length("t") + F.length("k") + 64).alias("n")).agg(F.max("n")).first()[0] or 0
+        if largest <= max_bytes:
+            return [[(r.k, bytes(r.t)) for r in kept.filter(own == i).collect()] for i in range(slices)]
+        if slices >= 1 << 16:
+            raise ValueError("one benchmark item is larger than max_item_bytes")
+        slices *= 2
 
 
 def contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text",
@@ -129,60 +135,20 @@ def contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", item
     items (ids with occurring windows, sorted as strings), hit_words (runs of word positions), spans (the same
     as character offsets in the original text), contaminated (n_hit > 0 and share * n_hit >= n_words).
 
-    The items are broadcast while they fit ``max_item_bytes``; a larger benchmark is scanned in several passes
-    over hash slices of its items, each within that bound, and the passes' hits are merged per row.
+    The items are shipped to the tasks while they fit ``max_item_bytes``; a larger benchmark is scanned in several
+    passes over hash slices of its items, each within that bound, and each pass adds to the row's hits so far.
     Null and empty texts have no words and are not contaminated; items without words never occur; repeated items
     count once; repeated rows are judged alike; an input column named ``out`` is replaced.
     """
-    held = collect_items(items, item_id, item_text, max_item_bytes)
-    columns = [F.col(f"`{c}`") for c in docs.columns if c.lower() != out.lower()]
-    if held is not None:
-        found = per_text(scan_texts(item_blocks(held, width)), HITS)(F.col(f"`{text}`"))
-        wide = docs.select(*columns, found.alias("__hits"))
-        hits = F.col("__hits")
-    else:
-        slices = 2
-        while True:
-            parts = [items.filter(F.pmod(F.xxhash64(item_id), F.lit(slices)) == i) for i in range(slices)]
-            lists = [collect_items(p, item_id, item_text, max_item_bytes) for p in parts]
-            if all(x is not None for x in lists) or slices > 4096:
-                break
-            slices *= 2
-        if any(x is None for x in lists):
-            raise ValueError("one benchmark item is larger than max_item_bytes")
-        wide = docs.select(*columns)
-        for i, part in enumerate(lists):
-            wide = wide.withColumn(f"__hits{i}", per_text(scan_texts(item_blocks(part, width)), HITS)(F.col(f"`{text}`")))
-        made = [F.col(f"__hits{i}") for i in range(slices)]
-        runs = merge_runs(F.flatten(F.array(*[h["hit_words"] for h in made])))
-        hits = F.struct(made[0]["n_words"].alias("n_words"), run_length(runs).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.array(*[h["items"] for h in made])))).alias("items"),
-                        runs.alias("hit_words"), merge_runs(F.flatten(F.array(*[h["spans"] for h in made]))).alias("spans"))
-        wide = wide.withColumn("__hits", hits).drop(*[f"__hits{i}" for i in range(slices)])
-        hits = F.col("__hits")
+    wide = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != out.lower()], F.col(f"`{text}`").cast("string").alias("__text"))
+    wide = wide.withColumn("__hits", F.lit(None).cast(HITS))
+    for part in item_slices(items, item_id, item_text, max_item_bytes):
+        hits = F.struct("__text", F.col("__hits.items").alias("items"), F.col("__hits.hit_words").alias("runs"))
+        wide = wide.withColumn("__hits", per_text(scan_texts(item_blocks(part, width)), HITS)(hits))
+    hits = F.col("__hits")
     dirty = (hits["n_hit"] > 0) & (hits["n_hit"] * share >= hits["n_words"])
-    return wide.withColumn(out, F.struct(*[hits[n].alias(n) for n in HITS.names], dirty.alias("contaminated"))).drop("__hits")
-
-
-def merge_runs(runs):
-    """Union of [start, end) runs in a column of arrays."""
-    start = F.array().cast("array<array<bigint>>")
-
-    def add(acc, run):
-        last = F.element_at(acc, -1)
-        apart = (F.size(acc) == 0) | (F.try_element_at(F.try_element_at(acc, F.lit(-1)), F.lit(2)) < run[0])
-        return F.when(apart, F.concat(acc, F.array(run))).otherwise(
-            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.array(last[0], F.greatest(last[1], run[1])))))
-
-    return F.aggregate(F.array_sort(runs), start, add)
-
-
-def run_length(runs):
-    return F.aggregate(runs, F.lit(0).cast("bigint"), lambda acc, r: acc + r[1] - r[0])
+    return wide.withColumn(out, F.struct(*[hits[n].alias(n) for n in HITS.names], dirty.alias("contaminated"))).drop("__hits", "__text")
 
 
 def items_digest(items) -> F.Column:
     return F.sha2(F.array_join(items, ",").cast("binary"), 256)
-
-
-def sha256_of(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
