@@ -10,9 +10,9 @@ CHUNK_BYTES = 4096
 LEVEL = 3
 #: (bytes from, lowest ratio, highest ratio) of whole texts: compressed bytes over bytes. Short texts compress
 #: little, long ones more, so that both limits fall with the length.
-WHOLE_BANDS = ((0, 0.0, 20.0), (200, 0.25, 0.97), (500, 0.22, 0.92), (1000, 0.20, 0.86), (2000, 0.17, 0.82), (8000, 0.14, 0.78), (32000, 0.12, 0.74))
+WHOLE_BANDS = ((0, 0.0, 20.0), (200, 0.25, 0.97), (500, 0.22, 0.88), (1000, 0.20, 0.82), (2000, 0.17, 0.76), (8000, 0.14, 0.72), (32000, 0.12, 0.70))
 #: The same for the median of full chunks.
-CHUNK_BAND = (0.15, 0.80)
+CHUNK_BAND = (0.15, 0.74)
 
 RATIOS = T.StructType([
     T.StructField("n_words", T.LongType()), T.StructField("word_chars", T.LongType()), T.StructField("n_symbols", T.LongType()),
