@@ -34,9 +34,9 @@ LEVELS = ("suffix", "domain", "host")
 SECOND_LEVEL = ("co", "com", "org", "net", "ac", "gov", "edu")
 
 _DROPPED = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w{1,10};")
-_DECLARED = (re.compile(rb"(?is)<html\b[^>]*?\s(?:xml:)?lang\s*=\s*[\"']?\s*([a-z]{2,3})\b"),
-             re.compile(rb"(?is)<meta\b[^>]*?http-equiv\s*=\s*[\"']?content-language[\"']?[^>]*?content\s*=\s*[\"']?\s*([a-z]{2,3})\b"),
-             re.compile(rb"(?is)<meta\b[^>]*?property\s*=\s*[\"']?og:locale[\"']?[^>]*?content\s*=\s*[\"']?\s*([a-z]{2,3})\b"))
+_DECLARED = (re.compile(rb"(?is)<html\b[^>]*?\s(?:xml:)?lang\s*=\s*[\"']?\s*([a-z]{2,3})(?![a-z])"),
+             re.compile(rb"(?is)<meta\b[^>]*?http-equiv\s*=\s*[\"']?content-language[\"']?[^>]*?content\s*=\s*[\"']?\s*([a-z]{2,3})(?![a-z])"),
+             re.compile(rb"(?is)<meta\b[^>]*?property\s*=\s*[\"']?og:locale[\"']?[^>]*?content\s*=\s*[\"']?\s*([a-z]{2,3})(?![a-z])"))
 
 EVIDENCE = T.StructType([T.StructField("loglik", T.ArrayType(T.DoubleType())), T.StructField("n_words", T.LongType()), T.StructField("declared", T.StringType())])
 
