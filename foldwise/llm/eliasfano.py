@@ -52,7 +52,7 @@ class EliasFano:
                 low[at * bits // 8:at * bits // 8 + len(packed)] = packed
         where = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         size = int(where[-1]) + 2 if n else 1
-        flags = np.zeros(-(-size // 64) * 64, dtype=np.uint8)
+        flags = np.zeros(-(-(size + 1) // 64) * 64, dtype=np.uint8)
         flags[where] = 1
         high = np.packbits(flags, bitorder="little").view("<u8")
         count = np.bitwise_count(high).astype(np.int64)
@@ -71,32 +71,37 @@ class EliasFano:
         bit = 64 * word + _positions(self.high[word], at - self.ones[word])
         return ((bit - at).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(at)
 
+    def _bucket_start(self, bucket: np.ndarray) -> np.ndarray:
+        """The place of the first value whose high part is ``bucket`` or more: the ones before the zero that opens it."""
+        out = np.zeros(len(bucket), dtype=np.int64)
+        later = np.flatnonzero(bucket > 0)
+        rank = bucket[later] - 1
+        word = np.searchsorted(self.zeros, rank, side="right") - 1
+        out[later] = 64 * word + _positions(~self.high[word], rank - self.zeros[word]) - rank
+        return out
+
     def find(self, wanted: np.ndarray) -> np.ndarray:
-        """The place of each wanted value's first occurrence, -1 where it doesn't occur: from the zero that opens its high part's
-        bucket, successors are compared by their low bits."""
+        """The place of each wanted value's first occurrence, -1 where it doesn't occur: its successor among the values of
+        the same high part is searched by the low bits."""
         wanted = wanted.astype(np.uint64)
         place = np.full(len(wanted), -1, dtype=np.int64)
         bucket = (wanted >> np.uint64(self.low_bits)).astype(np.int64)
-        rank = bucket - 1
-        inside = bucket < 64 * len(self.high) - self.n
-        todo = np.flatnonzero(inside)
-        rank, bucket = rank[todo], bucket[todo]
-        bit = np.zeros(len(todo), dtype=np.int64)  # the first bit of the bucket
-        later = rank >= 0
-        word = np.searchsorted(self.zeros, rank[later], side="right") - 1
-        bit[later] = 64 * word + _positions(~self.high[word], rank[later] - self.zeros[word]) + 1
+        todo = np.flatnonzero(bucket < 64 * len(self.high) - self.n - 1)
+        bucket = bucket[todo]
+        at, end = self._bucket_start(bucket), self._bucket_start(bucket + 1)
         low = wanted[todo] & np.uint64((1 << self.low_bits) - 1)
-        while len(todo):
-            valid = bit < 64 * len(self.high)
-            todo, bit, bucket, low = todo[valid], bit[valid], bucket[valid], low[valid]
-            one = (self.high[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
-            todo, bit, bucket, low = todo[one], bit[one], bucket[one], low[one]
-            at = bit - bucket
-            held = self._low(at)
-            same = held == low
-            place[todo[same]] = at[same]
-            below = held < low
-            todo, bit, bucket, low = todo[below], bit[below] + 1, bucket[below], low[below]
+        some = end > at
+        todo, at, end, low = todo[some], at[some], end[some], low[some]
+        last, active = end.copy(), np.arange(len(at))
+        while len(active):
+            middle = (at[active] + end[active]) >> 1
+            below = self._low(middle) < low[active]
+            at[active[below]] = middle[below] + 1
+            end[active[~below]] = middle[~below]
+            active = active[at[active] < end[active]]
+        inside = np.flatnonzero(at < last)
+        same = inside[self._low(at[inside]) == low[inside]]
+        place[todo[same]] = at[same]
         return place
 
 
@@ -139,7 +144,7 @@ class NgramTrie:
                 file.write(np.ascontiguousarray(part).data)
             file.write(b"\0" * 8)
             file.flush()
-            whole = np.memmap(file, dtype=np.uint8, mode="r")
+            whole = np.memmap(file, dtype=np.uint8, mode="r").view(np.ndarray)
         mapped = [whole[at:at + p.nbytes].view(p.dtype) for (_, p), at in zip(levels, places)]
         for k, name in enumerate(("contexts", "pointers", "followers")):
             old = getattr(self, name)

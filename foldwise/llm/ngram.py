@@ -25,8 +25,9 @@ HEAPS = 0.75
 HELD_OUT = (10, 0)
 #: Tokens of one batch of documents, bytes of text that make a shard, occurrences from which an earlier word is split.
 BATCH_TOKENS = 2_000_000
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 16 << 20
 SPLIT_COUNT = 500_000
+LOOKUPS = 1 << 18
 END_HASH, START = 1, 0
 
 ROWS = "kind int, batch long, shard long, a long, b long, blob binary"
@@ -45,8 +46,8 @@ class Index(dict):
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays one after the other, each with its type and length, compressed."""
-    return _PRESS.compress(b"".join(x for a in arrays for x in (f"{a.dtype.str}:{len(a)};".encode(), a.tobytes())))
+    """Arrays one after the other, each with its type and length, compressed; like bytes of the values lie together."""
+    return _PRESS.compress(b"".join(x for a in arrays for x in (f"{a.dtype.str}:{len(a)};".encode(), np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"")))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
@@ -54,9 +55,10 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     while at < len(data):
         end = data.index(b";", at)
         kind, _, size = data[at:end].decode().partition(":")
-        dtype = np.dtype(kind)
-        out.append(np.frombuffer(data, dtype=dtype, count=int(size), offset=end + 1))
-        at = end + 1 + int(size) * dtype.itemsize
+        dtype, at = np.dtype(kind), end + 1
+        raw = np.frombuffer(data, dtype=np.uint8, count=int(size) * dtype.itemsize, offset=at)
+        out.append(np.ascontiguousarray(raw.reshape(dtype.itemsize, int(size)).T).view(dtype).reshape(int(size)))
+        at += len(raw)
     return out
 
 
@@ -229,14 +231,18 @@ def _score(total: int, types: int, add: float, heaps: float):
             seen = times > 0
             known = np.unique(context)
             known = known[counts[known] > 0]
+            del keys
             trie = learn_trie(context[seen], word[seen], times[seen], known, counts[known], logp_word, heaps)
-            logp, logb = trie.lookup(context, word)
-            logp = np.where(np.isnan(logp), logb + logp_word[word], logp)
+            answers = np.empty(len(distinct))
+            for at in range(0, len(distinct), LOOKUPS):
+                part = slice(at, at + LOOKUPS)
+                logp, logb = trie.lookup(context[part], word[part])
+                answers[part] = np.where(np.isnan(logp), logb + logp_word[word[part]], logp)
             at = 0
-            for r, p, k in zip(rows, parts, keys):
+            for r, p in zip(rows, parts):
                 doc = np.cumsum(p[4].astype(np.int64))
-                yield _row(SUMS, r[1], shard, 0, 0, pack(np.bincount(doc, logp[back[at:at + len(k)]])))
-                at += len(k)
+                yield _row(SUMS, r[1], shard, 0, 0, pack(np.bincount(doc, answers[back[at:at + len(doc)]])))
+                at += len(doc)
 
     return run
 
