@@ -2,7 +2,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import compression, decontaminate, fm, language, licenses, mixing, ngram, simhash, textcnn, warc
+from foldwise.llm import compression, decontaminate, fm, language, licenses, mixing, ngram, oracles, simhash, textcnn, warc
 from foldwise.llm.common import crc_bucket, table
 
 
@@ -94,7 +94,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_simhash_bk_tree, op2_compression_bands, op3_pfair_mix, op4_text_cnn, op5_language_fusion, op6_elias_fano_lm, op7_license_rules, op8_zstd_warc, op9_benchmark_decontamination, op10_factor_machine, pipeline)}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op7_license_rules": oracles.licenses_sql(), "op8_zstd_warc": oracles.WARC_SQL, "op9_benchmark_decontamination": oracles.CONTAMINATION_SQL}
 
 
 def queries() -> dict:
