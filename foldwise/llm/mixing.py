@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 BLOCK_DOCS = 32
 RESOLUTION = 1000
 MAX_SOURCES = 500
-BUCKET_DOCS = 20_000
+BUCKET_DOCS = 1_000
 REST = "(rest)"
 
 
@@ -87,11 +87,12 @@ def default_weights(counts: dict[str, int], power: float = 0.5) -> dict[str, flo
     return {s: float(n) ** power for s, n in counts.items()}
 
 
-def numbered(docs: DataFrame, counts_rows: int, group: str, order_id: str) -> DataFrame:
+def numbered(docs: DataFrame, counts: dict[str, int], group: str, order_id: str) -> DataFrame:
     """``docs`` with ``nr`` (from 0) within ``group`` in order of a hash of ``order_id``.  Rows are numbered inside
-    hash buckets of about BUCKET_DOCS rows, and buckets offset by the counts before them, so no group meets in one task."""
-    buckets = max(1, -(-counts_rows // BUCKET_DOCS))
-    rows = docs.withColumn("__h", F.xxhash64(order_id)).withColumn("__bucket", F.pmod(F.col("__h"), F.lit(buckets)))
+    hash buckets of about BUCKET_DOCS rows, as many as the group's ``counts`` ask for, and buckets offset by the counts
+    before them, so no group meets in one task."""
+    buckets = F.create_map(*[x for s, n in counts.items() for x in (F.lit(s), F.lit(max(1, -(-n // BUCKET_DOCS))))])
+    rows = docs.withColumn("__h", F.xxhash64(order_id)).withColumn("__bucket", F.pmod(F.col("__h"), buckets[F.col(group)]))
     sizes = rows.groupBy(group, "__bucket").agg(F.count("*").alias("n"))
     # one row per group and bucket: sums over it are small
     before = sizes.alias("x").selectExpr(f"{group}", "__bucket", f"sum(n) over (partition by {group} order by __bucket rows between unbounded preceding and 1 preceding) as __before")
@@ -129,7 +130,7 @@ def pfair_mix(docs: DataFrame, *, source: str = "source", doc_id: str = "doc_id"
     known = [s for s in counts if s != REST]
     group = F.coalesce(F.col(f"`{source}`").cast("string"), F.lit(""))
     rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.when(group.isin(known), group).otherwise(REST).alias("mix_source"), F.col(f"`{doc_id}`").alias("__id"))
-    rows = numbered(rows, total, "mix_source", "__id")
+    rows = numbered(rows, counts or {"": 0}, "mix_source", "__id")
     rows = rows.withColumn("__block", F.floor(F.col("nr") / block_docs)).withColumn("__in", F.col("nr") % block_docs)
     wide = rows.join(F.broadcast(phase), (rows["mix_source"] == phase["mix_source"]) & (F.col("__block") >= F.col("first_block")) & (F.col("__block") < F.col("first_block") + F.col("blocks")))
     turn = F.floor((F.col("__block") - F.col("first_block")) / F.col("parts"))
