@@ -139,15 +139,13 @@ def fit_immediate(train: DataFrame, ops: Sequence[FeatureOp]) -> FittedFeatures:
             aggs.append(F.min(C.as_double(a)).alias(f"min{i}"))
         elif op.operation == "bin_equal_width":
             aggs += [F.min(C.as_double(a)).alias(f"lo{i}"), F.max(C.as_double(a)).alias(f"hi{i}")]
-        elif op.operation == "bin_equal_freq":
-            aggs.append(F.approx_count_distinct(C.as_double(a)).alias(f"nd{i}"))
         elif op.operation == "datetime_parts":
             aggs.append(F.min(C.epoch_micros(a, dtypes[a])).alias(f"tmin{i}"))
     row = train.agg(*aggs).first().asDict() if aggs else {}
     freq = [(i, op) for i, op in enumerate(ops) if op.operation == "bin_equal_freq"]
     for i, op in freq:  # exact quantiles; per op because the bin counts differ
         src = train.select(C.as_double(op.columns[0]).alias("x"))
-        row[f"q{i}"] = quantiles(src, ["x"], _quantile_points(op.param("bins", 10)), {"x": row[f"nd{i}"]})["x"]
+        row[f"q{i}"] = quantiles(src, ["x"], _quantile_points(op.param("bins", 10)))["x"]
         if row[f"q{i}"][0] is None:
             row[f"q{i}"] = None
     fitted = FittedFeatures(ops, {})

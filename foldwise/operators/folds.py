@@ -3,7 +3,8 @@
 Folds are a ``(row_id, fold)`` column computed from distributed positions, so
 no step puts a whole table (or a whole class) into one task:
 
-* shuffled K-fold: position in ``md5('<seed>:<row_id>')`` order, ``pos % k``;
+* shuffled K-fold: position in ``md5('<seed>:<row_id>')`` order, ``pos % k``
+  (ranked inside buckets of the hash's first digits, nothing sorted globally);
 * stratified: the same position counted within each class;
 * forward chaining: ``t = n div (k+1)``; fold i validates positions
   ``[n-(k-i)t, n-(k-i-1)t)``; the first ``n-k*t`` rows are never validated
@@ -22,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.operators.ordering import with_position
+from foldwise.operators.ordering import with_hash_position, with_position
 
 KFOLD = "kfold"
 STRATIFIED = "stratified"
@@ -46,7 +47,7 @@ def _ntile(pos: Column, n: Column, k: int) -> Column:
 
 def assign_folds(df: DataFrame, row_id: str, k: int = 5, kind: str = KFOLD, seed: int = 42,
                  y: str | None = None, order_by: Sequence[str] | None = None,
-                 fold_col: str = "fold", max_classes: int | None = None) -> DataFrame:
+                 fold_col: str = "fold") -> DataFrame:
     """Return ``df`` with an INT ``fold_col``.
 
     ``kind``: ``kfold`` (shuffled), ``stratified`` (shuffled within ``y``),
@@ -58,18 +59,16 @@ def assign_folds(df: DataFrame, row_id: str, k: int = 5, kind: str = KFOLD, seed
         raise ValueError("need at least 2 folds")
     needed = list(dict.fromkeys([row_id, *([y] if y else []), *(order_by or [])]))
     if set(df.columns) - set(needed):
-        # number only the narrow key projection (that is what gets pinned in
-        # the checkpoint directory) and join the fold back by row id
-        folds = assign_folds(df.select(*needed), row_id, k, kind, seed, y, order_by, fold_col, max_classes)
+        # number only the narrow key projection and join the fold back by row id
+        folds = assign_folds(df.select(*needed), row_id, k, kind, seed, y, order_by, fold_col)
         return df.join(folds.select(row_id, fold_col), row_id, "inner")
     if kind == KFOLD:
-        out = with_position(df, [shuffle_key(row_id, seed), F.col(row_id)], "_fw_fpos")
+        out = with_hash_position(df, shuffle_key(row_id, seed), row_id, "_fw_fpos")
         fold = F.col("_fw_fpos") % k
     elif kind == STRATIFIED:
         if not y:
             raise ValueError("stratified folds need the target column")
-        out = with_position(df, [shuffle_key(row_id, seed), F.col(row_id)], "_fw_fpos",
-                            partition_by=[y], max_groups=max_classes)
+        out = with_hash_position(df, shuffle_key(row_id, seed), row_id, "_fw_fpos", partition_by=[y])
         fold = F.col("_fw_fpos") % k
     elif kind == FORWARD:
         order = list(order_by or [row_id])
@@ -85,7 +84,7 @@ def assign_folds(df: DataFrame, row_id: str, k: int = 5, kind: str = KFOLD, seed
         if row_id not in order:
             order.append(row_id)
         out = with_position(df, order, "_fw_fpos", partition_by=[y] if y else [],
-                            size_col="_fw_n", max_groups=max_classes)
+                            size_col="_fw_n")
         fold = _ntile(F.col("_fw_fpos"), F.col("_fw_n"), k)
     else:
         raise ValueError(f"unknown fold kind {kind!r}")

@@ -34,18 +34,53 @@ def _cols(cs: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cs]
 
 
+#: Bytes of a range partition, and of the md5 prefix the hex digits that make a bucket.
+RANGE_BYTES = 64 << 20
+PREFIX_DIGITS = 4
+
+
 def _num_partitions(df: DataFrame, n: int | None) -> int:
+    """Ranges for ``df``: as many as its planned size needs, and no fewer than
+    the session's shuffle partitions.  Plans of unknown size keep the latter."""
     if n:
         return n
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    held = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    planned = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return held if planned >= 1 << 60 else max(held, -(-planned // RANGE_BYTES))
 
 
 def _range(df: DataFrame, keys: list[Column], num_partitions: int | None) -> DataFrame:
-    """Range-partition on ``keys`` into ``num_partitions`` ranges (default
-    spark.sql.shuffle.partitions, which the cluster sizes for its data).  An
-    explicit count keeps every range a parallel task; letting AQE merge small
-    ranges measured slower (fewer, larger sort tasks)."""
-    return df.repartitionByRange(num_partitions or _num_partitions(df, None), *keys)
+    """Range-partition on ``keys``.  An explicit count keeps every range a
+    parallel task; letting AQE merge small ranges measured slower (fewer,
+    larger sort tasks)."""
+    return df.repartitionByRange(_num_partitions(df, num_partitions), *keys)
+
+
+def with_hash_position(df: DataFrame, hashed: Column, tie: str, pos_col: str = "_pos", partition_by: Sequence[str] = (),
+                       digits: int = PREFIX_DIGITS) -> DataFrame:
+    """Add ``pos_col`` = 0-based rank of the row in (``hashed``, ``tie``)
+    order, ``hashed`` being a hexadecimal hash (within ``partition_by``
+    groups when given).
+
+    The first ``digits`` of an evenly spread hash make buckets in the order of
+    the hash itself: rows are ranked inside their bucket, and the counts of
+    the buckets before it are added.  Bucket counts are at most 16^digits rows
+    a group, whatever the size of the table; nothing is sampled, so nothing
+    has to be pinned."""
+    group = list(partition_by)
+    rows = df.withColumn("_fw_hash", hashed)
+    rows = rows.withColumn("_fw_bucket", F.conv(F.substring("_fw_hash", 1, digits), 16, 10).cast("int"))
+    before = Window.partitionBy(*group).orderBy("_fw_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    keys = [F.col(g) for g in group]
+    counts = rows.groupBy(*group, "_fw_bucket").agg(F.count(F.lit(1)).alias("_fw_cnt"))
+    offsets = counts.select(*[k.alias(f"_fw_g{i}") for i, k in enumerate(keys)], F.col("_fw_bucket").alias("_fw_b"),
+                            F.coalesce(F.sum("_fw_cnt").over(before), F.lit(0)).alias("_fw_off"))
+    inside = Window.partitionBy(*group, "_fw_bucket").orderBy("_fw_hash", tie)
+    ranked = rows.withColumn("_fw_rn", F.row_number().over(inside) - 1)
+    offsets, _ = size_checked_broadcast(offsets, known_max_rows=None if group else 16 ** digits)
+    cond = [ranked["_fw_bucket"] == offsets["_fw_b"]] + [ranked[g].eqNullSafe(offsets[f"_fw_g{i}"]) for i, g in enumerate(group)]
+    out = ranked.join(offsets, cond, "inner").withColumn(pos_col, F.col("_fw_off") + F.col("_fw_rn"))
+    return out.select(*[F.col(c) for c in df.columns], pos_col)
 
 
 def with_position(df: DataFrame, order_by: Sequence[str | Column], pos_col: str = "_pos",
@@ -203,75 +238,46 @@ def running_sums(df: DataFrame, order_by: Sequence[str | Column], values: Sequen
     return out.drop("_fw_pid", *[f"_fw_o{i}" for i in range(len(values))])
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
+def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(c, v, cnt)``: how often each non-null, non-NaN value of the numeric
+    ``columns`` occurs; one scan, counted before the shuffle."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns]))
+    stacked = df.select(cells.alias("cell")).select("cell.c", "cell.v").filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    return stacked.groupBy("c", "v").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
+              counts: DataFrame | None = None) -> dict[str, list[float | None]]:
     """Exact linear-interpolation quantiles (numpy's default) of several
     numeric columns, without any single task holding a column's values.
 
-    Non-null values are stacked as (column, value), counted per distinct value
-    (map-side combined), given distributed running counts in value order, and
-    only the ranks floor/ceil(p * (n - 1)) are looked up; the few matching rows
-    are returned to the driver and interpolated.  NULL per column when it has
-    no non-null value."""
+    Values are counted (``counts`` may carry their ``value_counts``), given
+    distributed running counts in value order, and only the ranks
+    floor/ceil(p * (n - 1)) are looked up; the few matching rows are returned
+    to the driver and interpolated.  NULL per column when it has no value."""
     if not columns:
         return {}
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns]))
-    stacked = df.select(cells.alias("cell")).select("cell.c", "cell.v").filter(
-        F.col("v").isNotNull() & ~F.isnan("v"))
-    vc = stacked.groupBy("c", "v").agg(F.count(F.lit(1)).alias("cnt"))
+    vc = value_counts(df, columns) if counts is None else counts.filter(F.col("c").isin(list(columns)))
     cum = running_sums(vc, ["v"], ["cnt"], partition_by=["c"])
     n = {r["c"]: r["n"] for r in cum.groupBy("c").agg(F.max("cnt_cum").alias("n")).collect()}
-    wanted = set()
-    for c, nc in n.items():
-        for p in probs:
-            pos = p * (nc - 1)
-            wanted.add((c, int(pos // 1)))
-            wanted.add((c, int(-(-pos // 1))))
-    spark = df.sparkSession
-    targets = spark.createDataFrame(sorted(wanted), "c string, k long")  # <= 2 * len(probs) rows per column
+    wanted = {(c, k) for c, nc in n.items() for p in probs for k in _ranks(p, nc)}
+    if not wanted:
+        return {c: [None] * len(probs) for c in columns}
+    targets = df.sparkSession.createDataFrame(sorted(wanted), "c string, k long")  # <= 2 * len(probs) rows per column
     hits = (cum.join(F.broadcast(targets), "c")
             .filter((F.col("cnt_cum") - F.col("cnt") <= F.col("k")) & (F.col("k") < F.col("cnt_cum")))
             .select("c", "k", "v").collect())
     at = {(r["c"], r["k"]): r["v"] for r in hits}
-    out: dict[str, list[float | None]] = {}
-    for c in columns:
-        if c not in n:
-            out[c] = [None] * len(probs)
-            continue
-        vals = []
-        for p in probs:
-            pos = p * (n[c] - 1)
-            lo, hi = int(pos // 1), int(-(-pos // 1))
-            a, b = at[(c, lo)], at[(c, hi)]
-            vals.append(a if lo == hi else a + (b - a) * (pos - lo))
-        out[c] = vals
-    return out
 
+    def value(c: str, p: float) -> float | None:
+        if c not in n:
+            return None
+        low, high = (at[c, k] for k in _ranks(p, n[c]))
+        return low + (high - low) * (p * (n[c] - 1) % 1)
 
-# Spark's exact ``percentile`` merges one value -> count map per column in a
-# single task; above this many distinct values the distributed path is used.
-PERCENTILE_MAP_LIMIT = 1_000_000
+    return {c: [value(c, p) for p in probs] for c in columns}
 
 
-def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-              distinct: dict[str, int] | None = None) -> dict[str, list[float | None]]:
-    """Exact linear quantiles per column; the built-in aggregate for columns
-    with a bounded number of distinct values, ``exact_quantiles`` otherwise.
-    ``distinct`` may carry known distinct counts (else an HLL estimate)."""
-    cols = list(columns)
-    if not cols:
-        return {}
-    if distinct is None:
-        row = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
-        distinct = {c: row[c] for c in cols}
-    small = [c for c in cols if distinct.get(c, 0) <= PERCENTILE_MAP_LIMIT]
-    big = [c for c in cols if c not in small]
-    out: dict[str, list[float | None]] = {}
-    if small:
-        arr = F.array(*[F.lit(float(p)) for p in probs])
-        row = df.agg(*[F.percentile(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), arr)
-                       .alias(c) for c in small]).first()
-        for c in small:
-            out[c] = list(row[c]) if row[c] is not None else [None] * len(probs)
-    if big:
-        out.update(exact_quantiles(df, big, probs))
-    return out
+def _ranks(p: float, n: int) -> tuple[int, int]:
+    at = p * (n - 1)
+    return int(at // 1), int(-(-at // 1))

@@ -213,8 +213,7 @@ def probe_importance(matrix: DataFrame, row_id: str, label: str, features: Seque
     descending."""
     spark = matrix.sparkSession
     kind = STRATIFIED if task_kind == "classification" else KFOLD
-    folded = assign_folds(matrix, row_id, k=3, kind=kind, seed=seed, y=label if kind == STRATIFIED else None,
-                          max_classes=max(n_classes, 2))
+    folded = assign_folds(matrix, row_id, k=3, kind=kind, seed=seed, y=label if kind == STRATIFIED else None)
     totals = {f: 0.0 for f in features}
     for f in range(3):
         tr = assemble(folded.filter(F.col("fold") != f), features)
@@ -290,8 +289,7 @@ def stacking(oof: DataFrame, fold_test: DataFrame, labels: DataFrame, models: Se
     x = meta_features(oof, models, row_id=row_id).join(labels.select(row_id, label), row_id)
     x_test = meta_features(fold_test, models, row_id=row_id)
     feats = [c for c in x.columns if c not in (row_id, label)]
-    folded = assign_folds(x, row_id, k=k, kind=CONTIGUOUS, y=label if task_kind == "classification" else None,
-                          max_classes=max(n_classes, 2))
+    folded = assign_folds(x, row_id, k=k, kind=CONTIGUOUS, y=label if task_kind == "classification" else None)
     cv = run_cv(folded, row_id, label, feats, meta_name, {}, task_kind, n_classes, k, fold_kind=KFOLD, seed=seed)
     full = fit_model(meta_name, {}, assemble(x, feats), label, task_kind, n_classes, seed)
     test_pred = full.predict(assemble(x_test, feats), [row_id]).withColumn("model", F.lit("stacking"))

@@ -7,22 +7,25 @@ import tempfile
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-# Broadcast only fitted-state tables up to this many rows; bigger tables are
+# Broadcast only fitted-state tables up to this many bytes; bigger tables are
 # joined with a shuffle (AQE may still pick a broadcast at run time).
-DEFAULT_BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 def get_spark(master: str | None = None, app: str = "foldwise",
               shuffle_partitions: int | None = None) -> SparkSession:
     """Session with the settings the library assumes: UTC, AQE with skew
-    handling, Arrow transfer, no UI (no ports beyond Spark's own RPC)."""
+    handling, Arrow transfer, no UI (no ports beyond Spark's own RPC).
+    ``shuffle_partitions`` is set only where the caller gives it; otherwise
+    the cluster's own setting holds."""
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    cores = os.environ.get("BENCH_CPUS", "8")
-    b = (b.config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
-         .config("spark.sql.adaptive.enabled", "true")
+    if shuffle_partitions:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    b = (b.config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
@@ -66,18 +69,21 @@ def prepare_session(spark: SparkSession) -> str:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint directory the cluster names in
-    ``spark.checkpoint.dir``.  Only when nothing is configured (tests, a laptop)
-    a private scratch directory is created and registered."""
+    """The checkpoint directory that the cluster names in
+    ``spark.checkpoint.dir``.  Only a local master, where the driver's disk is
+    every task's disk, gets a private scratch directory when nothing is
+    configured; on a cluster a missing setting is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="foldwise-ckpt-")
     sc.setCheckpointDir(conf)
-    return conf
+    return sc.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -88,22 +94,44 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def size_checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
-                           known_max_rows: int | None = None) -> tuple[DataFrame, bool]:
-    """Mark ``df`` for broadcast only when its row count is proven small.
+_WIDTHS = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4, "bigint": 8, "double": 8,
+           "timestamp": 8, "timestamp_ntz": 8}
+# what a row costs in a hash relation beside its values
+_ROW_OVERHEAD = 48
+
 
-    ``known_max_rows`` is a bound that holds by construction (e.g. one row per
-    partition); otherwise the table is persisted and counted.  Returns the
-    (possibly hinted) frame and whether it was broadcast; beyond the bound the
-    caller's join stays a shuffle join."""
-    from pyspark.sql import functions as F
+def row_bytes(df: DataFrame):
+    """Column of a row's size: fixed widths, byte lengths of texts, and the
+    JSON text of nested values."""
+    total = F.lit(_ROW_OVERHEAD)
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        if kind in _WIDTHS:
+            total = total + _WIDTHS[kind]
+        elif kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        else:
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16
+    return total
 
-    if known_max_rows is not None and known_max_rows <= max_rows:
-        return F.broadcast(df), True
+
+def size_checked_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES,
+                           known_max_rows: int | None = None) -> tuple[DataFrame, bool]:
+    """Mark ``df`` for broadcast only when its size is proven small.
+
+    ``known_max_rows`` is a bound on the rows that holds by construction (one
+    row per partition, say) for frames of fixed-width columns; otherwise the
+    table is persisted and its bytes are added up.  Returns the (possibly
+    hinted) frame and whether it was broadcast; beyond the bound the caller's
+    join stays a shuffle join."""
+    if known_max_rows is not None and all(t in _WIDTHS for _, t in df.dtypes):
+        width = _ROW_OVERHEAD + sum(_WIDTHS[t] for _, t in df.dtypes)
+        if known_max_rows * width <= max_bytes:
+            return F.broadcast(df), True
     # Fitted-state tables are deterministic aggregates: keep them in the
-    # block cache (recomputed from lineage if an executor is lost) and count.
+    # block cache (recomputed from lineage if an executor is lost) and size them.
     m = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = m.count()
-    if n <= max_rows:
+    size = m.agg(F.sum(row_bytes(m))).first()[0] or 0
+    if size <= max_bytes:
         return F.broadcast(m), True
     return m, False

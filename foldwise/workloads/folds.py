@@ -28,8 +28,7 @@ FROM orders
 def folds_stratified(spark, d):
     """Stratified shuffled 5-fold assignment of orders by order status."""
     o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    return assign_folds(o, "o_orderkey", k=5, kind=STRATIFIED, seed=42, y="o_orderstatus",
-                        max_classes=1000).select("o_orderkey", "o_orderstatus", "fold")
+    return assign_folds(o, "o_orderkey", k=5, kind=STRATIFIED, seed=42, y="o_orderstatus").select("o_orderkey", "o_orderstatus", "fold")
 
 
 @workload("folds_forward", """
@@ -56,8 +55,7 @@ def folds_contiguous(spark, d):
     within each order-status class."""
     o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
     a = assign_folds(o, "o_orderkey", k=5, kind=CONTIGUOUS, fold_col="fold_all")
-    b = assign_folds(a, "o_orderkey", k=5, kind=CONTIGUOUS, y="o_orderstatus", fold_col="fold_by_class",
-                     max_classes=1000)
+    b = assign_folds(a, "o_orderkey", k=5, kind=CONTIGUOUS, y="o_orderstatus", fold_col="fold_by_class")
     return b.select("o_orderkey", "o_orderstatus", "fold_all", "fold_by_class")
 
 
@@ -74,7 +72,7 @@ def folds_all_kinds(spark, d):
     """Fold sizes of the shuffled, stratified and contiguous assignments of orders."""
     o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
     out = None
-    for kind, kw in (("kfold", {}), ("stratified", {"y": "o_orderstatus", "max_classes": 1000}),
+    for kind, kw in (("kfold", {}), ("stratified", {"y": "o_orderstatus"}),
                      ("contiguous", {})):
         f = assign_folds(o, "o_orderkey", k=5, kind=kind, **kw)
         g = f.groupBy(F.lit(kind).alias("kind"), "fold").agg(F.count(F.lit(1)).alias("n"))

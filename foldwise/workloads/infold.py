@@ -40,7 +40,7 @@ def infold_target_encode(spark, d):
     order priority for every fold at once, held-out encoding error per
     (fold, priority)."""
     folds = assign_folds(_orders_y(spark, d), "o_orderkey", k=5, kind=STRATIFIED, seed=42,
-                         y="y", max_classes=2)
+                         y="y")
     enc = infold_encode(folds, [Deferred("target_encode", ("o_orderpriority",), "te")],
                         "o_orderkey", "y", k=5, kind=STRATIFIED)
     held = enc.filter("heldout")

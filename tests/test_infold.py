@@ -62,7 +62,7 @@ def test_heldout_labels_do_not_change_their_fold(spark):
 
 
 def test_fold_sizes_and_stratification(spark):
-    df = assign_folds(_data(spark, 203), "rid", k=5, kind=STRATIFIED, seed=42, y="y", max_classes=2)
+    df = assign_folds(_data(spark, 203), "rid", k=5, kind=STRATIFIED, seed=42, y="y")
     counts = df.groupBy("y", "fold").count().toPandas()
     for _, g in counts.groupby("y"):
         assert g["count"].max() - g["count"].min() <= 1
