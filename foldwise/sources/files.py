@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -36,8 +37,9 @@ def resolve_roles(files: DataFrame, root: str, keywords: dict[str, Sequence[str]
     smallest (format rank, stem length, path).  ``dataset`` is the first
     ``dataset_depth`` directory levels below ``root`` ('' for files directly
     in it).  Returns ``(dataset, role, path)``."""
-    base = root.rstrip("/")
-    rel = F.regexp_replace(F.regexp_replace(F.col("path"), r"^file:", ""), "^" + base.replace(".", r"\.") + "/?", "")
+    base = re.sub(r"^file:/+", "/", root).rstrip("/")
+    plain = F.regexp_replace(F.col("path"), r"^file:/+", "/")
+    rel = F.regexp_replace(plain, "^" + re.escape(base) + "/?", "")
     parts = F.split(rel, "/")
     name = F.element_at(parts, -1)
     suffix = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
@@ -77,7 +79,8 @@ def check_roles(resolved: DataFrame) -> dict[str, dict[str, str]]:
 def load_table(spark: SparkSession, path: str, fmt: str | None = None, nrows: int | None = None,
                schema=None) -> DataFrame:
     """Scan by suffix: CSV (header, inferred types), Parquet, Feather, JSON
-    (array of records).  ``nrows`` limits rows for every format."""
+    (array of records).  ``nrows`` keeps the first rows in file order, for
+    every format (``first_rows``)."""
     fmt = (fmt or path.rsplit(".", 1)[-1]).lower()
     if fmt == "csv":
         r = spark.read.option("header", "true")
@@ -97,7 +100,7 @@ def load_table(spark: SparkSession, path: str, fmt: str | None = None, nrows: in
     else:
         raise ValueError(f"Unsupported data format: .{fmt}")
     df = nan_to_null(df)
-    return df.limit(nrows) if nrows is not None else df
+    return first_rows(df, nrows) if nrows is not None else df
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -126,20 +129,51 @@ def with_row_order(df: DataFrame, name: str = "_row") -> DataFrame:
     """Add a stable 0-based file-order row number.
 
     Parquet scans expose ``_metadata.file_path`` and ``_metadata.row_index``:
-    rows are numbered in (path, row index) order with the distributed
-    position helper, so the number does not change when the plan is
-    recomputed.  Other sources get ``monotonically_increasing_id`` (split
-    order, row order within a split), pinned once in the checkpoint
-    directory because it is only reproducible for an identical partitioning."""
-    from pyspark.errors import AnalysisException
+    a file's first number is the sum of the rows of the files before it (one
+    count per file), and a row adds its index; nothing is sorted or written,
+    and the number stays the same when the plan is recomputed.  Other sources
+    get ``monotonically_increasing_id`` (split order, row order within a
+    split), pinned once in the checkpoint directory because it is only
+    reproducible for an identical partitioning."""
+    from foldwise.session import materialize, size_checked_broadcast
+
+    places = _file_places(df)
+    if places is None:
+        return materialize(df.withColumn(name, F.monotonically_increasing_id()))
+    w = Window.orderBy("_fw_file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    first = places.groupBy("_fw_file").agg(F.count(F.lit(1)).alias("_fw_n"))
+    first = first.select("_fw_file", F.coalesce(F.sum("_fw_n").over(w), F.lit(0)).alias("_fw_first"))
+    first, _ = size_checked_broadcast(first)
+    return places.join(first, "_fw_file").withColumn(name, F.col("_fw_first") + F.col("_fw_ridx")).select(*df.columns, name)
 
-    from foldwise.operators.ordering import with_position
-    from foldwise.session import materialize
+
+def _file_places(df: DataFrame) -> DataFrame | None:
+    """``df`` with the path and row index of each row; None for sources
+    without a row index."""
+    from pyspark.errors import AnalysisException
 
     try:
-        m = df.select("*", F.col("_metadata.file_path").alias("_fw_file"),
-                      F.col("_metadata.row_index").alias("_fw_ridx"))
-        m.schema  # resolve now: fails for sources without a row index
+        places = df.select("*", F.col("_metadata.file_path").alias("_fw_file"), F.col("_metadata.row_index").alias("_fw_ridx"))
+        places.schema  # resolve now
     except AnalysisException:
-        return materialize(df.withColumn(name, F.monotonically_increasing_id()))
-    return with_position(m, ["_fw_file", "_fw_ridx"], name).drop("_fw_file", "_fw_ridx")
+        return None
+    return places
+
+
+def first_rows(df: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows in file order, found without gathering them in
+    one task: rows are counted per file (Parquet) or per split, and each file
+    or split keeps the rows below what is left for it."""
+    if _file_places(df) is not None:
+        return with_row_order(df, "_fw_row").filter(F.col("_fw_row") < n).drop("_fw_row")
+    from foldwise.session import materialize, size_checked_broadcast
+
+    ids = F.monotonically_increasing_id()
+    rows = materialize(df.withColumn("_fw_mid", ids))  # pinned: counted and read
+    split, local = F.shiftright("_fw_mid", 33), F.col("_fw_mid").bitwiseAND(F.lit((1 << 33) - 1))
+    w = Window.orderBy("_fw_split").rowsBetween(Window.unboundedPreceding, -1)  # one row per split
+    first = rows.groupBy(split.alias("_fw_split")).agg(F.count(F.lit(1)).alias("_fw_n"))
+    first = first.select("_fw_split", F.coalesce(F.sum("_fw_n").over(w), F.lit(0)).alias("_fw_first"))
+    first, _ = size_checked_broadcast(first)
+    kept = rows.withColumn("_fw_split", split).join(first, "_fw_split").filter(F.col("_fw_first") + local < n)
+    return kept.select(*df.columns)

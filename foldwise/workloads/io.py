@@ -127,10 +127,62 @@ def header_catalog(spark, d):
 @workload("load_target_limit", """
 SELECT count(*) AS n_rows, round(CAST(sum(CAST(o_orderstatus = 'F' AS INTEGER)) AS DOUBLE), 6) AS n_f FROM orders
 """)
-def load_target_limit(spark, d):
-    """Target load as a two-column projection (pruned at the scan) and a
-    row-limited read that returns the whole table when the limit exceeds it."""
-    o = S.load_table(spark, f"{d}/orders.parquet", "parquet", nrows=2_000_000_000)
+def load_target(spark, d):
+    """Target load as a two-column projection (pruned at the scan) of the
+    whole table."""
+    o = S.load_table(spark, f"{d}/orders.parquet", "parquet")
     t = S.load_target(o, "o_orderkey", ["o_orderstatus"])
     return t.agg(F.count(F.lit(1)).alias("n_rows"),
                  r(F.sum((F.col("o_orderstatus") == "F").cast("int")), "n_f"))
+
+
+@workload("first_rows", """
+SELECT o_orderkey, o_orderstatus FROM (SELECT o_orderkey, o_orderstatus FROM orders LIMIT 1000)
+""")
+def first_rows(spark, d):
+    """Row-limited read (the limit is the feature): the first 1,000 rows of
+    orders in file order."""
+    return S.load_table(spark, f"{d}/orders.parquet", "parquet", nrows=1000).select("o_orderkey", "o_orderstatus")
+
+
+@workload("resolve_roles", """
+SELECT * FROM (VALUES ('a', 'train', 'train.csv'), ('a', 'test', 'test.parquet'), ('a', 'sample', 'sample_submission.csv'),
+                      ('b', 'train', 'my_train.parquet'), ('b', 'sample', 'submission.parquet')) t(dataset, role, file)
+""")
+def resolve_dataset_roles(spark, d):
+    """Role resolution over a directory of dataset folders written from the
+    orders and customer tables: format order, keyword in the stem, a sample
+    file never taken as test, test optional."""
+    base = _scratch(spark)
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    c = table(spark, d, "customer").select("c_custkey", "c_acctbal")
+    _one_file(o, f"{base}/a/train.csv")
+    _one_file(o, f"{base}/a/train.parquet")
+    _one_file(o.drop("o_totalprice"), f"{base}/a/test.parquet")
+    _one_file(o, f"{base}/a/sample_submission.csv")
+    _one_file(o, f"{base}/a/test_submission.parquet")
+    _one_file(c, f"{base}/b/my_train.parquet")
+    _one_file(c, f"{base}/b/submission.parquet")
+    found = S.resolve_roles(S.list_files(spark, base), base)
+    return found.select("dataset", "role", F.element_at(F.split("path", "/"), -1).alias("file"))
+
+
+def _one_file(df, path: str) -> None:
+    """A stand-in input file of that very name: the rows in batches, written by the task that reads them."""
+    def write(batches):
+        import pyarrow as pa
+        import pyarrow.csv as pc
+        import pyarrow.parquet as pq
+
+        from foldwise.sources.feather import output_stream
+
+        batches = list(batches)
+        schema = batches[0].schema if batches else pa.schema([])
+        with output_stream(path) as out:
+            if path.endswith(".csv"):
+                pc.write_csv(pa.Table.from_batches(batches, schema), out)
+            else:
+                pq.write_table(pa.Table.from_batches(batches, schema), out)
+        yield pa.RecordBatch.from_pydict({"file": [path]})
+
+    df.limit(100).repartition(1).mapInArrow(write, "file string").collect()
