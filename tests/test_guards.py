@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foldwise.operators import ordering as O
 from foldwise.operators.features import fit_immediate
-from foldwise.operators.output import label_domain
+from foldwise.operators.output import label_table, postprocess
 from foldwise.plans.spec import FeatureOp
 from foldwise.session import size_checked_broadcast
 
@@ -26,13 +26,15 @@ def test_grouped_lag_matches_pandas(spark):
 
 
 def test_size_checked_broadcast_both_ways(spark):
-    small = spark.range(5)
-    _, b = size_checked_broadcast(small, max_rows=10)
+    _, b = size_checked_broadcast(spark.range(5), max_bytes=1000)
     assert b
-    _, b2 = size_checked_broadcast(spark.range(50), max_rows=10)
+    _, b2 = size_checked_broadcast(spark.range(50), max_bytes=1000)
     assert not b2
-    _, b3 = size_checked_broadcast(spark.range(50), max_rows=10, known_max_rows=8)
+    _, b3 = size_checked_broadcast(spark.range(50), max_bytes=1000, known_max_rows=8)
     assert b3
+    wide = spark.range(3).select(F.repeat(F.lit("x"), 2000).alias("key"))   # few rows, many bytes
+    _, b4 = size_checked_broadcast(wide, max_bytes=1000, known_max_rows=3)
+    assert not b4
 
 
 def test_stream_refuses_order_dependent_ops(spark, tmp_path):
@@ -48,11 +50,14 @@ def test_stream_refuses_order_dependent_ops(spark, tmp_path):
         apply_to_stream(df, fitted)        # not a stream
 
 
-def test_label_domain_is_bounded(spark):
-    df = spark.range(50).withColumn("y", F.col("id").cast("double"))
-    assert label_domain(df, "y", max_labels=100)[:3] == [0.0, 1.0, 2.0]
-    with pytest.raises(ValueError):
-        label_domain(df, "y", max_labels=10)
+def test_label_table_takes_any_number_of_labels(spark):
+    df = spark.range(20_000).withColumn("y", F.col("id").cast("double"))
+    got = label_table(df.unionByName(df).withColumn("y", F.when(F.col("id") != 3, F.col("y"))), "y")
+    assert [tuple(r) for r in got.orderBy("index").limit(4).collect()] == [(0.0, 0), (1.0, 1), (2.0, 2), (4.0, 3)]
+    assert got.count() == 19_999
+    preds = spark.createDataFrame([(1, [0.1, 0.9]), (2, [0.0, 0.0, 0.0, 0.0, 1.0])], "id long, pred array<double>")
+    few = label_table(df.filter("id < 3"), "y")
+    assert {r["id"]: r["pred"] for r in postprocess(preds, "pred", "label", few).collect()} == {1: 1.0, 2: 2.0}
 
 
 def test_near_monotonic_skips_nulls(spark):
