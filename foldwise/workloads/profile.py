@@ -37,7 +37,7 @@ def _profile_sql(src: str, cols: dict[str, str]) -> str:
     return f"""
 WITH p(col, family, n_rows, n_null, n_distinct, mn, mx, av, sd, q25, q50, q75, ln, zo) AS ({body})
 SELECT col AS "column", family, n_rows, n_null, round(n_null / n_rows, 6) AS null_frac, n_distinct,
-       round(mn, 6) AS min_value, round(mx, 6) AS max_value, round(av, 6) AS mean, round(sd, 6) AS sd,
+       round(mn, 6) AS min_value, round(mx, 6) AS max_value, round(av, 8) AS mean, round(sd, 6) AS sd,
        round(q25, 6) AS q25, round(q50, 6) AS q50, round(q75, 6) AS q75, round(ln, 6) AS avg_len,
        CASE WHEN family = 'datetime' THEN 'datetime'
             WHEN family = 'numeric' THEN CASE WHEN n_distinct <= 2 AND zo THEN 'boolean' ELSE 'numeric' END
@@ -51,7 +51,7 @@ FROM p"""
 def _profile_out(df):
     p = P.profile_columns(df)
     return p.select("column", "family", "n_rows", "n_null", r("null_frac"), "n_distinct", r("min_value"),
-                    r("max_value"), r("mean"), r("sd"), r("q25"), r("q50"), r("q75"), r("avg_len"), "kind")
+                    r("max_value"), F.round("mean", 8).alias("mean"), r("sd"), r("q25"), r("q50"), r("q75"), r("avg_len"), "kind")
 
 
 _DOCS_SQL = ("(SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.quality, l.toxic "
@@ -79,22 +79,22 @@ def profile_documents(spark, d):
 
 
 @workload("profile_summary", """
-WITH b AS (SELECT d.lang, d.source, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
-g AS (SELECT lang, source, quality, toxic, count(*) AS cnt FROM b GROUP BY ALL)
-SELECT CAST(sum(cnt) AS BIGINT) AS n_rows, 4 AS n_cols, CAST(sum(cnt - 1) AS BIGINT) AS duplicate_rows,
+WITH b AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+g AS (SELECT doc_id, text, lang, source, n_chars, quality, toxic, count(*) AS cnt FROM b GROUP BY ALL)
+SELECT CAST(sum(cnt) AS BIGINT) AS n_rows, 7 AS n_cols, CAST(sum(cnt - 1) AS BIGINT) AS duplicate_rows,
        array_to_string(list_sort(list_filter(
          [CASE WHEN sum(CASE WHEN lang IS NULL THEN cnt ELSE 0 END) / sum(cnt) > 0.3 THEN 'lang' END,
           CASE WHEN sum(CASE WHEN source IS NULL THEN cnt ELSE 0 END) / sum(cnt) > 0.3 THEN 'source' END,
           CASE WHEN sum(CASE WHEN quality IS NULL THEN cnt ELSE 0 END) / sum(cnt) > 0.3 THEN 'quality' END,
           CASE WHEN sum(CASE WHEN toxic IS NULL THEN cnt ELSE 0 END) / sum(cnt) > 0.3 THEN 'toxic' END],
          lambda x: x IS NOT NULL)), ',') AS high_missing,
-       CAST(sum((coalesce(strlen(lang), 0) + coalesce(strlen(source), 0) + 4 + 4) * cnt) AS BIGINT) AS logical_bytes
+       CAST(sum((8 + coalesce(strlen(text), 0) + coalesce(strlen(lang), 0) + coalesce(strlen(source), 0) + 8 + 4 + 4) * cnt) AS BIGINT) AS logical_bytes
 FROM g
 """)
 def profile_summary(spark, d):
     """Row/column counts, duplicate rows, high-missing columns (> 30 % NULL)
-    and logical size of documents ⟕ labels (language, source, labels)."""
-    s = P.summary(_docs(spark, d).select("lang", "source", "quality", "toxic"))
+    and logical size of documents ⟕ labels, over all their columns."""
+    s = P.summary(_docs(spark, d))
     return s.select(F.col("n_rows").cast("bigint").alias("n_rows"), F.col("n_cols").cast("int").alias("n_cols"),
                     F.col("duplicate_rows").cast("bigint").alias("duplicate_rows"),
                     F.array_join("high_missing", ",").alias("high_missing"),
@@ -157,6 +157,36 @@ def leakage_correlation(spark, d):
     return res.select("column", "target", "n_pairs", r("abs_r"), "flagged")
 
 
+@workload("profile_top_values", """
+WITH v AS (SELECT 'l_returnflag' AS c, l_returnflag AS v FROM lineitem UNION ALL SELECT 'l_linestatus', l_linestatus FROM lineitem
+           UNION ALL SELECT 'l_linenumber', CAST(l_linenumber AS VARCHAR) FROM lineitem
+           UNION ALL SELECT 'l_partkey', CAST(l_partkey AS VARCHAR) FROM lineitem),
+n AS (SELECT c, v, count(*) AS n FROM v WHERE v IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY n DESC, v) AS k FROM n)
+SELECT c AS "column", CAST(k AS INTEGER) AS rank, v AS value, n AS n_rows FROM r WHERE k <= 5
+""")
+def profile_top_values(spark, d):
+    """The five most frequent values of four lineitem columns (the limit is the report)."""
+    return P.top_values(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber", "l_partkey"], 5)
+
+
+@workload("leakage_union", """
+WITH b AS (SELECT d.doc_id, d.n_chars AS target, length(d.text) AS text_len, 2 * d.n_chars AS twice, l.quality, l.toxic AS label_x
+           FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+p AS (SELECT 'text_len' AS c, text_len AS x, target AS y FROM b UNION ALL SELECT 'quality', quality, target FROM b UNION ALL SELECT 'label_x', label_x, target FROM b),
+r AS (SELECT c, count(*) AS n, abs(covar_samp(x, y) / (stddev_samp(x) * stddev_samp(y))) AS r, min(x) < max(x) AS v FROM p WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1)
+SELECT c AS "column", c = 'label_x' AS by_name, coalesce(n >= 3 AND v AND r > 0.99, false) AS by_correlation FROM r
+WHERE c = 'label_x' OR coalesce(n >= 3 AND v AND r > 0.99, false)
+""")
+def leakage_union(spark, d):
+    """Columns flagged by name or by correlation with the target: the id and
+    the target are protected, and a known feature (twice the target) is exempt
+    from the correlation rule."""
+    docs = _docs(spark, d).select("doc_id", F.col("n_chars").alias("target"), F.length("text").alias("text_len"),
+                                  (2 * F.col("n_chars")).alias("twice"), "quality", F.col("toxic").alias("label_x"))
+    return P.leakage_columns(docs, "doc_id", ["target"], known_features=["twice"])
+
+
 _NUM_LI = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 

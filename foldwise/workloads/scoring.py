@@ -14,7 +14,7 @@ from foldwise.operators import blend as B
 from foldwise.operators import history as H
 from foldwise.operators import output as O
 from foldwise.operators.folds import KFOLD, assign_folds
-from foldwise.operators.metrics import score
+from foldwise.operators.metrics import binary_scores, score
 from foldwise.workloads.common import r, table, workload
 
 _MD5 = "md5('42:' || CAST(o_orderkey AS VARCHAR))"
@@ -28,13 +28,18 @@ p AS (SELECT o_orderkey, fold, 'm_a' AS model, CAST(o_orderstatus = 'F' AS INTEG
              ((o_orderkey * 7919) % 1000) / 999.0 FROM o)"""
 
 
+def _orders(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+
+
 def _folded_orders(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
-    return assign_folds(o, "o_orderkey", k=5, kind=KFOLD, seed=42)
+    return assign_folds(_orders(spark, d), "o_orderkey", k=5, kind=KFOLD, seed=42)
 
 
-def binary_preds(spark, d):
-    o = _folded_orders(spark, d)
+def binary_preds(spark, d, folds: bool = True):
+    """Two binary stand-in models over orders; with ``folds`` each row also
+    has its shuffled fold."""
+    o = _folded_orders(spark, d) if folds else _orders(spark, d).withColumn("fold", F.lit(0))
     y = (F.col("o_orderstatus") == "F").cast("int").alias("y")
     a = o.select("o_orderkey", "fold", F.lit("m_a").alias("model"), y,
                  (F.pmod(F.col("o_custkey") * 37, F.lit(101)) / 100.0).alias("pred"))
@@ -64,11 +69,8 @@ SELECT model, fold, metric, round(score, 6) AS score FROM (
 def metrics_binary(spark, d):
     """Exact AUC (tie-averaged Mann-Whitney), log loss, F1 and accuracy per (model, fold)."""
     p = binary_preds(spark, d)
-    out = None
-    for m in ("auc", "logloss", "f1", "accuracy"):
-        s = score(p, m, y="y", pred="pred", group_by=["model", "fold"])
-        out = s if out is None else out.unionByName(s)
-    return out.select("model", "fold", "metric", r("score"))
+    return binary_scores(p, ["auc", "logloss", "f1", "accuracy"], group_by=["model", "fold"]) \
+        .select("model", "fold", "metric", r("score"))
 
 
 @workload("metrics_regression", f"""
@@ -91,8 +93,8 @@ def metrics_regression(spark, d):
     return out.select("fold", "metric", r("score"))
 
 
-def multiclass_preds(spark, d):
-    o = _folded_orders(spark, d)
+def multiclass_preds(spark, d, folds: bool = True):
+    o = _folded_orders(spark, d) if folds else _orders(spark, d).withColumn("fold", F.lit(0))
     a = [(F.pmod(F.col("o_orderkey") * ((i + 3) * 31), F.lit(97)) + 1).cast("double") for i in range(3)]
     tot = a[0] + a[1] + a[2]
     y = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
@@ -161,12 +163,10 @@ FROM wa JOIN ra ON wa.o_orderkey = ra.o_orderkey
 """)
 def blend_weighted_rank(spark, d):
     """Softmax-of-AUC weighted average and rank average of two binary models, per row."""
-    p = binary_preds(spark, d).withColumnRenamed("o_orderkey", "row_id")
-    s = score(p, "auc", group_by=["model"])
-    w = B.softmax_weights(s, higher_is_better=True)
-    wa = B.weighted_average(p, w).withColumnRenamed("pred", "weighted")
-    ra = B.rank_average(p).withColumnRenamed("pred", "ranked")
-    return wa.join(ra, "row_id").select(F.col("row_id").alias("o_orderkey"), r("weighted"), r("ranked"))
+    p = binary_preds(spark, d, folds=False).withColumnRenamed("o_orderkey", "row_id")
+    w = B.softmax_weights(score(p, "auc", group_by=["model"]), higher_is_better=True)
+    both = B.weighted_and_rank_average(p, w)
+    return both.select(F.col("row_id").alias("o_orderkey"), r("weighted"), r("ranked"))
 
 
 @workload("blend_meta_features", f"""
@@ -176,7 +176,7 @@ SELECT o_orderkey, round(max(CASE WHEN model = 'm_a' THEN pred END), 6) AS m_a,
 """)
 def blend_meta_features(spark, d):
     """Meta-feature matrix: one prediction column per model, side by side by row id."""
-    p = binary_preds(spark, d).withColumnRenamed("o_orderkey", "row_id")
+    p = binary_preds(spark, d, folds=False).withColumnRenamed("o_orderkey", "row_id")
     wide = B.meta_features(p, ["m_a", "m_b"])
     return wide.select(F.col("row_id").alias("o_orderkey"), r("m_a"), r("m_b"))
 
@@ -191,7 +191,7 @@ SELECT (SELECT arg_max(model, s) FROM auc) AS best_model, round((SELECT max(s) F
 """)
 def blend_vs_best(spark, d):
     """Best single model by AUC, AUC of the softmax-weighted blend and the gain over the best solo."""
-    p = binary_preds(spark, d).withColumnRenamed("o_orderkey", "row_id")
+    p = binary_preds(spark, d, folds=False).withColumnRenamed("o_orderkey", "row_id")
     s = score(p, "auc", group_by=["model"])
     w = B.softmax_weights(s, higher_is_better=True)
     blended = B.weighted_average(p, w).join(p.filter(F.col("model") == "m_a").select("row_id", "y"), "row_id")
@@ -212,11 +212,13 @@ FROM p
 def output_postprocess(spark, d):
     """Probability clipping, argmax → sorted label domain, and threshold →
     two-label domain, applied to 3-class probability vectors."""
-    p = multiclass_preds(spark, d)
-    domain = O.label_domain(table(spark, d, "orders"), "o_orderstatus")
-    out = p.select("o_orderkey", O.clip_proba(F.col("pred")[0]).alias("proba_f"),
-                   O.to_domain_label(F.col("pred"), F.array(*[F.lit(v) for v in domain]), True).alias("label"),
-                   O.to_domain_label(F.col("pred")[0], F.array(F.lit("no"), F.lit("yes")), False).alias("binary_label"))
+    p = multiclass_preds(spark, d, folds=False)
+    domain = O.label_table(table(spark, d, "orders"), "o_orderstatus")
+    answers = spark.createDataFrame([("no", 0), ("yes", 1)], "label string, index long")
+    out = p.select("o_orderkey", F.col("pred").alias("label"), F.col("pred")[0].alias("proba_f"), F.col("pred")[0].alias("binary_label"))
+    out = O.postprocess(out, "proba_f", "proba")
+    out = O.postprocess(out, "binary_label", "label", answers)
+    out = O.postprocess(out, "label", "label", domain)
     return out.select("o_orderkey", r("proba_f"), "label", "binary_label")
 
 
@@ -230,9 +232,8 @@ def output_build(spark, d):
     """Prediction output in the sample's rows and columns (every order):
     argmax labels joined on the id (not by position)."""
     sample = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    domain = O.label_domain(table(spark, d, "orders"), "o_orderstatus")
-    preds = multiclass_preds(spark, d).select(
-        "o_orderkey", O.to_domain_label(F.col("pred"), F.array(*[F.lit(v) for v in domain]), True).alias("pred"))
+    domain = O.label_table(table(spark, d, "orders"), "o_orderstatus")
+    preds = O.postprocess(multiclass_preds(spark, d, folds=False).select("o_orderkey", "pred"), "pred", "label", domain)
     out = O.build_output(sample, preds, "o_orderkey", ["o_orderstatus"])
     return out
 
