@@ -22,9 +22,9 @@ MICROS_PER_DAY = 86_400_000_000
 
 
 def as_double(c: str | Column) -> Column:
-    """DOUBLE with NaN read as missing (NULL), as pandas treats it."""
+    """DOUBLE; NaN and text that is no number are missing (NULL)."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.nanvl(col.cast("double"), F.lit(None).cast("double"))
+    return F.nanvl(col.try_cast("double"), F.lit(None).cast("double"))
 
 
 def log1p_or_null(c: str) -> Column:

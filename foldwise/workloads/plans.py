@@ -66,13 +66,11 @@ v AS (SELECT event_id, dataset, CAST(seq AS INTEGER) AS seq, o.operation AS oper
 ds(dataset, is_time_series, identity_cols) AS (VALUES ('view', true, ['user_id']), ('click', true, []::VARCHAR[]),
     ('error', false, ['value']), ('purchase', false, []::VARCHAR[]), ('signup', false, ['user_id']))
 SELECT v.dataset, v.event_id, v.seq, v.operation, CAST(len(v.columns) AS INTEGER) AS n_columns, reg.kind,
-       CASE WHEN reg.arity IS NULL THEN 'Unknown operation ' || v.operation
-            WHEN len(v.columns) <> reg.arity
-              THEN v.operation || ' needs ' || CAST(reg.arity AS VARCHAR) || ' column(s), got ' || CAST(len(v.columns) AS VARCHAR)
-            WHEN reg.needs_order AND NOT coalesce(ds.is_time_series, false)
-              THEN v.operation || ' requires is_time_series=True'
+       CASE WHEN reg.arity IS NULL THEN 'unknown_operation'
+            WHEN len(v.columns) <> reg.arity THEN 'wrong_arity'
+            WHEN reg.needs_order AND NOT coalesce(ds.is_time_series, false) THEN 'needs_time_order'
             WHEN v.operation = 'tfidf_svd' AND coalesce(list_has_any(v.columns, ds.identity_cols), false)
-              THEN v.operation || ' skipped on identity-like column(s)' END AS error
+              THEN 'identity_unsafe' END AS error
 FROM v LEFT JOIN reg ON v.operation = reg.operation LEFT JOIN ds ON v.dataset = ds.dataset
 """)
 def plan_parse_validate(spark, d):
@@ -223,10 +221,31 @@ def plan_error_counts(spark, d):
         [("view", True, ["user_id"]), ("click", True, []), ("error", False, ["value"]), ("purchase", False, []),
          ("signup", False, ["user_id"])], "dataset string, is_time_series boolean, identity_cols array<string>")
     v = validate_plans(plans, ds).filter(F.col("error").isNotNull())
-    etype = (F.when(F.col("error").startswith("Unknown operation"), "unknown_operation")
-             .when(F.col("error").contains("column(s), got"), "wrong_arity")
-             .when(F.col("error").contains("requires is_time_series"), "needs_time_order")
-             .otherwise("identity_unsafe"))
-    errors = v.select(F.col("dataset").alias("run_id"), F.lit("features").alias("phase"), etype.alias("error_type"),
-                      F.col("error").alias("message"))
+    errors = v.select(F.col("dataset").alias("run_id"), F.lit("features").alias("phase"), F.col("error").alias("error_type"),
+                      F.col("output_name").alias("message"))
     return error_counts(errors)
+
+
+@workload("plan_skips_failing_ops", """
+WITH b AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority, CASE WHEN o_orderkey % 5 = 4 THEN 'test' ELSE 'train' END AS split FROM orders),
+ce AS (SELECT o_custkey AS k, count(*) AS n FROM b WHERE split = 'train' GROUP BY 1)
+SELECT b.o_orderkey, b.split, round(ln(1 + o_totalprice), 6) AS log_tp, round(CAST(coalesce(ce.n, 0) AS DOUBLE), 6) AS ce_cust,
+       'log_gone:missing_column,log_text:not_numeric,mult_text:not_numeric,flat:constant or empty column: duplicate bin edges' AS skipped
+FROM b LEFT JOIN ce ON b.o_custkey = ce.k
+""")
+def plan_skips_failing_ops(spark, d):
+    """A plan with ops on a missing column, on texts and on a constant column:
+    these are logged and skipped, and the others are applied to both roles."""
+    from foldwise.plans.compile import compile_plan
+    from foldwise.plans.spec import FeatureOp
+    from foldwise.workloads.common import is_test, r
+
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", F.lit(1.0).alias("one"),
+                                         (F.col("o_orderstatus") == "F").cast("int").alias("y"))
+    ops = [FeatureOp.of("log_transform", "o_gone", "log_gone"), FeatureOp.of("log_transform", "o_orderpriority", "log_text"),
+           FeatureOp.of("interaction_multiply", ["o_totalprice", "o_orderpriority"], "mult_text"), FeatureOp.of("bin_equal_width", "one", "flat"),
+           FeatureOp.of("log_transform", "o_totalprice", "log_tp"), FeatureOp.of("count_encoding", "o_custkey", "ce_cust")]
+    cp = compile_plan(o.filter(~is_test("o_orderkey")), o.filter(is_test("o_orderkey")).drop("y"), ops, id_column="o_orderkey",
+                      targets=["y"], order_by="o_orderkey")
+    both = cp.train.drop("y").withColumn("split", F.lit("train")).unionByName(cp.test.withColumn("split", F.lit("test")))
+    return both.select("o_orderkey", "split", r("log_tp"), r("ce_cust"), F.lit(",".join(f"{n}:{e}" for n, e in cp.errors)).alias("skipped"))
