@@ -21,7 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.operators.folds import CONTIGUOUS, KFOLD, STRATIFIED, assign_folds, fit_mask
+from foldwise.operators.folds import CONTIGUOUS, KFOLD, STRATIFIED, assign_folds, fit_mask, shuffle_key
 from foldwise.operators.metrics import score
 from foldwise.operators.models import build_estimator
 from foldwise.session import materialize
@@ -59,39 +59,28 @@ class FittedModel:
         return cur.select(*keep, F.array(*[F.try_divide(p, tot) for p in ps]).alias("pred"))
 
 
-ROWS_PER_PARTITION = 1_000_000
-MIN_ROWS_PER_TASK = 50_000
-
-
-def _sized(df: DataFrame, n_rows: int) -> DataFrame:
-    """Iterative learners run one Spark job per iteration.  Partitions hold
-    about ROWS_PER_PARTITION rows at scale; small data uses at most one
-    partition per core and at least MIN_ROWS_PER_TASK rows per task, so a
-    small fold is not split into many tiny tasks and a mid-sized one still
-    uses every core."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    target = max(-(-n_rows // ROWS_PER_PARTITION), min(par, max(1, n_rows // MIN_ROWS_PER_TASK)), 1)
-    current = df.rdd.getNumPartitions()
-    if target < current:
-        return df.coalesce(target)
-    if current * 2 <= target:
-        return df.repartition(target)
-    return df
+#: Rows of a training partition.  The number of partitions and the rows of each follow from the data alone, so that
+#: bagging, which draws per partition, is the same on any cluster.
+ROWS_PER_PARTITION = 100_000
+_LABEL, _ROW = "_label", "_row_key"
 
 
 def fit_model(name: str, params: dict, train: DataFrame, label: str, task_kind: str, n_classes: int,
-              seed: int = 42) -> FittedModel:
-    """Fit one catalogue model on an assembled frame."""
-    data = train.select(FEATURES, F.col(label).cast("double").alias("_label"))
-    stats = data.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("_label").alias("sd")).first()
+              seed: int = 42, row_id: str | None = None, rows_per_partition: int = ROWS_PER_PARTITION) -> FittedModel:
+    """Fit one catalogue model on an assembled frame.  Rows are dealt to
+    partitions by ``row_id`` (by their features without one) and sorted there."""
+    key = F.col(row_id) if row_id else F.col(FEATURES).cast("string")
+    data = train.select(FEATURES, F.col(label).cast("double").alias(_LABEL), key.alias(_ROW))
+    stats = data.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(_LABEL).alias("sd")).first()
     spec = build_estimator(name, params, n_rows=stats["n"], label_sd=stats["sd"], seed=seed,
-                           features_col=FEATURES, label_col="_label")
-    data = _sized(data, stats["n"]).persist()
+                           features_col=FEATURES, label_col=_LABEL)
+    parts = max(1, -(-stats["n"] // rows_per_partition))
+    data = data.repartition(parts, _ROW).sortWithinPartitions(_ROW, _LABEL).persist()
     fm = FittedModel(name, task_kind, n_classes)
     try:
         if task_kind == "classification" and spec.family == "gbm" and n_classes > 2:
             for c in range(n_classes):
-                binary = data.withColumn("_label", (F.col("_label") == float(c)).cast("double"))
+                binary = data.withColumn(_LABEL, (F.col(_LABEL) == float(c)).cast("double"))
                 fm.models.append(spec.estimator.copy().fit(binary))
         else:
             fm.models.append(spec.estimator.fit(data))
@@ -107,43 +96,41 @@ class CVResult:
     fold_test: DataFrame | None  # (row_id, model, pred): fold-averaged test predictions
 
 
-def _with_encodings(df: DataFrame, enc: DataFrame | None, row_id: str, fit_fold: int | None) -> DataFrame:
+def _test_encodings(df: DataFrame, enc: DataFrame | None, row_id: str) -> DataFrame:
     if enc is None:
         return df
-    e = enc if fit_fold is None else enc.filter(F.col("fit_fold") == fit_fold)
-    cols = [c for c in e.columns if c not in (row_id, "fit_fold", "heldout")]
-    return df.join(e.select(row_id, *cols), row_id, "left")
+    cols = [c for c in enc.columns if c not in (row_id, "fit_fold", "heldout")]
+    return df.join(enc.select(row_id, *cols), row_id, "left")
 
 
 @dataclass
 class FoldData:
-    """Per-fold assembled training / held-out frames, persisted once and
-    reused by every trial of a search."""
+    """Per-fold training / held-out frames: projections of one pinned table,
+    shared by every trial of a search."""
     row_id: str
     features: list[str]
     folds: list[tuple[DataFrame, DataFrame]]
 
-    def release(self) -> None:
-        for tr, va in self.folds:
-            tr.unpersist()
-            va.unpersist()
-
 
 def prepare_folds(matrix: DataFrame, row_id: str, label: str, features: Sequence[str], k: int,
                   fold_col: str = "fold", fold_kind: str = KFOLD, encodings: DataFrame | None = None) -> FoldData:
+    """The encodings of all fit folds are gathered into one map per row (at
+    most ``k`` entries), joined to the matrix once and pinned with it; the
+    frames of fold f take entry f by projection."""
     enc_cols = [] if encodings is None else [c for c in encodings.columns if c not in (row_id, "fit_fold", "heldout")]
     feats = list(features) + [c for c in enc_cols if c not in features]
-    # pin the matrix and the all-folds encodings once; every fold frame is
-    # then a filter + join over checkpointed files
-    matrix = materialize(matrix.select(row_id, label, fold_col, *features))
+    wide = matrix.select(row_id, label, fold_col, *features)
     if encodings is not None:
-        encodings = materialize(encodings)
+        entry = F.struct(F.col("fit_fold").cast("int"), F.struct(*enc_cols))
+        by_row = encodings.groupBy(row_id).agg(F.map_from_entries(F.collect_list(entry)).alias("_enc"))
+        wide = wide.join(by_row, row_id, "left")
+    wide = materialize(wide)
     out = []
     for f in range(k):
-        tr = _with_encodings(matrix.filter(fit_mask(F.col(fold_col), F.lit(f), fold_kind)), encodings, row_id, f)
-        va = _with_encodings(matrix.filter(F.col(fold_col) == f), encodings, row_id, f)
-        out.append((assemble(tr, feats).select(row_id, label, FEATURES).persist(),
-                    assemble(va, feats).select(row_id, label, FEATURES).persist()))
+        own = wide if encodings is None else wide.withColumns({c: F.col("_enc")[f][c] for c in enc_cols})
+        own = own.select(row_id, label, fold_col, *feats)
+        out.append(tuple(assemble(rows, feats).select(row_id, label, FEATURES)
+                         for rows in (own.filter(fit_mask(F.col(fold_col), F.lit(f), fold_kind)), own.filter(F.col(fold_col) == f))))
     return FoldData(row_id, feats, out)
 
 
@@ -155,53 +142,47 @@ def run_cv(matrix: DataFrame, row_id: str, label: str, features: Sequence[str],
     """Fit one model per fold on its training rows (plus that fold's in-fold
     encodings) and predict the held-out rows; optionally average the fold
     models' test predictions (test encodings from the full-train fit).
-    ``prepared`` reuses persisted fold frames (searches)."""
+    ``prepared`` reuses pinned fold frames (searches)."""
     fd = prepared or prepare_folds(matrix, row_id, label, features, k, fold_col, fold_kind, encodings)
 
     def one(f: int):
         tr, va = fd.folds[f]
-        m = fit_model(name, params, tr, label, task_kind, n_classes, seed)
+        m = fit_model(name, params, tr, label, task_kind, n_classes, seed, row_id)
         p = m.predict(va, [row_id]).withColumn("fold", F.lit(f))
         return m, p
 
-    try:
-        with ThreadPoolExecutor(max_workers=parallelism or k) as ex:
-            results = list(ex.map(one, range(k)))
-        models = [m for m, _ in results]
-        oof = results[0][1]
-        for _, p in results[1:]:
-            oof = oof.unionByName(p)
-        oof = materialize(oof.select(row_id, F.lit(name).alias("model"), "fold", "pred"))  # pin the predictions
-        fold_test = None
-        if test is not None:
-            te = assemble(_with_encodings(test, test_encodings, row_id, None), fd.features)
-            parts = [m.predict(te, [row_id]).withColumn("fold", F.lit(i)) for i, m in enumerate(models)]
-            allp = parts[0]
-            for p in parts[1:]:
-                allp = allp.unionByName(p)
-            fold_test = materialize(average_predictions(allp, row_id).withColumn("model", F.lit(name)))
-    finally:
-        if prepared is None:
-            fd.release()
+    with ThreadPoolExecutor(max_workers=parallelism or k) as ex:
+        results = list(ex.map(one, range(k)))
+    models = [m for m, _ in results]
+    oof = results[0][1]
+    for _, p in results[1:]:
+        oof = oof.unionByName(p)
+    oof = materialize(oof.select(row_id, F.lit(name).alias("model"), "fold", "pred"))  # pin the predictions
+    fold_test = None
+    if test is not None:
+        te = assemble(_test_encodings(test, test_encodings, row_id), fd.features)
+        parts = [m.predict(te, [row_id]).withColumn("fold", F.lit(i)) for i, m in enumerate(models)]
+        allp = parts[0]
+        for p in parts[1:]:
+            allp = allp.unionByName(p)
+        fold_test = materialize(average_predictions(allp, row_id).withColumn("model", F.lit(name)))
     return CVResult(oof, models, fold_test)
 
 
 def average_predictions(preds: DataFrame, row_id: str = "row_id", pred: str = "pred") -> DataFrame:
-    """Mean over folds per row; probability vectors element-wise."""
+    """Mean over folds per row; probability vectors class by class, in one grouping."""
     from pyspark.sql.types import ArrayType
 
     if isinstance(preds.schema[pred].dataType, ArrayType):
-        cells = preds.select(row_id, F.posexplode(pred).alias("_i", "_v"))
-        per = cells.groupBy(row_id, "_i").agg(F.avg("_v").alias("_v"))
-        return per.groupBy(row_id).agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda s: s["_v"]).alias(pred))
+        width = preds.agg(F.max(F.size(pred))).first()[0] or 0
+        return preds.groupBy(row_id).agg(F.array(*[F.avg(F.get(F.col(pred), F.lit(i))) for i in range(width)]).alias(pred))
     return preds.groupBy(row_id).agg(F.avg(pred).alias(pred))
 
 
 def full_refit_predict(matrix: DataFrame, test: DataFrame, row_id: str, label: str, features: Sequence[str],
                        name: str, params: dict, task_kind: str, n_classes: int, seed: int = 42) -> DataFrame:
     """Refit on all training rows and predict the test rows."""
-    m = fit_model(name, params, assemble(matrix, features), label, task_kind, n_classes, seed)
+    m = fit_model(name, params, assemble(matrix, features), label, task_kind, n_classes, seed, row_id)
     return m.predict(assemble(test, features), [row_id]).withColumn("model", F.lit(name))
 
 
@@ -217,10 +198,10 @@ def probe_importance(matrix: DataFrame, row_id: str, label: str, features: Seque
     totals = {f: 0.0 for f in features}
     for f in range(3):
         tr = assemble(folded.filter(F.col("fold") != f), features)
-        m = fit_model(name, {}, tr, label, task_kind, n_classes, seed)
-        native = getattr(m.models[0], "featureImportances", None)
-        if native is not None and len(m.models) == 1:
-            arr = native.toArray()
+        m = fit_model(name, {}, tr, label, task_kind, n_classes, seed, row_id)
+        if hasattr(m.models[0], "featureImportances"):
+            # one model per class for multiclass boosting: their mean
+            arr = sum(x.featureImportances.toArray() for x in m.models) / len(m.models)
             for i, c in enumerate(features):
                 totals[c] += float(arr[i])
         else:
@@ -235,25 +216,24 @@ def permutation_importance(model: FittedModel, valid: DataFrame, row_id: str, la
                            task_kind: str, metric: str | None = None, seed: int = 42, repeats: int = 3) -> dict:
     """Score drop when one feature's values are permuted among the rows (a
     seeded md5 order matched to the row order through distributed
-    positions).  Each repeat needs one join, which carries every feature's
-    permuted value; all features × repeats are scored in one aggregate."""
-    from foldwise.operators.ordering import with_position
+    positions), by R² or accuracy unless ``metric`` says otherwise.  Each
+    repeat needs one join, pinned, which carries every feature's permuted
+    value; all features × repeats are scored in one aggregate."""
+    from foldwise.operators.ordering import with_hash_position, with_position
 
-    metric = metric or ("rmse" if task_kind == "regression" else "accuracy")
+    metric = metric or ("r2" if task_kind == "regression" else "accuracy")
     sign = -1.0 if metric in ("rmse", "mae", "logloss") else 1.0
     base_pred = model.predict(assemble(valid, features), [row_id, label])
     base = score(base_pred.withColumn("g", F.lit("base")), metric, y=label, group_by=["g"]).first()["score"]
     ordered = with_position(valid.select(row_id), [F.col(row_id)], "_rank")
     parts = []
     for rep in range(repeats):
-        shuffled = with_position(valid.select(row_id), [F.md5(F.concat(F.lit(f"{seed + rep}:"),
-                                                                        F.col(row_id).cast("string"))),
-                                                        F.col(row_id)], "_rank").withColumnRenamed(row_id, "_src")
+        shuffled = with_hash_position(valid.select(row_id), shuffle_key(row_id, seed + rep), row_id, "_rank").withColumnRenamed(row_id, "_src")
         mapping = ordered.join(shuffled, "_rank").select(row_id, "_src")
         # one join per repeat brings every feature's permuted value alongside
         # the original row; each feature's frame is then a projection
         donor = valid.select(F.col(row_id).alias("_src"), *[F.col(c).alias(f"_perm_{i}") for i, c in enumerate(features)])
-        both = valid.join(mapping, row_id).join(donor, "_src").drop("_src")
+        both = materialize(valid.join(mapping, row_id).join(donor, "_src").drop("_src"))
         for i, c in enumerate(features):
             perm = both.select(row_id, label, *[F.col(f"_perm_{i}").alias(f) if f == c else F.col(f) for f in features])
             p = model.predict(assemble(perm, features), [row_id, label]).withColumn("g", F.lit(f"{c}|{rep}"))
@@ -269,13 +249,6 @@ def permutation_importance(model: FittedModel, valid: DataFrame, row_id: str, la
     return out
 
 
-def prune_features(importance: DataFrame, max_features: int) -> list[str]:
-    """Top ``max_features`` by importance, only when over the cap."""
-    rows = importance.orderBy(F.desc("importance"), "feature").select("feature").collect()
-    names = [r[0] for r in rows]
-    return names if len(names) <= max_features else names[:max_features]
-
-
 def stacking(oof: DataFrame, fold_test: DataFrame, labels: DataFrame, models: Sequence[str], row_id: str,
              label: str, task_kind: str, n_classes: int, k: int = 5, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Meta learner (logistic regression / ridge, default strength) on the
@@ -291,6 +264,6 @@ def stacking(oof: DataFrame, fold_test: DataFrame, labels: DataFrame, models: Se
     feats = [c for c in x.columns if c not in (row_id, label)]
     folded = assign_folds(x, row_id, k=k, kind=CONTIGUOUS, y=label if task_kind == "classification" else None)
     cv = run_cv(folded, row_id, label, feats, meta_name, {}, task_kind, n_classes, k, fold_kind=KFOLD, seed=seed)
-    full = fit_model(meta_name, {}, assemble(x, feats), label, task_kind, n_classes, seed)
+    full = fit_model(meta_name, {}, assemble(x, feats), label, task_kind, n_classes, seed, row_id)
     test_pred = full.predict(assemble(x_test, feats), [row_id]).withColumn("model", F.lit("stacking"))
     return cv.oof.withColumn("model", F.lit("stacking")), test_pred
