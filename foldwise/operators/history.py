@@ -54,3 +54,11 @@ def reentry_decision(state: DataFrame, max_iterations: int) -> DataFrame:
 
 def error_counts(errors: DataFrame) -> DataFrame:
     return errors.groupBy("phase", "error_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def token_totals(calls: DataFrame) -> DataFrame:
+    """Tokens spent per run and phase from a log of calls (``run_id, phase,
+    tokens_in, tokens_out``); missing counts are zero."""
+    return calls.groupBy("run_id", "phase").agg(
+        F.sum(F.coalesce("tokens_in", F.lit(0))).alias("tokens_in"), F.sum(F.coalesce("tokens_out", F.lit(0))).alias("tokens_out"),
+        F.count(F.lit(1)).alias("n_calls")).withColumn("tokens", F.col("tokens_in") + F.col("tokens_out"))

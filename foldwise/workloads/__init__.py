@@ -12,6 +12,7 @@ from foldwise.workloads import io as _io  # noqa: F401
 from foldwise.workloads import plans as _plans  # noqa: F401
 from foldwise.workloads import profile as _profile  # noqa: F401
 from foldwise.workloads import scoring as _scoring  # noqa: F401
+from foldwise.workloads import search as _search  # noqa: F401
 from foldwise.workloads import text as _text  # noqa: F401
 from foldwise.workloads import training as _training  # noqa: F401
 

@@ -238,6 +238,15 @@ def output_build(spark, d):
     return out
 
 
+@workload("output_value_metric", """
+SELECT o_orderkey, round(o_totalprice, 6) AS pred FROM orders
+""")
+def output_value_metric(spark, d):
+    """Predictions under a value metric leave post-processing unchanged."""
+    p = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("pred"))
+    return O.postprocess(p, "pred", "value").select("o_orderkey", r("pred"))
+
+
 @workload("output_validate", """
 WITH s AS (SELECT o_orderkey, o_totalprice FROM orders),
 o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice FROM s)
