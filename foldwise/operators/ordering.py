@@ -34,19 +34,16 @@ def _cols(cs: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cs]
 
 
-#: Bytes of a range partition, and of the md5 prefix the hex digits that make a bucket.
-RANGE_BYTES = 64 << 20
+#: Hexadecimal digits of a hash that make a bucket.
 PREFIX_DIGITS = 4
 
 
 def _num_partitions(df: DataFrame, n: int | None) -> int:
-    """Ranges for ``df``: as many as its planned size needs, and no fewer than
-    the session's shuffle partitions.  Plans of unknown size keep the latter."""
-    if n:
-        return n
+    """Ranges for ``df``: one for each file it reads, and no fewer than the
+    session's shuffle partitions.  (The planner's size estimate multiplies the
+    sides of joins, and counting rows would compute the frame twice.)"""
     held = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    planned = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return held if planned >= 1 << 60 else max(held, -(-planned // RANGE_BYTES))
+    return n or max(held, len(df.inputFiles()))
 
 
 def _range(df: DataFrame, keys: list[Column], num_partitions: int | None) -> DataFrame:
