@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foldwise.operators.text import fit_tfidf_svd, fit_vocabulary, term_counts, weights
-from foldwise.session import materialize
+from foldwise.operators.text import fit_tfidf_svd, fit_vocabulary, weights
 from foldwise.workloads.common import is_test, r, table, workload
 
 
@@ -25,9 +24,8 @@ def tfidf_weights(spark, d):
     smoothed idf, L2 per document) of every document, train and test roles."""
     docs = table(spark, d, "documents").select("doc_id", "text")
     train = docs.filter(~is_test("doc_id"))
-    tc = materialize(term_counts(docs, "text", "doc_id"))  # tokenized once for both steps
-    vocab = fit_vocabulary(tc.filter(~is_test("doc_id")), train.count(), 500)
-    w = weights(tc, vocab, "doc_id")
+    vocab = fit_vocabulary(train, "text", train.count(), 500)
+    w = weights(docs, "text", "doc_id", vocab)
     return w.select("doc_id", F.when(is_test("doc_id"), "test").otherwise("train").alias("split"), "term",
                     r("weight"))
 
@@ -41,3 +39,22 @@ def tfidf_svd_projection(spark, d):
     fitted = fit_tfidf_svd(train, "text", "doc_id", components=50, max_features=500, prefix="t")
     out = fitted.transform(docs, "doc_id")
     return out.select("doc_id", *[r(c) for c in fitted.output_columns])
+
+
+@workload("tfidf_svd_energy", """
+WITH b AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\pL\\pN\\pM_]{2,}') AS toks FROM documents WHERE doc_id % 5 <> 4),
+t AS (SELECT doc_id, unnest(toks) AS term FROM b), tc AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+st AS (SELECT term, sum(tf) AS cf, count(*) AS df FROM tc GROUP BY 1),
+v AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx, ln((1 + (SELECT count(*) FROM b)) / (1 + df)) + 1 AS idf FROM (SELECT * FROM st ORDER BY cf DESC, term LIMIT 12)),
+w AS (SELECT doc_id, idx, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY doc_id)) AS x FROM tc JOIN v USING (term)),
+g AS (SELECT a.idx AS i, b.idx AS j, sum(a.x * b.x) AS g FROM w a JOIN w b USING (doc_id) GROUP BY 1, 2)
+SELECT round(sum(CASE WHEN i = j THEN g END), 6) AS energy, round(sum(g * g), 4) AS energy_squared FROM g
+""")
+def tfidf_svd_energy(spark, d):
+    """Singular values of a 12-term TF-IDF matrix of the documents (train
+    role) with all its components: the sum of their squares is the trace of
+    the Gram matrix, that of their fourth powers its squared norm."""
+    docs = table(spark, d, "documents").select("doc_id", "text").filter(~is_test("doc_id"))
+    sv = fit_tfidf_svd(docs, "text", "doc_id", components=12, max_features=12, all_components=True).singular_values
+    rows = spark.createDataFrame([(float(x),) for x in sv], "s double")
+    return rows.agg(r(F.sum(F.col("s") ** 2), "energy"), F.round(F.sum(F.col("s") ** 4), 4).alias("energy_squared"))
