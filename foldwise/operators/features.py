@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from foldwise.functions import columns as C
 from foldwise.operators.ordering import quantiles, with_trailing_window
 from foldwise.plans.spec import FeatureOp, PlanError
-from foldwise.session import size_checked_broadcast
+from foldwise.session import lookup_join, size_checked_broadcast
 
 
 @dataclass
@@ -32,6 +32,7 @@ class _Lookup:
     op: FeatureOp
     table: DataFrame          # (_lk_key, _lk_val)
     key_expr: str             # "raw" or "title"
+    small: bool               # checked small enough to broadcast
 
 
 @dataclass
@@ -89,7 +90,7 @@ class FittedFeatures:
                 tmp = f"_lk{i}"
                 t = lk.table.select(F.col("_lk_key").alias(f"{tmp}_k"), F.col("_lk_val").alias(f"{tmp}_v"))
                 out = out.withColumn(f"{tmp}_src", key)
-                out = out.join(t, out[f"{tmp}_src"] == t[f"{tmp}_k"], "left")
+                out = lookup_join(out, t, f"{tmp}_src", f"{tmp}_k", lk.small)
                 if op.operation == "count_encoding":
                     val = F.coalesce(F.col(f"{tmp}_v"), F.lit(0)).cast("bigint")
                 else:
@@ -115,7 +116,12 @@ class FittedFeatures:
                         n = op.param("window", 3)
                         cols[op.output_name] = F.avg(x.cast("double")).over(w.rowsBetween(-(n - 1), 0))
                 return cols
-            out = with_trailing_window(out, list(order_by), build, halo=halo)
+            # only the order and the inputs are numbered and pinned; the
+            # order columns make rows unique, so the results join back on them
+            order = list(order_by)
+            inputs = list(dict.fromkeys([*order, *(op.columns[0] for op in windowed)]))
+            made = with_trailing_window(out.select(*inputs), order, build, halo=halo)
+            out = out.join(made.select(*order, *[op.output_name for op in windowed]), order, "left")
         return out
 
 
@@ -175,15 +181,15 @@ def fit_immediate(train: DataFrame, ops: Sequence[FeatureOp]) -> FittedFeatures:
                 key = F.nanvl(key, F.lit(None).cast(dtypes[op.columns[0]]))  # NaN keys are missing
             t = (train.groupBy(key.alias("_lk_key")).agg(F.count(F.lit(1)).alias("_lk_val"))
                  .filter(F.col("_lk_key").isNotNull()))
-            t, _ = size_checked_broadcast(t)
-            fitted.lookups[name] = _Lookup(op, t, "raw")
+            t, small = size_checked_broadcast(t)
+            fitted.lookups[name] = _Lookup(op, t, "raw", small)
         elif op.operation == "extract_title":
             min_count = op.param("min_count", 10)
             t = (train.select(C.title_of(op.columns[0]).alias("_lk_key")).filter(F.col("_lk_key").isNotNull())
                  .groupBy("_lk_key").agg(F.count(F.lit(1)).alias("_lk_val"))
                  .filter(F.col("_lk_val") >= min_count))
-            t, _ = size_checked_broadcast(t)
-            fitted.lookups[name] = _Lookup(op, t, "title")
+            t, small = size_checked_broadcast(t)
+            fitted.lookups[name] = _Lookup(op, t, "title", small)
         if skip:
             fitted.skipped.append((name, skip))
             continue

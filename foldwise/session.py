@@ -135,3 +135,18 @@ def size_checked_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES,
     if size <= max_bytes:
         return F.broadcast(m), True
     return m, False
+
+
+def lookup_join(df: DataFrame, table: DataFrame, key: str, table_key: str, broadcast: bool, extra: tuple = ()) -> DataFrame:
+    """Left join of ``df`` to a lookup ``table`` on ``key`` (and on further
+    ``extra`` conditions).  A broadcast table joins as it is.  In a shuffle
+    join, rows of a NULL key, which match nothing, would all meet in one task:
+    they are dealt out by a hash of the row instead; hot keys are left to
+    Spark's skew handling, which splits them."""
+    same = df[key] == table[table_key]
+    if broadcast:
+        return df.join(table, [same, *extra], "left")
+    spread = F.when(df[key].isNull(), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])).otherwise(F.lit(0).cast("bigint"))
+    salted, zero = df.withColumn("_fw_salt", spread), table.withColumn("_fw_zero", F.lit(0).cast("bigint"))
+    out = salted.join(zero, [same, F.col("_fw_salt") == F.col("_fw_zero"), *extra], "left")
+    return out.drop("_fw_salt", "_fw_zero")

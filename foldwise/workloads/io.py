@@ -110,6 +110,29 @@ def sink_predictions(spark, d):
     return back.groupBy("kind", "model").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@workload("sinks_round_trip", """
+WITH o AS (SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders)
+SELECT 'matrix' AS sink, count(*) AS n_rows, round(sum(o_totalprice), 4) AS total, max(o_orderkey) AS last_key FROM o
+UNION ALL SELECT 'csv', count(*), round(sum(o_totalprice), 4), max(o_orderkey) FROM o
+UNION ALL SELECT 'json', count(*), round(sum(s), 4), NULL FROM (SELECT o_orderpriority, round(avg(o_totalprice), 6) AS s FROM o GROUP BY 1)
+""")
+def sinks_round_trip(spark, d):
+    """The versioned Parquet matrix, the ordered CSV output and the JSON
+    scores, each read back: rows, totals, and the last key (of the CSV, by its
+    place at the end of the files in order)."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    base = _scratch(spark)
+    matrix = K.write_matrix(o.select("o_orderkey", "o_totalprice"), f"{base}/matrix", 3)
+    K.write_output_csv(o.select("o_orderkey", "o_totalprice"), f"{base}/out.csv", order_by="o_orderkey")
+    K.write_scores_json(o.groupBy("o_orderpriority").agg(F.round(F.avg("o_totalprice"), 6).alias("s")), f"{base}/scores")
+    scores = spark.read.json(f"{base}/scores")
+    summed = lambda df, name: df.agg(F.lit(name).alias("sink"), F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("o_totalprice"), 4).alias("total"), F.max("o_orderkey").cast("bigint").alias("last_key"))
+    numbered = S.with_row_order(S.load_table(spark, f"{base}/out.csv", "csv"))
+    csv = summed(numbered, "csv").drop("last_key").crossJoin(numbered.agg(F.max_by(F.col("o_orderkey").cast("bigint"), "_row").alias("last_key")))  # one row each
+    js = scores.agg(F.lit("json").alias("sink"), F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("s"), 4).alias("total"), F.lit(None).cast("bigint").alias("last_key"))
+    return summed(spark.read.parquet(matrix), "matrix").unionByName(csv).unionByName(js)
+
+
 @workload("header_catalog", """
 SELECT table_name AS dataset, CAST(ordinal_position AS INTEGER) AS position, column_name AS "column"
 FROM information_schema.columns

@@ -228,3 +228,22 @@ def time_series_detection(spark, d):
     od = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_orderdate")
     res = P.time_series_columns(ev, ["id"]).unionByName(P.time_series_columns(od, ["id"]))
     return res.select("column", "as_type", "n_nonnull", r("share_nondecreasing"), "is_monotonic")
+
+
+@workload("time_series_text_dates", """
+WITH e AS (SELECT o_orderkey AS id, CAST(NULL AS DOUBLE) AS v, 'order date' AS c, 'number' AS t FROM orders
+           UNION ALL SELECT o_orderkey, CAST(epoch_us(CAST('1990-01-01' AS TIMESTAMP) + to_days(CAST(o_orderkey // 40 AS INTEGER))) AS DOUBLE), 'order date', 'date' FROM orders
+           UNION ALL SELECT o_orderkey, CAST(1990 + o_orderkey // 9000 AS DOUBLE), 'year', 'number' FROM orders
+           UNION ALL SELECT o_orderkey, CAST(epoch_us(make_timestamp(CAST(1990 + o_orderkey // 9000 AS BIGINT), 1, 1, 0, 0, 0.0)) AS DOUBLE), 'year', 'date' FROM orders),
+d AS (SELECT c, t, v - lag(v) OVER (PARTITION BY c, t ORDER BY id) AS dv FROM e WHERE v IS NOT NULL)
+SELECT c AS "column", t AS as_type, count(*) AS n_nonnull, round(avg(CASE WHEN dv IS NULL THEN NULL WHEN dv >= 0 THEN 1.0 ELSE 0.0 END), 6) AS share_nondecreasing,
+       count(*) >= 3 AND coalesce(avg(CASE WHEN dv IS NULL THEN NULL WHEN dv >= 0 THEN 1.0 ELSE 0.0 END) >= 0.95, false) AS is_monotonic
+FROM d GROUP BY 1, 2
+""")
+def time_series_text_dates(spark, d):
+    """Time-named columns that hold texts or numbers: each is tried as a
+    number and as a parsed date (stand-in dates rise with the order key)."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.date_add(F.lit("1990-01-01").cast("date"), F.floor(F.col("o_orderkey") / 40).cast("int")).cast("string").alias("order date"),
+                                         (1990 + F.floor(F.col("o_orderkey") / 9000)).cast("int").alias("year"))
+    res = P.time_series_columns(o, ["id"])
+    return res.select("column", "as_type", "n_nonnull", r("share_nondecreasing"), "is_monotonic")
