@@ -5,6 +5,7 @@ Priors are smoothed along address levels: all rows, address suffix, registered d
 the one above it.  Their counts are sums of text posteriors by grouped aggregation, and a row's own share is taken
 out again at every level, so that no evidence counts twice.
 """
+import json
 import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass
@@ -232,5 +233,5 @@ def markup_evidence(declared: Column, counts: dict[str, list[float]], languages:
     unseen = F.array(*[F.lit(0.0)] * len(languages))
     if not lists:
         return unseen
-    table = F.create_map(*[x for m, v in lists.items() for x in (F.lit(m), F.array(*[F.lit(y) for y in v]))])
-    return F.coalesce(F.when(declared.isNotNull(), F.element_at(table, declared)), unseen)
+    table = F.from_json(F.lit(json.dumps(lists)), "map<string,array<double>>")  # one literal, whatever its size
+    return F.coalesce(F.when(declared.isNotNull(), F.try_element_at(table, declared)), unseen)
