@@ -118,3 +118,46 @@ def test_fewer_rows_than_folds(spark):
     enc = infold_encode(f, [Deferred("target_encode", ("k",), "te")], "rid", "y", k=5).collect()
     assert len(enc) == 15                                           # every row in every fit fold
     assert all(r["te"] is not None for r in enc)
+
+
+def test_lookup_join_is_the_same_without_a_broadcast(spark):
+    from foldwise.session import lookup_join
+
+    df = spark.createDataFrame([(i, None if i % 3 else f"k{i % 5}") for i in range(60)], "rid long, k string")
+    table = spark.createDataFrame([("k0", 1.0), ("k1", 2.0), ("zz", 3.0)], "key string, v double")
+    want = sorted(tuple(r) for r in df.join(table, df["k"] == table["key"], "left").select("rid", "v").fillna(-1.0).collect())
+    for small in (True, False):
+        got = lookup_join(df, table, "k", "key", small).select("rid", "v").fillna(-1.0)
+        assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_pair_correlations_match_numpy(spark):
+    from foldwise.operators import profile as P
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 4)) * [1, 1e3, 1e-3, 1] + [1e6, 0, 5, 0]
+    x[:, 3] = 7.0                                              # constant
+    x[:, 2] += x[:, 0] * 1e-3
+    x[rng.random((400, 4)) < 0.2] = np.nan
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x], "a double, b double, c double, d double").repartition(5)
+    got = {(r["i"], r["j"]): r for r in P.pair_correlations(df, ["a", "b", "c", "d"], ["a", "b", "c", "d"], upper=True).collect()}
+    for i in range(4):
+        for j in range(i + 1, 4):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            r = got[i, j]
+            assert r["n_pairs"] == both.sum()
+            if 3 in (i, j):
+                assert r["r"] is None
+            else:
+                assert r["r"] == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1], abs=1e-9)
+    top = P.top_correlations(df, 2).collect()
+    assert (top[0]["col_a"], top[0]["col_b"]) == ("a", "c")
+
+
+def test_known_features_are_no_leaks_by_correlation(spark):
+    from foldwise.operators import profile as P
+
+    df = spark.createDataFrame([(i, float(i), 2.0 * i, float(i % 7), float(i)) for i in range(50)], "id long, y double, twice double, other double, my_label double")
+    flagged = lambda **kw: {r["column"]: (r["by_name"], r["by_correlation"]) for r in P.leakage_columns(df, "id", ["y"], **kw).collect()}
+    assert flagged() == {"twice": (False, True), "my_label": (True, True)}
+    assert flagged(known_features=["twice", "my_label"]) == {"my_label": (True, False)}
