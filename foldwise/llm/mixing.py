@@ -1,25 +1,80 @@
 """Mixing sources to target weights by Pfair scheduling of blocks.
 
-Block k (from 1) of a source with weight w is released at slot floor((k - 1) / w) and due at slot ceil(k / w).
-Earliest deadline first over released blocks serves every block inside its window, which keeps each source less
-than one block away from its share at any slot.  Integer weights that add up to ``resolution`` make the schedule
-repeat after ``resolution`` slots, so one period is scheduled and every block's slot follows from it by
-arithmetic.  When a source has no blocks left, a new phase goes on with the weights of the rest, until every
-document has its place: none is dropped or repeated.
+The mix follows a fluid in which every source flows at a rate proportional to its weight and, once it has no blocks
+left, hands its share on to the rest.  T(v) = sum of min(w v, n) over the sources is the slot that the fluid reaches
+when v units have flowed for each unit of weight.  Block k (from 1) of a source with weight w is released at slot
+floor(T((k - 1) / w)) and due at slot ceil(T(k / w)): while no source has ended, that is floor((k - 1) / share) and
+ceil(k / share).  Earliest deadline first over released blocks serves every block inside its window, which keeps each
+source less than one block away from its share at any slot.  Weights are taken exactly, as rational numbers.  The
+slots come one after another on the driver, which holds the sources and ``PLAN_ROWS`` blocks at a time; every document
+has its place: none is dropped or repeated.
 """
 import heapq
+from bisect import bisect_left
 from fractions import Fraction
+from itertools import accumulate, islice
+from math import gcd, lcm
+from typing import Iterable, Iterator
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldwise.llm.common import scratch_folder
+from foldwise.session import size_checked_broadcast
+
 BLOCK_DOCS = 32
-RESOLUTION = 1000
 MAX_SOURCES = 500
 BUCKET_DOCS = 1_000
+#: Blocks of the schedule that the driver holds at a time; a longer schedule goes through files.
+PLAN_ROWS = 1_000_000
 REST = "(rest)"
 
 
+def schedule(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, block, release, deadline, slot) of all blocks by slot.  Sources of no weight come after all others,
+    in equal shares."""
+    left = {s: n for s, n in blocks.items() if n > 0}
+    start = 0
+    for part in ({s: Fraction(weights[s]) for s in left if weights[s] > 0}, {s: Fraction(1) for s in left if not weights[s] > 0}):
+        for s, k, release, deadline, slot in _earliest_deadline_first({s: left[s] for s in part}, part):
+            yield s, k, start + release, start + deadline, start + slot
+        start += sum(left[s] for s in part)
+
+
+def _earliest_deadline_first(blocks: dict[str, int], weights: dict[str, Fraction]) -> Iterator[tuple[str, int, int, int, int]]:
+    names = sorted(blocks, key=lambda s: (blocks[s] / weights[s], s))  # by the end of their flow
+    scale = lcm(*[weights[s].denominator for s in names])
+    whole = [weights[s].numerator * (scale // weights[s].denominator) for s in names]
+    common = gcd(*whole) or 1
+    w, n = [x // common for x in whole], [blocks[s] for s in names]
+    ends = [a / b for a, b in zip(n, w)]
+    served = [0, *accumulate(n)]  # by the sources before
+    active = [*accumulate(w[::-1])][::-1]  # weight of a source and those that end later
+
+    def flowed(i: int, k: int) -> tuple[int, int]:
+        """T(k / w[i]), rounded down and up; floats only find about where, integers decide."""
+        p = min(bisect_left(ends, k / w[i]), i)
+        while p and n[p - 1] * w[i] >= k * w[p - 1]:
+            p -= 1
+        while p < i and n[p] * w[i] < k * w[p]:
+            p += 1
+        whole, part = divmod(k * active[p], w[i])
+        return served[p] + whole, served[p] + whole + (part > 0)
+
+    waiting = [(0, i, 1) for i in range(len(names))]  # a heap: sorted
+    ready: list[tuple[int, int, int, int, int]] = []
+    for slot in range(served[-1]):
+        while waiting and waiting[0][0] <= slot:
+            release, i, k = heapq.heappop(waiting)
+            then, deadline = flowed(i, k)
+            heapq.heappush(ready, (deadline, i, k, release, then))
+        deadline, i, k, release, then = heapq.heappop(ready)
+        yield names[i], k, release, deadline, slot
+        if k < n[i]:
+            heapq.heappush(waiting, (then, i, k + 1))
+
+
 def integer_weights(weights: dict[str, float], resolution: int) -> dict[str, int]:
     """Shares in whole parts that add up to ``resolution``, at least one each; the largest remainders get the rest."""
     if not weights:
@@ -56,7 +111,7 @@ def period(parts: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
 
 def phases(blocks: dict[str, int], weights: dict[str, float], resolution: int) -> list[tuple]:
     """(source, first block, blocks, first slot, k, parts, period, slot in the period, release, deadline) rows:
-    which blocks of a source a phase takes, and where the period puts its k-th."""
+    which blocks of a source a phase takes, and where the period puts its k-th.  A phase ends when a source does."""
     left, rows, slot, done = {s: n for s, n in blocks.items() if n > 0}, [], 0, dict.fromkeys(blocks, 0)
     while left:
         parts = integer_weights({s: weights[s] for s in left}, resolution)
@@ -79,7 +134,31 @@ def phases(blocks: dict[str, int], weights: dict[str, float], resolution: int) -
     return rows
 
 
-PHASES = ("mix_source string, first_block long, blocks long, first_slot long, k long, parts long, period long, at long, k_release long, k_deadline long")
+def rounded_schedule(blocks: dict[str, int], weights: dict[str, float], resolution: int) -> Iterator[tuple[str, int, int, int, int]]:
+    """The rows of ``schedule`` for weights in whole parts of ``resolution``, phase by phase."""
+    for s, done, taken, start, k, parts, total, at, release, deadline in phases(blocks, weights, resolution):
+        for turn, block in enumerate(range(k, taken + 1, parts)):
+            base = start + turn * total
+            yield s, done + block, base + release, base + deadline, base + at
+
+
+PLAN = pa.schema([("mix_source", pa.string()), ("block", pa.int64()), ("release", pa.int64()), ("deadline", pa.int64()), ("slot", pa.int64())])
+
+
+def plan_table(spark: SparkSession, rows: Iterable[tuple]) -> DataFrame:
+    """The rows of a schedule as a frame: from memory up to PLAN_ROWS, else from files written part by part."""
+    rows, folder = iter(rows), None
+    part = list(islice(rows, PLAN_ROWS))
+    while True:
+        following = list(islice(rows, PLAN_ROWS))
+        frame = spark.createDataFrame(pa.table([pa.array(x, t) for x, t in zip(zip(*part) if part else [[]] * len(PLAN), PLAN.types)], schema=PLAN))
+        if not following and folder is None:
+            return frame
+        folder = folder or scratch_folder(spark, "mix")
+        frame.write.mode("append").parquet(folder)
+        if not following:
+            return spark.read.parquet(folder)
+        part = following
 
 
 def default_weights(counts: dict[str, int], power: float = 0.5) -> dict[str, float]:
@@ -101,11 +180,12 @@ def numbered(docs: DataFrame, counts: dict[str, int], group: str, order_id: str)
 
 
 def pfair_mix(docs: DataFrame, *, source: str = "source", doc_id: str = "doc_id", weights: dict[str, float] | None = None, power: float = 0.5,
-              block_docs: int = BLOCK_DOCS, resolution: int = RESOLUTION, max_sources: int = MAX_SOURCES, out: str = "mix") -> DataFrame:
+              block_docs: int = BLOCK_DOCS, resolution: int | None = None, max_sources: int = MAX_SOURCES, out: str = "mix") -> DataFrame:
     """``docs`` with a struct column ``out``: source (the group mixed), block (from 1, within the source), release, deadline
     (in slots of the whole mix), slot, position (slot * block_docs + place in the block; unique and rising through the mix).
 
-    ``weights`` gives targets by source; without it, document counts to the ``power``.  Sources without a weight,
+    ``weights`` gives targets by source; without it, document counts to the ``power``.  Targets are met exactly;
+    a ``resolution`` rounds them to so many parts, of at least one a source, in a schedule that repeats.  Sources without a weight,
     and those beyond the ``max_sources`` largest, are mixed as one group REST, which takes the average of the other
     weights where none is given, so all rows stay.  Null sources count as the source ''.  Rows of one id lie next to each
     other in an order left open; null ids hash alike; an empty table gives an empty one; an input column named ``out`` is replaced.
@@ -123,21 +203,14 @@ def pfair_mix(docs: DataFrame, *, source: str = "source", doc_id: str = "doc_id"
         targets[REST] = weights.get(REST, average) if weights is not None else float(rest) ** power
         counts[REST] = counts.get(REST, 0) + rest
     blocks = {s: -(-n // block_docs) for s, n in counts.items()}
-    plan = docs.sparkSession.createDataFrame(phases(blocks, targets, resolution) or [], PHASES)
-    # at most max_sources phases of resolution rows, whatever the number of documents: small enough to broadcast
-    phase = plan.groupBy("mix_source", "first_block", "blocks", "first_slot", "parts", "period").agg(
-        F.sort_array(F.collect_list(F.struct("k", "at", "k_release", "k_deadline"))).alias("table"))
+    plan = plan_table(docs.sparkSession, schedule(blocks, targets) if resolution is None else rounded_schedule(blocks, targets, resolution))
+    plan, _ = size_checked_broadcast(plan.withColumnRenamed("mix_source", "__source").withColumn("__at", F.col("block") - 1).select("__source", "__at", "release", "deadline", "slot"))
     known = [s for s in counts if s != REST]
     group = F.coalesce(F.col(f"`{source}`").cast("string"), F.lit(""))
     rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.when(group.isin(known), group).otherwise(REST).alias("mix_source"), F.col(f"`{doc_id}`").alias("__id"))
     rows = numbered(rows, counts or {"": 0}, "mix_source", "__id")
     rows = rows.withColumn("__block", F.floor(F.col("nr") / block_docs)).withColumn("__in", F.col("nr") % block_docs)
-    wide = rows.join(F.broadcast(phase), (rows["mix_source"] == phase["mix_source"]) & (F.col("__block") >= F.col("first_block")) & (F.col("__block") < F.col("first_block") + F.col("blocks")))
-    turn = F.floor((F.col("__block") - F.col("first_block")) / F.col("parts"))
-    k = (F.col("__block") - F.col("first_block")) % F.col("parts")
-    base = F.col("first_slot") + turn * F.col("period")
-    place = F.col("table")[k.cast("int")]
-    slot = base + place["at"]
-    made = F.struct(rows["mix_source"].alias("source"), (F.col("__block") + 1).alias("block"), (base + place["k_release"]).alias("release"), (base + place["k_deadline"]).alias("deadline"),
-                    slot.alias("slot"), (slot * block_docs + F.col("__in")).alias("position"))
+    wide = rows.join(plan, (rows["mix_source"] == plan["__source"]) & (rows["__block"] == plan["__at"]))
+    made = F.struct(rows["mix_source"].alias("source"), (F.col("__block") + 1).alias("block"), plan["release"], plan["deadline"],
+                    plan["slot"], (plan["slot"] * block_docs + F.col("__in")).alias("position"))
     return wide.select(*[rows[f"`{c}`"] for c in columns], made.alias(out))

@@ -125,6 +125,40 @@ def test_mix_against_a_simulation(spark, weights, monkeypatch):
     assert {(r.mix.source, r.mix.block): r.mix.slot for r in got} == slots
 
 
+@pytest.mark.parametrize("given", [None, {"s0": 1.0, "s1": 0.0005, **{f"s{k}": 0.05 for k in range(2, 20)}}])
+def test_mix_follows_the_given_weights(spark, given, monkeypatch):
+    """Windows and lag against the targets themselves, until the first source ends; the schedule comes in parts."""
+    monkeypatch.setattr(mixing, "PLAN_ROWS", 2500)
+    count = {f"s{k}": 2000 if k == 0 else 210 for k in range(20)}
+    rows = [(k, s) for k, s in enumerate(s for s, n in count.items() for _ in range(n))]
+    got = sorted((r.mix.slot, r.mix) for r in mixing.pfair_mix(spark.createDataFrame(rows, "doc_id long, source string"), weights=given, block_docs=1).collect())
+    assert [slot for slot, _ in got] == list(range(len(rows)))
+    assert all(m.release <= slot < m.deadline for slot, m in got)
+    weights = mixing.default_weights(count) if given is None else given
+    share = {s: Fraction(w) / sum(map(Fraction, weights.values())) for s, w in weights.items()}
+    end, done = min(n / share[s] for s, n in count.items()), dict.fromkeys(count, 0)
+    assert end > 1500
+    for slot, m in got:
+        if slot + 1 > end:
+            break
+        done[m.source] += 1
+        assert m.block == done[m.source] and m.release == (m.block - 1) // share[m.source]
+        assert m.deadline == -(-m.block // share[m.source]) or m.block > share[m.source] * end
+        assert all(abs(done[s] - share[s] * (slot + 1)) < 1 for s in count)
+
+
+def test_schedule_serves_every_block_in_its_window():
+    rng = random.Random(5)
+    for _ in range(100):
+        blocks = {f"s{k}": rng.choice([0, 1, 2, 5, 30, 100]) for k in range(rng.randint(0, 12))}
+        weights = {s: rng.choice([n ** 0.5, rng.random(), 3, 0.0]) for s, n in blocks.items()}
+        done = dict.fromkeys(blocks, 0)
+        for at, (s, k, release, deadline, slot) in enumerate(mixing.schedule(blocks, weights)):
+            done[s] += 1
+            assert (k, slot) == (done[s], at) and release <= slot < deadline
+        assert done == blocks
+
+
 def test_many_sources_are_mixed_as_a_rest(spark):
     rows = [(k, f"s{k % 50}") for k in range(300)]
     got = mixing.pfair_mix(spark.createDataFrame(rows, "doc_id long, source string"), max_sources=5, block_docs=2).collect()
