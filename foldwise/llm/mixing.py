@@ -24,7 +24,6 @@ from foldwise.llm.common import scratch_folder
 from foldwise.session import size_checked_broadcast
 
 BLOCK_DOCS = 32
-MAX_SOURCES = 500
 BUCKET_DOCS = 1_000
 #: Blocks of the schedule that the driver holds at a time; a longer schedule goes through files.
 PLAN_ROWS = 1_000_000
@@ -166,12 +165,13 @@ def default_weights(counts: dict[str, int], power: float = 0.5) -> dict[str, flo
     return {s: float(n) ** power for s, n in counts.items()}
 
 
-def numbered(docs: DataFrame, counts: dict[str, int], group: str, order_id: str) -> DataFrame:
+def numbered(docs: DataFrame, counts: DataFrame, group: str, order_id: str) -> DataFrame:
     """``docs`` with ``nr`` (from 0) within ``group`` in order of a hash of ``order_id``.  Rows are numbered inside
-    hash buckets of about BUCKET_DOCS rows, as many as the group's ``counts`` ask for, and buckets offset by the counts
-    before them, so no group meets in one task."""
-    buckets = F.create_map(*[x for s, n in counts.items() for x in (F.lit(s), F.lit(max(1, -(-n // BUCKET_DOCS))))])
-    rows = docs.withColumn("__h", F.xxhash64(order_id)).withColumn("__bucket", F.pmod(F.col("__h"), buckets[F.col(group)]))
+    hash buckets of about BUCKET_DOCS rows, as many as the group's row of ``counts`` (group, n) asks for, and buckets offset
+    by the counts before them, so no group meets in one task."""
+    buckets, _ = size_checked_broadcast(counts.select(F.col(group).alias("__group"), F.greatest(F.lit(1), F.ceil(F.col("n") / BUCKET_DOCS)).alias("__buckets")))
+    rows = docs.join(buckets, F.col(group) == F.col("__group")).drop("__group")
+    rows = rows.withColumn("__h", F.xxhash64(order_id)).withColumn("__bucket", F.pmod(F.col("__h"), F.col("__buckets"))).drop("__buckets")
     sizes = rows.groupBy(group, "__bucket").agg(F.count("*").alias("n"))
     # one row per group and bucket: sums over it are small
     before = sizes.alias("x").selectExpr(f"{group}", "__bucket", f"sum(n) over (partition by {group} order by __bucket rows between unbounded preceding and 1 preceding) as __before")
@@ -180,35 +180,42 @@ def numbered(docs: DataFrame, counts: dict[str, int], group: str, order_id: str)
 
 
 def pfair_mix(docs: DataFrame, *, source: str = "source", doc_id: str = "doc_id", weights: dict[str, float] | None = None, power: float = 0.5,
-              block_docs: int = BLOCK_DOCS, resolution: int | None = None, max_sources: int = MAX_SOURCES, out: str = "mix") -> DataFrame:
+              block_docs: int = BLOCK_DOCS, resolution: int | None = None, max_sources: int | None = None, out: str = "mix") -> DataFrame:
     """``docs`` with a struct column ``out``: source (the group mixed), block (from 1, within the source), release, deadline
     (in slots of the whole mix), slot, position (slot * block_docs + place in the block; unique and rising through the mix).
 
     ``weights`` gives targets by source; without it, document counts to the ``power``.  Targets are met exactly;
-    a ``resolution`` rounds them to so many parts, of at least one a source, in a schedule that repeats.  Sources without a weight,
-    and those beyond the ``max_sources`` largest, are mixed as one group REST, which takes the average of the other
-    weights where none is given, so all rows stay.  Null sources count as the source ''.  Rows of one id lie next to each
-    other in an order left open; null ids hash alike; an empty table gives an empty one; an input column named ``out`` is replaced.
+    a ``resolution`` rounds them to so many parts, of at least one a source, in a schedule that repeats.  Every source is
+    mixed by its name.  Only sources that ``weights`` leaves out are mixed as one group REST, which takes the average of the
+    other weights where none is given, as are those beyond the ``max_sources`` largest where a caller sets it; all rows
+    stay.  Null sources count as the source ''.  Rows of one id lie next to each other in an order left open; null ids hash
+    alike; an empty table gives an empty one; an input column named ``out`` is replaced.
     """
+    spark = docs.sparkSession
     columns = [c for c in docs.columns if c.lower() != out.lower()]
-    # group sizes: the largest max_sources names are all that comes to the driver
-    named = docs.select(F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("s")).groupBy("s").agg(F.count("*").alias("n"))
-    named = named.filter(F.col("s").isin(list(weights))) if weights is not None else named
-    counts = {r.s: r.n for r in named.orderBy(F.desc("n"), "s").limit(max_sources).collect()}
-    total = docs.count()
+    group = F.coalesce(F.col(f"`{source}`").cast("string"), F.lit(""))
+    # group sizes: one row a source comes to the driver
+    counts = {r.s: r.n for r in docs.select(group.alias("s")).groupBy("s").agg(F.count("*").alias("n")).collect()}
+    total = sum(counts.values())
+    if weights is not None:
+        counts = {s: n for s, n in counts.items() if s in weights}
+    if max_sources is not None:
+        counts = dict(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:max_sources])
     rest = total - sum(counts.values())
     targets = {s: weights[s] for s in counts} if weights is not None else default_weights(counts, power)
+    known = [s for s in counts if s != REST]
     if rest:
         average = sum(targets.values()) / len(targets) if targets else 1.0
         targets[REST] = weights.get(REST, average) if weights is not None else float(rest) ** power
         counts[REST] = counts.get(REST, 0) + rest
     blocks = {s: -(-n // block_docs) for s, n in counts.items()}
-    plan = plan_table(docs.sparkSession, schedule(blocks, targets) if resolution is None else rounded_schedule(blocks, targets, resolution))
+    plan = plan_table(spark, schedule(blocks, targets) if resolution is None else rounded_schedule(blocks, targets, resolution))
     plan, _ = size_checked_broadcast(plan.withColumnRenamed("mix_source", "__source").withColumn("__at", F.col("block") - 1).select("__source", "__at", "release", "deadline", "slot"))
-    known = [s for s in counts if s != REST]
-    group = F.coalesce(F.col(f"`{source}`").cast("string"), F.lit(""))
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.when(group.isin(known), group).otherwise(REST).alias("mix_source"), F.col(f"`{doc_id}`").alias("__id"))
-    rows = numbered(rows, counts or {"": 0}, "mix_source", "__id")
+    rows = docs.select(*[F.col(f"`{c}`") for c in columns], group.alias("mix_source"), F.col(f"`{doc_id}`").alias("__id"))
+    if rest:
+        named, _ = size_checked_broadcast(spark.createDataFrame(pa.table({"__known": pa.array(known, pa.string())})))
+        rows = rows.join(named, F.col("mix_source") == F.col("__known"), "left").withColumn("mix_source", F.coalesce("__known", F.lit(REST))).drop("__known")
+    rows = numbered(rows, spark.createDataFrame(pa.table({"mix_source": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})), "mix_source", "__id")
     rows = rows.withColumn("__block", F.floor(F.col("nr") / block_docs)).withColumn("__in", F.col("nr") % block_docs)
     wide = rows.join(plan, (rows["mix_source"] == plan["__source"]) & (rows["__block"] == plan["__at"]))
     made = F.struct(rows["mix_source"].alias("source"), (F.col("__block") + 1).alias("block"), plan["release"], plan["deadline"],

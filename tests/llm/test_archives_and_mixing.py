@@ -166,6 +166,22 @@ def test_many_sources_are_mixed_as_a_rest(spark):
     assert mixing.pfair_mix(spark.createDataFrame([], "doc_id long, source string")).count() == 0
 
 
+@pytest.mark.parametrize("given", [False, True])
+def test_many_sources_keep_their_own_weights(spark, given):
+    """Past 500 sources, each is mixed by name and stays less than one block from its target."""
+    rows = [(k, f"s{k % 700}") for k in range(2100)] + [(k, "s0") for k in range(2100, 2700)]
+    weights = {f"s{k}": 1.0 + k % 3 for k in range(700)} if given else None
+    got = mixing.pfair_mix(spark.createDataFrame(rows, "doc_id long, source string"), weights=weights, block_docs=1).collect()
+    assert sorted((r.doc_id, r.source) for r in got) == sorted(rows) and all(r.mix.source == r.source for r in got)
+    assert sorted(r.mix.slot for r in got) == list(range(2700)) and all(r.mix.release <= r.mix.slot < r.mix.deadline for r in got)
+    count = defaultdict(int)
+    for _, s in rows:
+        count[s] += 1
+    weights = weights or mixing.default_weights(count)
+    total = sum(map(Fraction, weights.values()))
+    assert all(r.mix.release == 0 and r.mix.deadline == -(-total // Fraction(weights[r.source])) for r in got if r.mix.block == 1)
+
+
 def test_pipeline_stages_against_plain_rules(spark):
     """Each stage on what the one before it kept, against a re-computation of its rule; then run()."""
     docs, kept = spark.read.parquet(f"{SF01}/documents.parquet"), {}
