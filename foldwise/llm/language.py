@@ -22,8 +22,8 @@ from foldwise.llm.common import alnum_words, crc_bucket, per_text
 from foldwise.session import size_checked_broadcast
 
 BUCKET_BITS = 14
-#: Languages of the model at most: the most frequent labels.
-MAX_LANGUAGES = 64
+#: Bytes of the word table of a task, and labels whose bucket counts a task holds at a time.
+WORD_TABLE_BYTES, HELD_LABELS = 51_200_000, 64
 #: Smoothing counts: of a bucket, of each address level towards the one above, of declared languages.
 ALPHA, LEVEL_PRIOR, MARKUP_PRIOR = 0.5, 20.0, 10.0
 #: Words of evidence that a text counts for at most, and the share of a declared language taken as true beforehand.
@@ -67,7 +67,8 @@ class WordTable:
     """Log likelihoods of the words seen lately, one row a word."""
 
     def __init__(self, model: TextModel, limit: int = 200_000):
-        self.model, self.limit, self.index = model, limit, {}
+        self.model, self.limit, self.index = model, max(1, min(limit, WORD_TABLE_BYTES // (4 * len(model.languages)))), {}
+        limit = self.limit
         self.rows = np.zeros((limit, len(model.languages)), dtype=np.float32)
 
     def loglik(self, words: list[bytes]) -> np.ndarray:
@@ -88,36 +89,46 @@ class WordTable:
         return out
 
 
-def _count(batches):
-    """Bucket counts by label, summed over a task."""
-    held = defaultdict(lambda: np.zeros(1 << BUCKET_BITS, dtype=np.int64))
-    for batch in batches:
-        words = defaultdict(Counter)
-        for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words[label].update(alnum_words(text or b""))
-        for label, count in words.items():
-            if count:
-                buckets = np.array([word_buckets(w) for w in count])
-                held[label] += np.bincount(buckets.ravel(), np.repeat(list(count.values()), buckets.shape[1]), 1 << BUCKET_BITS).astype(np.int64)
-    for label, counts in held.items():
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], names=["label", "bucket", "n"])
+def _count(place: dict[str, int]):
+    """Worker: bucket counts by the label's place, summed over a task for up to HELD_LABELS labels at a time."""
 
+    def flush(held):
+        for label, counts in held.items():
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], names=["label", "bucket", "n"])
+        held.clear()
 
-def train_text_model(docs: DataFrame, *, text: str = "text", label: str = "lang", doc_id: str = "doc_id", held_out: tuple[int, int] | None = HELD_OUT, max_languages: int = MAX_LANGUAGES) -> TextModel:
+    def count(batches):
+        held = defaultdict(lambda: np.zeros(1 << BUCKET_BITS, dtype=np.int64))
+        for batch in batches:
+            words = defaultdict(Counter)
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words[place[label]].update(alnum_words(text or b""))
+            for label, found in words.items():
+                if found:
+                    if label not in held and len(held) >= HELD_LABELS:
+                        yield from flush(held)
+                    buckets = np.array([word_buckets(w) for w in found])
+                    held[label] += np.bincount(buckets.ravel(), np.repeat(list(found.values()), buckets.shape[1]), 1 << BUCKET_BITS).astype(np.int64)
+        yield from flush(held)
+
+    return count
+
+
+def train_text_model(docs: DataFrame, *, text: str = "text", label: str = "lang", doc_id: str = "doc_id", held_out: tuple[int, int] | None = HELD_OUT) -> TextModel:
     """Naive Bayes over hashed words, word beginnings and word ends, counted over all labelled rows outside the
-    held-out remainder.  Labels beyond the ``max_languages`` most frequent are not learnt; null and empty ones are no labels.
+    held-out remainder.  Every label is learnt (64 KB of the model each); null and empty ones are no labels.
     No labelled rows give one language 'und'."""
     rows = docs.select(F.col(f"`{label}`").cast("string").alias("label"), F.col(f"`{text}`").cast("binary").alias("text"), F.col(f"`{doc_id}`").alias("id")).filter("label is not null and trim(label) <> ''")
     if held_out:
         rows = rows.filter(F.col("id").isNull() | (crc_bucket("id", held_out[0]) != held_out[1]))
-    frequent = [r.label for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_languages).collect()]
-    languages = sorted(frequent) or ["und"]
-    counts = rows.filter(F.col("label").isin(languages)).select("label", "text").mapInArrow(_count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
+    languages = sorted(r.label for r in rows.select("label").distinct().collect()) or ["und"]
+    place = {x: k for k, x in enumerate(languages)}
+    counts = rows.select("label", "text").mapInArrow(_count(place), "label int, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
     # at most 2^BUCKET_BITS rows a language
     table = np.full((1 << BUCKET_BITS, len(languages)), ALPHA)
     made = counts.toPandas()
-    table[made["bucket"].to_numpy(dtype=int), [languages.index(x) for x in made["label"]]] += made["n"].to_numpy(dtype=float)
+    table[made["bucket"].to_numpy(dtype=int), made["label"].to_numpy(dtype=int)] += made["n"].to_numpy(dtype=float)
     return TextModel(languages, np.log(table / table.sum(axis=0)).astype(np.float32))
 
 
@@ -154,9 +165,14 @@ def address_levels(url: Column, host: Column) -> dict[str, Column]:
     return {"suffix": suffix, "domain": F.when(size > 1, domain).otherwise(name), "host": name}
 
 
+def _let(x: Column, body) -> Column:
+    """``body`` of a variable bound to ``x``: inside a lambda function an expression would be computed anew for each element."""
+    return F.element_at(F.transform(F.array(x), body), 1)
+
+
 def softmax(x: Column) -> Column:
-    e = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+    shares = lambda e: _let(F.aggregate(e, F.lit(0.0), lambda a, b: a + b), lambda s: F.transform(e, lambda v: v / s))
+    return _let(x, lambda y: _let(F.array_max(y), lambda top: _let(F.transform(y, lambda v: F.exp(v - top)), shares)))
 
 
 def _add(a: Column, b: Column) -> Column:
@@ -220,8 +236,8 @@ def language_fusion(rows: DataFrame, model: TextModel, *, text: str = "text", ma
 
 
 def _smoothed(counts: Column, above: Column) -> Column:
-    size = F.aggregate(counts, F.lit(0.0), lambda a, b: a + b)
-    return F.zip_with(counts, above, lambda c, p: (c + LEVEL_PRIOR * p) / (size + LEVEL_PRIOR))
+    size = lambda c: F.aggregate(c, F.lit(0.0), lambda a, b: a + b)
+    return _let(counts, lambda c: _let(size(c), lambda s: F.zip_with(c, above, lambda x, p: (x + LEVEL_PRIOR * p) / (s + LEVEL_PRIOR))))
 
 
 def markup_evidence(declared: Column, counts: dict[str, list[float]], languages: list[str]) -> Column:

@@ -193,6 +193,17 @@ def test_evidence_is_fused(spark, text_model):
     assert got[102].posterior > got[104].posterior > 0.5
 
 
+def test_every_label_is_learnt(spark):
+    """Rare labels too: past 64 languages, each of three texts, none is taken for another."""
+    rng = random.Random(3)
+    words = {f"l{k:02d}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for k in range(72)}
+    frame = spark.createDataFrame([(3 * k + i, " ".join(rng.choices(words[lang], k=20)), lang) for k, lang in enumerate(words) for i in range(3)], "doc_id long, text string, lang string")
+    model = language.train_text_model(frame, held_out=None)
+    assert model.languages == sorted(words)
+    got = language.language_fusion(frame, model).select("lang", "language.*").collect()
+    assert len(got) == 216 and all(r.lang == r.language and r.kept for r in got)
+
+
 def test_address_levels(spark):
     urls = ["http://a.b.co.uk/x", "https://www.x.org", "ftp://h", "nonsense", None]
     frame = spark.createDataFrame([(u, "SRC7") for u in urls], "u string, s string")
