@@ -140,6 +140,18 @@ def test_bands_reject_repetition_and_noise(spark):
     assert rows[0].quality_rules.kept
 
 
+def test_junk_in_a_part_of_a_text_counts(spark):
+    """48 % noise or repetition, in long and short texts and in the last bytes, though the median chunk is prose."""
+    rng, letters = random.Random(3), string.ascii_letters + string.digits + "+/"
+    prose = lambda n: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(n // 5))[:n]
+    noise = lambda n: " ".join("".join(rng.choice(letters) for _ in range(30)) for _ in range(n // 31 + 1))[:n]
+    loop = lambda n: ("one and the same sentence again and again. " * (n // 43 + 1))[:n]
+    texts = [prose(4096 * 52) + " " + noise(4096 * 48), prose(4096 * 52) + " " + loop(4096 * 48), prose(4096) + noise(4096), prose(4096) + noise(2000), prose(1500) + " " + noise(1100), prose(4096 * 3), prose(3000), prose(700)]
+    rows = compression.compression_rules(docs(spark, texts)).orderBy("doc_id").collect()
+    assert [r.quality_rules.band for r in rows] == ["incompressible", "repetitive", "incompressible", "incompressible", "incompressible", "ok", "ok", "ok"]
+    assert all(b"".join(compression.pieces(x.encode())) == x.encode() for x in texts)
+
+
 def slow_hits(text, items, width=13):
     ws, hit, found = alnum(text), set(), set()
     for key, item in items:
