@@ -58,3 +58,12 @@ items AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, '
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM dw LEFT JOIN hits USING (r) LEFT JOIN items USING (r)"""
+
+TOPK_SQL = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c AS (SELECT r, unnest(e) AS x, unnest(range(len(e))) AS i FROM v),
+dots AS (SELECT a.r AS q, b.r AS r, sum(a.x * b.x) AS s FROM c a JOIN c b USING (i) WHERE a.r IN (SELECT r FROM v WHERE vec_id % 50 = 0) GROUP BY 1, 2),
+ranked AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(coalesce(s, 0) AS BIGINT) AS score, row_number() OVER (PARTITION BY a.r ORDER BY coalesce(s, 0) DESC, b.vec_id NULLS LAST) AS rank
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND b.vec_id IS DISTINCT FROM a.vec_id LEFT JOIN dots ON dots.q = a.r AND dots.r = b.r)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5"""

@@ -2,7 +2,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import compression, decontaminate, fm, language, licenses, mixing, ngram, oracles, simhash, textcnn, warc
+from foldwise.llm import compression, decontaminate, fm, language, licenses, mixing, ngram, oracles, simhash, textcnn, topk, warc
 from foldwise.llm.common import crc_bucket, table
 
 
@@ -85,6 +85,12 @@ def op10_factor_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_bucket("doc_id", 4) == 2).alias("held_out"), "q.score", "q.predicted")
 
 
+def op11_term_at_a_time_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best vectors by integer inner product for every fiftieth vector."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, topk.queries_by_id(vectors, every=50), k=5)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over documents, stage by stage."""
     import corpus_pipeline
@@ -92,9 +98,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_bk_tree, op2_compression_bands, op3_pfair_mix, op4_text_cnn, op5_language_fusion, op6_elias_fano_lm, op7_license_rules, op8_zstd_warc, op9_benchmark_decontamination, op10_factor_machine, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_simhash_bk_tree, op2_compression_bands, op3_pfair_mix, op4_text_cnn, op5_language_fusion, op6_elias_fano_lm, op7_license_rules, op8_zstd_warc, op9_benchmark_decontamination, op10_factor_machine, op11_term_at_a_time_topk, pipeline)}
 
-ORACLES = {"op7_license_rules": oracles.licenses_sql(), "op8_zstd_warc": oracles.WARC_SQL, "op9_benchmark_decontamination": oracles.CONTAMINATION_SQL}
+ORACLES = {"op7_license_rules": oracles.licenses_sql(), "op8_zstd_warc": oracles.WARC_SQL, "op9_benchmark_decontamination": oracles.CONTAMINATION_SQL,
+           "op11_term_at_a_time_topk": oracles.TOPK_SQL}
 
 
 def queries() -> dict:
