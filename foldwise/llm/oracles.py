@@ -67,3 +67,15 @@ dots AS (SELECT a.r AS q, b.r AS r, sum(a.x * b.x) AS s FROM c a JOIN c b USING
 ranked AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(coalesce(s, 0) AS BIGINT) AS score, row_number() OVER (PARTITION BY a.r ORDER BY coalesce(s, 0) DESC, b.vec_id NULLS LAST) AS rank
   FROM v a JOIN v b ON a.vec_id % 50 = 0 AND b.vec_id IS DISTINCT FROM a.vec_id LEFT JOIN dots ON dots.q = a.r AND dots.r = b.r)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+LEXICAL_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
+sized AS (SELECT r, doc_id, CAST(len(ws) AS BIGINT) AS n FROM d WHERE len(ws) > 0),
+totals AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM sized),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ws) AS t FROM d) GROUP BY r, t),
+wanted AS (SELECT DISTINCT item_id, t FROM (SELECT item_id, unnest(ws) AS t FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark))),
+held AS (SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, totals WHERE t IN (SELECT t FROM wanted) GROUP BY t, n_docs),
+scores AS (SELECT item_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms)))) AS score
+  FROM wanted JOIN held USING (t) JOIN tf USING (t) JOIN sized USING (r), totals GROUP BY item_id, r),
+ranked AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores JOIN sized USING (r) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 10"""

@@ -55,3 +55,95 @@ def test_a_hot_id_or_vector_fills_no_block(spark):
     assert max(r["count"] for r in dealt) <= 202
     got = topk.top_k(frame, topk.queries_by_id(frame), block_rows=200).collect()
     assert sorted(map(tuple, got), key=str) == brute_top_k(rows, 5, 50)
+
+
+def brute_search(docs, items, k=10):
+    from foldwise.llm.common import alnum_words
+
+    bags = [(d, alnum_words((t or "").encode())) for d, t in docs]
+    bags = [(d, w) for d, w in bags if w]
+    n_docs, total = len(bags), sum(len(w) for _, w in bags)
+    wanted = {}
+    for i, t in items:
+        wanted.setdefault(i, set()).update(alnum_words((t or "").encode()))
+    out = []
+    for i, terms in wanted.items():
+        scored = []
+        for d, words in bags:
+            m = 100 - 90 + (90 * len(words) * n_docs) // total
+            score = 0
+            for t in terms:
+                df = sum(t in w for _, w in bags)
+                tf = words.count(t)
+                if tf:
+                    score += math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df + 1))) * ((1000000000 * tf) // (1000 * tf + 8 * m))
+            if score > 0:
+                scored.append((-score, d is None, d or 0))
+        out += [(i, r, None if none else d, -s) for r, (s, none, d) in enumerate(sorted(scored)[:k], 1)]
+    return sorted(out, key=str)
+
+
+def corpus(seed=3, n=140):
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(400)] + ["the"] * 60 + ["Ümlaut", "日本語", "A1"]
+    docs = [(k, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 90)))) for k in range(n)]
+    docs += [(n + k, docs[k][1]) for k in range(20)] + [(3, docs[3][1]), (None, docs[5][1]), (None, "w1 w1 w1"), (900, None), (901, ""), (902, "--- ,.;"), (903, "the " * 3000), (904, "W1,w2;THE\tümlaut")]
+    items = [(k, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 25)))) for k in range(30)] + [(40, None), (41, ""), (42, "nowhere"), (43, "the the the"), (2, "w7 w8"), (None, "w1 w9")]
+    return docs, items
+
+
+def test_lexical_search_is_exact(spark):
+    from foldwise.llm import lexical
+
+    docs, items = corpus()
+    d = spark.createDataFrame([(*r, "x") for r in docs], "doc_id long, text string, sketch string")
+    i = spark.createDataFrame([(*r, "x") for r in items], "item_id long, text string, doc_id string")
+    want = brute_search(docs, items)
+    for load, limit in ((4, 200_000), (1, 40)):
+        got = lexical.lexical_search(d.repartition(3), i, load=load, slice_terms=limit).collect()
+        assert sorted(map(tuple, got), key=str) == want
+
+
+def test_lexical_search_of_nothing(spark):
+    from foldwise.llm import lexical
+
+    docs, items = corpus(n=30)
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert lexical.lexical_search(d.limit(0), i).collect() == []
+    assert lexical.lexical_search(d, i.limit(0)).collect() == []
+    assert lexical.lexical_search(d.filter("doc_id = 901"), i).collect() == []
+
+
+def test_bounds_are_over_the_scores():
+    """A sketch's bound is never under the exact score, whatever falls together."""
+    from collections import Counter
+
+    import numpy as np
+
+    from foldwise.llm import lexical
+    from foldwise.llm.common import alnum_words
+
+    docs, items = corpus(seed=9, n=60)
+    bags = [alnum_words((t or "").encode()) for _, t in docs]
+    bags = [b for b in bags if b]
+    terms = [sorted(set(alnum_words((t or "").encode()))) for _, t in items]
+    vocabulary = sorted({t for own in terms for t in own})
+    stats = {lexical.DOCUMENTS: len(bags), lexical.WORDS: sum(map(len, bags))} | {k: sum(t in b for b in bags) for k, t in enumerate(vocabulary)}
+    chosen = lexical.Items(list(range(len(items))), terms, vocabulary, stats)
+    hashes = np.array([lexical.term_hash(t) for t in chosen.vocabulary], dtype=np.uint64)
+    some, *_ = chosen.flat()
+    for load in (1, 4):
+        made = []
+        for b in bags:
+            c = Counter(b)
+            made.append(lexical.sketch(np.array([lexical.term_hash(t) for t in c], dtype=np.uint64), np.array(list(c.values())), load))
+        n = np.array([len(b) for b in bags])
+        slack = 0
+        for rows, bounds in chosen.bounds(hashes, n, made):
+            for r, row in zip(rows, bounds):
+                c, m = Counter(bags[r]), lexical.length_factor(int(n[r]), chosen.documents, chosen.words)
+                for item, bound in zip(some, row):
+                    score = sum(int(chosen.weights[t]) * lexical.impact(c[chosen.vocabulary[t]], m) for t in chosen.terms[item] if c[chosen.vocabulary[t]])
+                    assert bound >= score
+                    slack += bound > score
+        assert slack or load == 4
