@@ -2,7 +2,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import compression, decontaminate, fm, language, lexical, licenses, mixing, ngram, oracles, simhash, textcnn, topk, warc
+from foldwise.llm import compression, decontaminate, fm, language, lexical, licenses, mixing, ngram, oracles, prefixtrie, simhash, textcnn, topk, warc
 from foldwise.llm.common import crc_bucket, table
 
 
@@ -97,6 +97,12 @@ def op12_max_sketch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.lexical_search(docs, items, k=10)
 
 
+def op13_double_array_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the prefix trie over the rebuilt conversations."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return prefixtrie.prefix_trie(prefixtrie.rebuilt(prefixtrie.conversations(turns)))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over documents, stage by stage."""
     import corpus_pipeline
@@ -104,10 +110,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_bk_tree, op2_compression_bands, op3_pfair_mix, op4_text_cnn, op5_language_fusion, op6_elias_fano_lm, op7_license_rules, op8_zstd_warc, op9_benchmark_decontamination, op10_factor_machine, op11_term_at_a_time_topk, op12_max_sketch_search, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_simhash_bk_tree, op2_compression_bands, op3_pfair_mix, op4_text_cnn, op5_language_fusion, op6_elias_fano_lm, op7_license_rules, op8_zstd_warc, op9_benchmark_decontamination, op10_factor_machine, op11_term_at_a_time_topk, op12_max_sketch_search, op13_double_array_trie, pipeline)}
 
 ORACLES = {"op7_license_rules": oracles.licenses_sql(), "op8_zstd_warc": oracles.WARC_SQL, "op9_benchmark_decontamination": oracles.CONTAMINATION_SQL,
-           "op11_term_at_a_time_topk": oracles.TOPK_SQL, "op12_max_sketch_search": oracles.LEXICAL_SQL}
+           "op11_term_at_a_time_topk": oracles.TOPK_SQL, "op12_max_sketch_search": oracles.LEXICAL_SQL, "op13_double_array_trie": oracles.TRIE_SQL}
 
 
 def queries() -> dict:

@@ -147,3 +147,115 @@ def test_bounds_are_over_the_scores():
                     assert bound >= score
                     slack += bound > score
         assert slack or load == 4
+
+
+def brute_trie(rows):
+    import hashlib
+    import zlib
+    from collections import defaultdict
+
+    from foldwise.llm.prefixtrie import DIGEST
+
+    def digest(t):
+        role = t[0].encode()
+        return hashlib.sha256(str(len(role)).encode() + b":" + role + t[1].encode()).hexdigest()[:2 * DIGEST]
+
+    convs = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            convs[c].append((turn is not None, turn or 0, digest((role or "", text or "")), role or "", text or ""))
+    convs = {c: [t[3:] for t in sorted(v)] for c, v in convs.items()}
+    built = {}
+    for c, own in convs.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        built[c] = convs.get(c - int(math.fmod(c, 5)), [])[:h] + own[h:]
+    members = defaultdict(list)
+    for c, turns in built.items():
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append(c)
+    children = defaultdict(list)
+    for node in members:
+        if node:
+            children[node[:-1]].append(node)
+    leaves, saved = {}, {}
+    for node in sorted(members, key=len, reverse=True):
+        leaves[node] = sum(leaves[x] for x in children[node]) or 1
+        saved[node] = sum(saved[x] for x in children[node]) + ((len(members[node]) - 1) * len(node[-1][1].encode()) if node else 0)
+    out = []
+    for node, own in members.items():
+        ends = ",".join(map(str, sorted(c for c in own if len(built[c]) == len(node))))
+        out.append((min(own), len(node), min(members[node[:-1]]) if node else None, len(own), len(children[node]), leaves[node], saved[node], hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def talks(seed=2, n=160):
+    rng = random.Random(seed)
+    texts = ["hello", "hi", "", None, "wie geht's", "日本語 text", "a longer answer " * 5]
+    rows = []
+    for c in range(n):
+        if c % 7 == 3:
+            continue  # some groups have no first conversation
+        for t in range(rng.randrange(1, 9)):
+            rows.append((c, t, rng.choice(["user", "assistant", None]), rng.choice(texts)))
+    hot = [("system", "be kind"), ("user", "hello"), ("assistant", "hi")]
+    rows += [(c, t, *x) for c in range(1000, 1300) for t, x in enumerate(hot)]  # copies
+    rows += [(c, t, *x) for c in range(2000, 2100) for t, x in enumerate([*hot, ("user", str(c % 9)), ("assistant", str(c))])]
+    rows += [(5000, t, "user", str(t % 3)) for t in range(400)]  # one long conversation
+    rows += [(None, 0, "user", "x"), (6001, None, "user", "late"), (6001, None, "user", "early"), (6001, 1, "a", "b"), (6001, 1, "a", "b"), (6001, -2, "z", "z"), (-7, 0, "user", "minus"), (7003, 0, "user", "only")]
+    return rows
+
+
+def test_prefix_trie_is_exact(spark):
+    from foldwise.llm import prefixtrie
+
+    rows = talks()
+    frame = spark.createDataFrame([(*r, 1, "x") for r in rows], "conv_id long, turn long, role string, text string, depth int, path string")
+    want = brute_trie(rows)
+    convs = prefixtrie.rebuilt(prefixtrie.conversations(frame.repartition(3)))
+    for limit, bits in ((8192, 12), (60, 3)):
+        got = prefixtrie.prefix_trie(convs, shard_turns=limit, piece_bits=bits).collect()
+        assert sorted(map(tuple, got), key=str) == want
+
+
+def test_prefix_trie_of_nothing(spark):
+    from foldwise.llm import prefixtrie
+
+    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert prefixtrie.prefix_trie(prefixtrie.rebuilt(prefixtrie.conversations(empty))).collect() == []
+    for rows in ([(None, 0, "user", "x")], [(4, 0, None, None)], [(0, 0, "a", "b"), (0, 0, "a", "b")]):
+        frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+        got = prefixtrie.prefix_trie(prefixtrie.rebuilt(prefixtrie.conversations(frame))).collect()
+        assert sorted(map(tuple, got), key=str) == brute_trie(rows)
+
+
+def test_a_crowded_prefix_is_split(spark):
+    """Paths that share their first turns are dealt to several shards, and no shard is over its bound."""
+    from foldwise.llm import prefixtrie
+
+    rows = [(c, t, "user", x) for c in range(500) for t, x in enumerate(["same", "same", "same", str(c % 50), str(c)])]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    convs = prefixtrie.conversations(frame)
+    dealt, _ = prefixtrie.deal(prefixtrie.distinct_paths(convs), 100)
+    shards = dealt.groupBy("split", "bucket").agg(F.sum(F.size("sizes")).alias("t")).collect()
+    assert len(shards) > 10 and max(s.t for s in shards) <= 200 and {s.split for s in shards} == {4}
+
+
+def test_double_array():
+    from foldwise.llm.prefixtrie import DoubleArray, dense_ids
+
+    rng = random.Random(1)
+    paths = sorted({b"".join(bytes([rng.randrange(6)]) * 16 for _ in range(rng.randrange(7))) for _ in range(500)})
+    ids = dense_ids(paths)
+    trie = DoubleArray(ids)
+    import numpy as np
+
+    seen = set()
+    for s in ids:
+        state = np.zeros(1, dtype=np.int64)
+        for c in s:
+            state = trie.step(state, np.array([c]))
+            assert state[0] > 0
+        seen.add(int(state[0]))
+    assert len(seen) == len(paths)
+    assert trie.step(np.zeros(1, dtype=np.int64), np.array([99]))[0] == -1
+    assert len(trie.check) < 2 * len({p[:k] for p in paths for k in range(0, len(p) + 1, 16)}) + 20
