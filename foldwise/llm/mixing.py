@@ -74,73 +74,6 @@ def _earliest_deadline_first(blocks: dict[str, int], weights: dict[str, Fraction
             heapq.heappush(waiting, (then, i, k + 1))
 
 
-def integer_weights(weights: dict[str, float], resolution: int) -> dict[str, int]:
-    """Shares in whole parts that add up to ``resolution``, at least one each; the largest remainders get the rest."""
-    if not weights:
-        return {}
-    total, spare = sum(weights.values()), max(resolution, len(weights)) - len(weights)
-    exact = {k: (Fraction(w) / Fraction(total) if total else Fraction(1, len(weights))) * spare for k, w in weights.items()}
-    parts = {k: 1 + int(x) for k, x in exact.items()}
-    left = max(resolution, len(weights)) - sum(parts.values())
-    for k in sorted(exact, key=lambda k: (int(exact[k]) - exact[k], k))[:left]:
-        parts[k] += 1
-    return parts
-
-
-def period(parts: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """(source, k, release, deadline, slot) for one period: earliest deadline first among released blocks; of
-    equal deadlines, first the block whose window overlaps its successor's, then the heavier source, then the name."""
-    total = sum(parts.values())
-    window = lambda s, k: ((k - 1) * total // parts[s], -(-k * total // parts[s]))
-    waiting = [(0, s, 1) for s in sorted(parts)]
-    heapq.heapify(waiting)
-    ready: list[tuple] = []
-    out = []
-    for slot in range(total):
-        while waiting and waiting[0][0] <= slot:
-            release, s, k = heapq.heappop(waiting)
-            deadline = window(s, k)[1]
-            heapq.heappush(ready, (deadline, k * total % parts[s] == 0, -parts[s], s, k, release))
-        deadline, _, _, s, k, release = heapq.heappop(ready)
-        out.append((s, k, release, deadline, slot))
-        if k < parts[s]:
-            heapq.heappush(waiting, (window(s, k + 1)[0], s, k + 1))
-    return out
-
-
-def phases(blocks: dict[str, int], weights: dict[str, float], resolution: int) -> list[tuple]:
-    """(source, first block, blocks, first slot, k, parts, period, slot in the period, release, deadline) rows:
-    which blocks of a source a phase takes, and where the period puts its k-th.  A phase ends when a source does."""
-    left, rows, slot, done = {s: n for s, n in blocks.items() if n > 0}, [], 0, dict.fromkeys(blocks, 0)
-    while left:
-        parts = integer_weights({s: weights[s] for s in left}, resolution)
-        table, total = period(parts), sum(parts.values())
-        place = {(s, k): at for s, k, _, _, at in table}
-        # the slot at which each source would run out; the first ends the phase
-        end = min((n - 1) // parts[s] * total + place[s, (n - 1) % parts[s] + 1] + 1 for s, n in left.items())
-        whole, rest = divmod(end, total)
-        taken = {s: whole * parts[s] for s in left}
-        for s, _, _, _, at in table:
-            taken[s] += at < rest
-        for s, k, release, deadline, at in table:
-            if taken[s] >= k:
-                rows.append((s, done[s], taken[s], slot, k, parts[s], total, at, release, deadline))
-        for s, n in taken.items():
-            done[s] += n
-            left[s] -= n
-        left = {s: n for s, n in left.items() if n > 0}
-        slot += end
-    return rows
-
-
-def rounded_schedule(blocks: dict[str, int], weights: dict[str, float], resolution: int) -> Iterator[tuple[str, int, int, int, int]]:
-    """The rows of ``schedule`` for weights in whole parts of ``resolution``, phase by phase."""
-    for s, done, taken, start, k, parts, total, at, release, deadline in phases(blocks, weights, resolution):
-        for turn, block in enumerate(range(k, taken + 1, parts)):
-            base = start + turn * total
-            yield s, done + block, base + release, base + deadline, base + at
-
-
 PLAN = pa.schema([("mix_source", pa.string()), ("block", pa.int64()), ("release", pa.int64()), ("deadline", pa.int64()), ("slot", pa.int64())])
 
 
@@ -180,16 +113,15 @@ def numbered(docs: DataFrame, counts: DataFrame, group: str, order_id: str) -> D
 
 
 def pfair_mix(docs: DataFrame, *, source: str = "source", doc_id: str = "doc_id", weights: dict[str, float] | None = None, power: float = 0.5,
-              block_docs: int = BLOCK_DOCS, resolution: int | None = None, max_sources: int | None = None, out: str = "mix") -> DataFrame:
+              block_docs: int = BLOCK_DOCS, out: str = "mix") -> DataFrame:
     """``docs`` with a struct column ``out``: source (the group mixed), block (from 1, within the source), release, deadline
     (in slots of the whole mix), slot, position (slot * block_docs + place in the block; unique and rising through the mix).
 
-    ``weights`` gives targets by source; without it, document counts to the ``power``.  Targets are met exactly;
-    a ``resolution`` rounds them to so many parts, of at least one a source, in a schedule that repeats.  Every source is
+    ``weights`` gives targets by source; without it, document counts to the ``power``.  Targets are met exactly.  Every source is
     mixed by its name.  Only sources that ``weights`` leaves out are mixed as one group REST, which takes the average of the
-    other weights where none is given, as are those beyond the ``max_sources`` largest where a caller sets it; all rows
-    stay.  Null sources count as the source ''.  Rows of one id lie next to each other in an order left open; null ids hash
-    alike; an empty table gives an empty one; an input column named ``out`` is replaced.
+    other weights where none is given; all rows stay.  Null sources count as the source ''.  Rows of one id lie next to each
+    other in an order left open; null ids hash alike; an empty table gives an empty one; an input column named ``out`` is
+    replaced, all others pass through unchanged, whatever their names.
     """
     spark = docs.sparkSession
     columns = [c for c in docs.columns if c.lower() != out.lower()]
@@ -199,8 +131,6 @@ def pfair_mix(docs: DataFrame, *, source: str = "source", doc_id: str = "doc_id"
     total = sum(counts.values())
     if weights is not None:
         counts = {s: n for s, n in counts.items() if s in weights}
-    if max_sources is not None:
-        counts = dict(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:max_sources])
     rest = total - sum(counts.values())
     targets = {s: weights[s] for s in counts} if weights is not None else default_weights(counts, power)
     known = [s for s in counts if s != REST]
@@ -209,9 +139,10 @@ def pfair_mix(docs: DataFrame, *, source: str = "source", doc_id: str = "doc_id"
         targets[REST] = weights.get(REST, average) if weights is not None else float(rest) ** power
         counts[REST] = counts.get(REST, 0) + rest
     blocks = {s: -(-n // block_docs) for s, n in counts.items()}
-    plan = plan_table(spark, schedule(blocks, targets) if resolution is None else rounded_schedule(blocks, targets, resolution))
+    plan = plan_table(spark, schedule(blocks, targets))
     plan, _ = size_checked_broadcast(plan.withColumnRenamed("mix_source", "__source").withColumn("__at", F.col("block") - 1).select("__source", "__at", "release", "deadline", "slot"))
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns], group.alias("mix_source"), F.col(f"`{doc_id}`").alias("__id"))
+    # the input columns travel in one struct, so that no name of theirs meets a name used here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), group.alias("mix_source"), F.col(f"`{doc_id}`").alias("__id"))
     if rest:
         named, _ = size_checked_broadcast(spark.createDataFrame(pa.table({"__known": pa.array(known, pa.string())})))
         rows = rows.join(named, F.col("mix_source") == F.col("__known"), "left").withColumn("mix_source", F.coalesce("__known", F.lit(REST))).drop("__known")
@@ -220,4 +151,4 @@ def pfair_mix(docs: DataFrame, *, source: str = "source", doc_id: str = "doc_id"
     wide = rows.join(plan, (rows["mix_source"] == plan["__source"]) & (rows["__block"] == plan["__at"]))
     made = F.struct(rows["mix_source"].alias("source"), (F.col("__block") + 1).alias("block"), plan["release"], plan["deadline"],
                     plan["slot"], (plan["slot"] * block_docs + F.col("__in")).alias("position"))
-    return wide.select(*[rows[f"`{c}`"] for c in columns], made.alias(out))
+    return wide.select(*[F.col("__row")[c].alias(c) for c in columns], made.alias(out))

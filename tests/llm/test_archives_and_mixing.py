@@ -1,6 +1,7 @@
 """WARC round trips, the Pfair mix and the pipeline."""
 import base64
 import hashlib
+import math
 import random
 import struct
 from collections import defaultdict
@@ -78,32 +79,22 @@ def test_warc_of_nothing(spark):
     assert warc.read_archives(spark, directory, manifest).count() == 0
 
 
-@pytest.mark.parametrize("parts", [{"a": 7, "b": 2, "c": 1}, {"a": 333, "b": 333, "c": 334}, {f"s{k}": k + 1 for k in range(12)}, {"only": 5}])
-def test_pfair_windows_and_lag(parts):
-    total, table, done = sum(parts.values()), mixing.period(parts), dict.fromkeys(parts, 0)
-    assert [s for *_, s in table] == list(range(total))
-    for s, k, release, deadline, slot in table:
-        done[s] += 1
-        assert k == done[s] and release <= slot < deadline
-        assert all(abs(done[x] - Fraction((slot + 1) * w, total)) < 1 for x, w in parts.items())
-    assert done == parts
-
-
-def slow_schedule(blocks, weights, resolution):
-    """Slot of every block by simulating the phases one slot at a time."""
-    left, out, slot, done = dict(blocks), {}, 0, dict.fromkeys(blocks, 0)
-    while any(left.values()):
-        parts = mixing.integer_weights({s: weights[s] for s, n in left.items() if n}, resolution)
-        turn, ended = mixing.period(parts), False
-        while not ended:
-            for s, *_ in turn:
-                done[s] += 1
-                left[s] -= 1
-                out[s, done[s]] = slot
-                slot += 1
-                if not left[s]:
-                    ended = True
-                    break
+def slow_schedule(blocks, weights):
+    """Slot of every block: windows from the fluid's definition, then earliest deadline first, one slot at a time."""
+    out, start = {}, 0
+    for part in ({s: Fraction(weights[s]) for s, n in blocks.items() if n and weights[s] > 0}, {s: Fraction(1) for s, n in blocks.items() if n and not weights[s] > 0}):
+        flow = lambda v: sum(min(w * v, blocks[s]) for s, w in part.items())  # noqa: B023, E731
+        order = sorted(part, key=lambda s: (blocks[s] / part[s], s))  # noqa: B023
+        done = dict.fromkeys(part, 0)
+        for slot in range(sum(blocks[s] for s in part)):
+            ready = []
+            for at, s in enumerate(order):
+                if done[s] < blocks[s] and math.floor(flow(done[s] / part[s])) <= slot:
+                    ready.append((math.ceil(flow((done[s] + 1) / part[s])), at, s))
+            s = min(ready)[2]
+            done[s] += 1
+            out[s, done[s]] = start + slot
+        start += sum(done.values())
     return out
 
 
@@ -112,7 +103,7 @@ def test_mix_against_a_simulation(spark, weights, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET_DOCS", 40)
     rng = random.Random(2)
     rows = [(k, rng.choice(["hot"] * 6 + ["s1", "s2", "s3", None]), "old") for k in range(700)] + [(3, "hot", "x"), (3, "hot", "x"), (None, "s1", None), (None, None, None)]
-    got = mixing.pfair_mix(spark.createDataFrame(rows, "doc_id long, source string, mix string"), weights=weights, block_docs=4, resolution=20).collect()
+    got = mixing.pfair_mix(spark.createDataFrame(rows, "doc_id long, source string, mix string"), weights=weights, block_docs=4).collect()
     assert sorted(map(str, ((r.doc_id, r.source) for r in got))) == sorted(map(str, ((a, b) for a, b, _ in rows)))
     assert len({r.mix.position for r in got}) == len(rows)
     count = defaultdict(int)
@@ -121,7 +112,7 @@ def test_mix_against_a_simulation(spark, weights, monkeypatch):
         assert r.mix.source == ((r.source or "") if weights is None or r.source in weights else mixing.REST)
         assert r.mix.release <= r.mix.slot < r.mix.deadline
     targets = mixing.default_weights(count) if weights is None else {**{s: weights[s] for s in count if s != mixing.REST}, mixing.REST: 5 / 3}
-    slots = slow_schedule({s: -(-n // 4) for s, n in count.items()}, targets, 20)
+    slots = slow_schedule({s: -(-n // 4) for s, n in count.items()}, targets)
     assert {(r.mix.source, r.mix.block): r.mix.slot for r in got} == slots
 
 
@@ -159,13 +150,26 @@ def test_schedule_serves_every_block_in_its_window():
         assert done == blocks
 
 
-def test_many_sources_are_mixed_as_a_rest(spark):
+def test_sources_without_a_weight_are_mixed_as_a_rest(spark):
     rows = [(k, f"s{k % 50}") for k in range(300)]
-    got = mixing.pfair_mix(spark.createDataFrame(rows, "doc_id long, source string"), max_sources=5, block_docs=2).collect()
+    got = mixing.pfair_mix(spark.createDataFrame(rows, "doc_id long, source string"), weights={f"s{k}": 1.0 for k in range(5)}, block_docs=2).collect()
     assert len(got) == 300 and len({r.mix.source for r in got}) == 6 and sum(r.mix.source == mixing.REST for r in got) == 270
     assert mixing.pfair_mix(spark.createDataFrame([], "doc_id long, source string")).count() == 0
 
 
+def test_mix_leaves_clashing_columns_alone(spark):
+    """Columns named like the mix's own come back as they were; the stage replaces only those that it makes."""
+    names = ["nr", "mix_source", "__source", "__at", "__id", "__row", "__block", "__nr", "__before", "release", "slot", "n", "__h"]
+    rows = [(k, f"s{k % 3}", *[1000 + k] * len(names)) for k in range(90)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, " + ", ".join(f"{n} long" for n in names))
+    for weights in (None, {"s0": 1.0}):
+        got = mixing.pfair_mix(frame, weights=weights).collect()
+        assert sorted(tuple(r)[:-1] for r in got) == rows and len({r.mix.position for r in got}) == 90
+    staged = corpus_pipeline.mix_stage(spark, frame.withColumn("mix_slot", F.lit("old")).withColumn("MIX_block", F.lit("old")).withColumn("__mix", F.lit("mine")), SF01)
+    assert sorted(tuple(r[c] for c in frame.columns) for r in staged.collect()) == rows
+    assert dict(staged.dtypes)["mix_slot"] == dict(staged.dtypes)["mix_block"] == "bigint" and "__mix" in staged.columns
+
+
 @pytest.mark.parametrize("given", [False, True])
 def test_many_sources_keep_their_own_weights(spark, given):
     """Past 500 sources, each is mixed by name and stays less than one block from its target."""
