@@ -7,18 +7,26 @@ from foldwise.llm.common import scratch_folder, table
 from foldwise.session import prepare_session
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, or the first ``name`` with a number that no column has."""
+    taken = {c.lower() for c in docs.columns}
+    return next(n for n in (name, *(f"{name}{k}" for k in range(len(taken) + 1))) if n not in taken)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts as good; it learns from those of ``docs`` that have a label."""
     prepare_session(spark)
     model = fm.train_quality(docs, table(spark, sf_dir, "labels"))
-    return fm.quality_scores(docs, model, out="__quality").filter("__quality.predicted = 1").drop("__quality")
+    out = free_name(docs, "__quality")
+    return fm.quality_scores(docs, model, out=out).filter(F.col(out)["predicted"] == 1).drop(out)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known with enough evidence; a document's source stands for its host."""
     prepare_session(spark)
     model = language.train_text_model(docs)
-    return language.language_fusion(docs, model, text="text", host="source", out="__language").filter("__language.kept").drop("__language")
+    out = free_name(docs, "__language")
+    return language.language_fusion(docs, model, text="text", host="source", out=out).filter(F.col(out)["kept"]).drop(out)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,15 +38,19 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by benchmark items."""
     prepare_session(spark)
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), out="__found")
-    return found.filter("not __found.contaminated").drop("__found")
+    out = free_name(docs, "__found")
+    return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), out=out).filter(~F.col(out)["contaminated"]).drop(out)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its block and place in the mix of sources (targets: square roots of their document counts)."""
+    """Every document with its block and place in the mix of sources (targets: square roots of their document counts);
+    columns of the names that the stage adds are replaced."""
     prepare_session(spark)
-    return mixing.pfair_mix(docs, out="__mix").select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__mix.block").alias("mix_block"),
-                                                      F.col("__mix.release").alias("mix_release"), F.col("__mix.deadline").alias("mix_deadline"), F.col("__mix.slot").alias("mix_slot"), F.col("__mix.position").alias("mix_position"))
+    made = [f"mix_{n}" for n in ("block", "release", "deadline", "slot", "position")]
+    columns = [c for c in docs.columns if c.lower() not in made]
+    out = free_name(docs, "__mix")
+    mixed = mixing.pfair_mix(docs.select(*[F.col(f"`{c}`") for c in columns]), out=out)
+    return mixed.select(*[F.col(f"`{c}`") for c in columns], *[F.col(out)[n.removeprefix("mix_")].alias(n) for n in made])
 
 
 STAGES = [
