@@ -42,19 +42,43 @@ def keyword_regex(keywords: list[str]) -> str:
     return " (?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_letter.items()) + ") "
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _blocks(items: Column) -> Column:
+    """An array in consecutive blocks of about the square root of its length.  A walk that adds to an array copies it at
+    each step; walked block by block, n items take n * sqrt(n) copies at most."""
+
+    def cut(given: Column) -> Column:
+        size = F.size(given)
+        return _let(F.greatest(F.lit(1), F.ceil(F.sqrt(size)).cast("int")), lambda width: F.transform(
+            F.sequence(F.lit(0), F.ceil(size / width).cast("int")), lambda b: F.slice(given, b * width + 1, width)))
+
+    return _let(items, cut)
+
+
 def places(wrapped: Column, regex: Column, priority: Column, label: Column) -> Column:
     """Intervals [first, stop) of the matches, in words: matches and the gaps between them are walked side by side."""
     gaps = F.split(wrapped, regex, -1)
     pairs = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(wrapped, regex, F.lit(0)).alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(PLACES).alias("out"))
+    counts = F.transform(pairs, lambda x: F.struct(count_words(x["gap"]).alias("gap"), F.coalesce(count_words(x["hit"]), F.lit(0)).alias("hit")))
+    spans = "array<struct<first:int,stop:int>>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("out"))
 
     def step(acc, pair):
-        first = acc["at"] + count_words(pair["gap"])
-        stop = first + count_words(pair["hit"])
-        made = F.struct(first.alias("first"), stop.alias("stop"), priority.alias("priority"), label.alias("label"))
-        return F.when(pair["hit"].isNull(), acc).otherwise(F.struct(stop.alias("at"), F.concat(acc["out"], F.array(made)).alias("out")))
+        first = acc["at"] + pair["gap"]
+        stop = first + pair["hit"]
+        made = F.when(pair["hit"] > 0, F.array(F.struct(first.alias("first"), stop.alias("stop")))).otherwise(F.array().cast(spans))
+        return F.struct(stop.alias("at"), F.concat(acc["out"], made).alias("out"))
 
-    return F.aggregate(pairs, start, step)["out"]
+    # each block from word 0 on, then every block moved by the words before it
+    walked = F.transform(_blocks(counts), lambda block: F.aggregate(block, start, step))
+    moved = F.aggregate(walked, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<base:int,out:{spans}>>").alias("out")), lambda acc, b: F.struct(
+        (acc["at"] + b["at"]).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("base"), b["out"].alias("out")))).alias("out")))["out"]
+    return F.flatten(F.transform(moved, lambda b: F.transform(b["out"], lambda d: F.struct(
+        (d["first"] + b["base"]).alias("first"), (d["stop"] + b["base"]).alias("stop"), priority.alias("priority"), label.alias("label")))))
 
 
 def unsuppressed(found: Column) -> Column:
@@ -63,17 +87,23 @@ def unsuppressed(found: Column) -> Column:
     furthest stop seen so far for each priority or above."""
     order = F.array_sort(F.transform(found, lambda d: F.struct(d["first"].alias("first"), (-d["stop"]).alias("back"), (-d["priority"]).alias("less"), d["label"].alias("label"))))
     none = F.lit(-1)
-    start = F.struct(none.alias("m1"), none.alias("m2"), none.alias("m3"), F.array().cast(PLACES).alias("out"))
+    far = lambda acc, name, least, stop, priority: F.when(priority >= least, F.greatest(acc[name], stop)).otherwise(acc[name])
+    seen = lambda acc, d: F.struct(*[far(acc, f"m{k}", k, -d["back"], -d["less"]).alias(f"m{k}") for k in (1, 2, 3)])
 
     def step(acc, d):
         stop, priority = -d["back"], -d["less"]
-        seen = F.when(priority == 3, acc["m3"]).when(priority == 2, acc["m2"]).otherwise(acc["m1"])
+        before = F.when(priority == 3, acc["m3"]).when(priority == 2, acc["m2"]).otherwise(acc["m1"])
         made = F.struct(d["first"].alias("first"), stop.alias("stop"), priority.alias("priority"), d["label"].alias("label"))
-        far = lambda name, least: F.when(priority >= least, F.greatest(acc[name], stop)).otherwise(acc[name])
-        out = F.when(seen >= stop, acc["out"]).otherwise(F.concat(acc["out"], F.array(made)))
-        return F.struct(far("m1", 1).alias("m1"), far("m2", 2).alias("m2"), far("m3", 3).alias("m3"), out.alias("out"))
-
-    return F.aggregate(order, start, step)["out"]
+        out = F.when(before >= stop, acc["out"]).otherwise(F.concat(acc["out"], F.array(made)))
+        return F.struct(*[far(acc, f"m{k}", k, stop, priority).alias(f"m{k}") for k in (1, 2, 3)], out.alias("out"))
+
+    # what each block has seen at its start, then every block by itself
+    state = F.struct(none.alias("m1"), none.alias("m2"), none.alias("m3"))
+    kind = "struct<m1:int,m2:int,m3:int>"
+    block = f"struct<seen:{kind},block:array<struct<first:int,back:int,less:int,label:string>>>"
+    begun = F.aggregate(_blocks(order), F.struct(state.alias("seen"), F.array().cast(f"array<{block}>").alias("out")), lambda acc, b: F.struct(
+        F.aggregate(b, acc["seen"], seen).alias("seen"), F.concat(acc["out"], F.array(F.struct(acc["seen"].alias("seen"), b.alias("block")))).alias("out")))["out"]
+    return F.flatten(F.transform(begun, lambda x: F.aggregate(x["block"], F.struct(*[x["seen"][f"m{k}"].alias(f"m{k}") for k in (1, 2, 3)], F.array().cast(PLACES).alias("out")), step)["out"]))
 
 
 def license_scan(docs: DataFrame, *, text: str = "text", out: str = "license") -> DataFrame:
