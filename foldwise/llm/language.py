@@ -34,21 +34,67 @@ LEVELS = ("suffix", "domain", "host")
 #: Second-level labels under which a country's domains are registered.
 SECOND_LEVEL = ("co", "com", "org", "net", "ac", "gov", "edu")
 
-_DROPPED = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w{1,10};")
-_DECLARED = (re.compile(rb"(?is)<html\b[^>]*?\s(?:xml:)?lang\s*=\s*[\"']?\s*([a-z]{2,3})(?![a-z])"),
-             re.compile(rb"(?is)<meta\b[^>]*?http-equiv\s*=\s*[\"']?content-language[\"']?[^>]*?content\s*=\s*[\"']?\s*([a-z]{2,3})(?![a-z])"),
-             re.compile(rb"(?is)<meta\b[^>]*?property\s*=\s*[\"']?og:locale[\"']?[^>]*?content\s*=\s*[\"']?\s*([a-z]{2,3})(?![a-z])"))
+_RAW = re.compile(rb"(?i)(script|style)\b")
+_RAW_END = {n: re.compile(rb"(?i)</%s\s*+>" % n) for n in (b"script", b"style")}
+_ENTITY = re.compile(rb"&#?\w{1,10};")
+_CODE = rb"\s*+=\s*+(?:[\"']\s*+)?([a-z]{2,3})(?![a-z])"
+_OPENED = {n: re.compile(rb"(?i)<%s\b" % n) for n in (b"html", b"meta")}
+#: Tags and what stands in them one after the other; the last has the language.
+_DECLARED = ((b"html", re.compile(rb"(?i)\s(?:xml:)?lang" + _CODE)),
+             (b"meta", re.compile(rb"(?i)http-equiv\s*+=\s*+[\"']?content-language[\"']?"), re.compile(rb"(?i)content" + _CODE)),
+             (b"meta", re.compile(rb"(?i)property\s*+=\s*+[\"']?og:locale[\"']?"), re.compile(rb"(?i)content" + _CODE)))
 
 EVIDENCE = T.StructType([T.StructField("loglik", T.ArrayType(T.DoubleType())), T.StructField("n_words", T.LongType()), T.StructField("declared", T.StringType())])
 
 
 def visible_text(markup: bytes) -> bytes:
-    return _DROPPED.sub(b" ", markup)
+    """The text outside tags, comments, scripts, styles and entities.  Each byte is passed a bounded number of times: what
+    closes nothing from one place on is not looked for again."""
+    out, at, ends = [], 0, {b"-->", *_RAW_END}
+    while (open_at := markup.find(b"<", at)) >= 0:
+        close = markup.find(b">", open_at)
+        if close < 0:
+            break
+        end = close + 1
+        if markup.startswith(b"<!--", open_at):
+            if b"-->" in ends:
+                found = markup.find(b"-->", open_at + 4)
+                end = found + 3 if found >= 0 else end
+                if found < 0:
+                    ends.discard(b"-->")
+        elif (m := _RAW.match(markup, open_at + 1)) and (name := m[1].lower()) in ends:
+            found = _RAW_END[name].search(markup, m.end())
+            end = found.end() if found else end
+            if not found:
+                ends.discard(name)
+        out += [markup[at:open_at], b" "]
+        at = end
+    out.append(markup[at:])
+    return b"".join(_ENTITY.sub(b" ", x) for x in out)
+
+
+def _tags(markup: bytes, name: bytes):
+    """What stands in each tag of this name, up to its end or the end of the text."""
+    at = 0
+    while m := _OPENED[name].search(markup, at):
+        at = markup.find(b">", m.end())
+        at = len(markup) if at < 0 else at
+        yield markup[m.end():at]
 
 
 def declared_language(markup: bytes) -> str | None:
     """Primary subtag declared by <html lang>, a content-language header or og:locale, in this order."""
-    return next((m[1].decode().lower() for p in _DECLARED if (m := p.search(markup))), None)
+    for name, *patterns in _DECLARED:
+        for inside in _tags(markup, name):
+            at, m = 0, None
+            for pattern in patterns:
+                m = pattern.search(inside, at)
+                if not m:
+                    break
+                at = m.end()
+            if m:
+                return m[1].decode().lower()
+    return None
 
 
 def word_buckets(word: bytes) -> tuple[int, ...]:

@@ -1,6 +1,7 @@
 """Learnt operators: held-out quality on the small tables, exact parts against plain re-computations."""
 import math
 import random
+import time
 import re
 import zlib
 from collections import Counter
@@ -224,3 +225,20 @@ def test_language_of_nothing(spark, text_model):
     assert blank.languages == ["und"]
     rows = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert language.language_fusion(rows, blank).first().language.language == "und"
+
+
+@pytest.mark.parametrize("unit", [b"<script x ", b"<!-- x ", b"<meta http-equiv ", b"<meta http-equiv=content-language ", b"<html lang=   ", b"<style>", b"</script <script>", b"<p &amp"])
+def test_hostile_markup_takes_linear_time(unit):
+    """10 MB that close nothing are read in seconds."""
+    page = unit * (10_000_000 // len(unit))
+    t = time.time()
+    language.visible_text(page)
+    language.declared_language(page)
+    assert time.time() - t < 20
+
+
+def test_visible_text_and_declared_language():
+    page = b"<HTML a lang='DE-at'><!-- <meta http-equiv=content-language content=fr> -->a<script>if (1 < 2) x</script >b<style>p {}</style>&nbsp;c<b>d</b> 1 < 2"
+    assert language.visible_text(page).split() == [b"a", b"b", b"c", b"d", b"1", b"<", b"2"] and language.declared_language(page) == "de"
+    assert language.visible_text(b"x<script>y<b>z").split() == [b"x", b"y", b"z"] and language.visible_text(b"a<!--b>c").split() == [b"a", b"c"]
+    assert language.declared_language(b"<meta content=it property=og:locale><meta property='og:locale' content='pt_BR'>") == "pt" and language.declared_language(b"<html lang=engl>") is None
