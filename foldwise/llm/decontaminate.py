@@ -6,13 +6,16 @@ runs over words, not bytes; hits come back as word positions and, for texts with
 """
 import re
 from itertools import chain
+from typing import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldwise.llm.common import alnum_words, per_text
+from foldwise.session import materialize
 
 #: Words of one automaton's windows.  Items beyond it are taken in further blocks, each scanned in turn.
 BLOCK_WORDS = 4_000_000
@@ -115,18 +118,37 @@ def scan_texts(blocks: list[dict]):
     return make
 
 
-def item_slices(items: DataFrame, item_id: str, item_text: str, max_bytes: int) -> list[list[tuple[str, bytes]]]:
-    """The items in as few hash slices (a power of two) as keep each within ``max_bytes``; null ids and texts are no items."""
+def _pieces(width: int, piece_words: int):
+    """Items' words, in pieces of at most ``piece_words`` that share ``width`` - 1 words, so that every window is in one."""
+    schema = pa.schema([("k", pa.string()), ("part", pa.int64()), ("t", pa.binary())])
+
+    def run(batches):
+        for rows in batches:
+            for key, text in zip(rows.column(0).to_pylist(), rows.column(1)):
+                words = alnum_words(text.as_py())
+                step = max(1, piece_words - width + 1)
+                for part, at in enumerate(range(0, max(1, len(words) - width + 1), step)):
+                    yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([part]), pa.array([b" ".join(words[at:at + piece_words])], pa.binary())], schema=schema)
+
+    return run
+
+
+def item_slices(items: DataFrame, item_id: str, item_text: str, max_bytes: int, width: int = WINDOW) -> Iterator[list[tuple[str, bytes]]]:
+    """The items, an item's pieces among several slices if it is long, in as few hash slices (a power of two) as keep each
+    within ``max_bytes``; one slice at a time is on the driver.  Null ids and texts are no items."""
     kept = items.select(F.col(item_id).cast("string").alias("k"), F.col(item_text).cast("binary").alias("t")).filter("k is not null and t is not null")
-    slices = 1
+    # a word takes two bytes at least, so a piece of so many words is within a sixteenth of a slice unless its words are very long
+    kept = materialize(kept.mapInArrow(_pieces(width, max(2 * width, max_bytes // 128)), "k string, part long, t binary"))
+    slices, pieces = 1, kept.count()
     while True:
-        own = F.pmod(F.xxhash64("k"), F.lit(slices))
+        own = F.pmod(F.xxhash64("k", "part"), F.lit(slices))
         largest = kept.groupBy(own.alias("s")).agg(F.sum(F.octet_length("t") + F.length("k") + 64).alias("n")).agg(F.max("n")).first()[0] or 0
-        if largest <= max_bytes:
-            return [[(r.k, bytes(r.t)) for r in kept.filter(own == i).collect()] for i in range(slices)]
-        if slices >= 1 << 16:
-            raise ValueError("one benchmark item is larger than max_item_bytes")
+        # more slices than pieces cannot make them smaller
+        if largest <= max_bytes or slices > 4 * pieces:
+            break
         slices *= 2
+    for i in range(slices):
+        yield [(r.k, bytes(r.t)) for r in kept.filter(own == i).collect()]
 
 
 def contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text",
@@ -135,19 +157,24 @@ def contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", item
     items (ids with occurring windows, sorted as strings), hit_words (runs of word positions), spans (the same
     as character offsets in the original text), contaminated (n_hit > 0 and share * n_hit >= n_words).
 
-    The items are shipped to the tasks while they fit ``max_item_bytes``; a larger benchmark is scanned in several
-    passes over hash slices of its items, each within that bound, and each pass adds to the row's hits so far.
+    The items are shipped to the tasks while they fit ``max_item_bytes``; a larger benchmark, or a larger item, is scanned in
+    several passes over hash slices of its windows, each within that bound, and each pass adds to the row's hits so far.
+    Every pass but the last is checkpointed, so that neither the plan nor a task holds two slices.
     Null and empty texts have no words and are not contaminated; items without words never occur; repeated items
     count once; repeated rows are judged alike; an input column named ``out`` is replaced.
     """
-    wide = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != out.lower()], F.col(f"`{text}`").cast("string").alias("__text"))
-    wide = wide.withColumn("__hits", F.lit(None).cast(HITS))
-    for part in item_slices(items, item_id, item_text, max_item_bytes):
+    # the input columns travel in one struct, so that no name of theirs meets a name used here
+    columns = [c for c in docs.columns if c.lower() != out.lower()]
+    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns], F.lit(0).alias("__none")).alias("__row"), F.col(f"`{text}`").cast("string").alias("__text"))
+    wide, scanned = wide.withColumn("__hits", F.lit(None).cast(HITS)), False
+    for part in item_slices(items, item_id, item_text, max_item_bytes, width):
+        wide = materialize(wide) if scanned else wide
         hits = F.struct("__text", F.col("__hits.items").alias("items"), F.col("__hits.hit_words").alias("runs"))
-        wide = wide.withColumn("__hits", per_text(scan_texts(item_blocks(part, width)), HITS)(hits))
+        wide, scanned = wide.withColumn("__hits", per_text(scan_texts(item_blocks(part, width)), HITS)(hits)), True
     hits = F.col("__hits")
     dirty = (hits["n_hit"] > 0) & (hits["n_hit"] * share >= hits["n_words"])
-    return wide.withColumn(out, F.struct(*[hits[n].alias(n) for n in HITS.names], dirty.alias("contaminated"))).drop("__hits", "__text")
+    made = F.struct(*[hits[n].alias(n) for n in HITS.names], dirty.alias("contaminated"))
+    return wide.select(*[F.col("__row")[c].alias(c) for c in columns], made.alias(out))
 
 
 def items_digest(items) -> F.Column:

@@ -191,6 +191,21 @@ def test_contamination_against_a_scan(spark, contaminated, max_item_bytes):
         assert covered == [ws[i] for i in sorted(hit)]
 
 
+def test_an_item_larger_than_a_slice(spark, contaminated):
+    """A long item is cut into pieces that share the windows between them; clashing columns come back as they were."""
+    rng = random.Random(8)
+    long_item = " ".join(f"w{rng.randrange(50)}" for _ in range(700))
+    words = long_item.split()
+    texts = [" ".join(words[k:k + 40]) for k in range(0, 660, 23)] + [long_item, "w1 w2 w3"]
+    frame = spark.createDataFrame([(1, long_item), (2, "w1 w2 w3")], "item_id long, text string")
+    parts = list(decontaminate.item_slices(frame, "item_id", "text", 400))
+    assert len(parts) > 8 and all(sum(len(t) for _, t in p) <= 400 for p in parts)
+    wide = docs(spark, texts).withColumn("__hits", F.lit("mine")).withColumn("__row", F.lit(5))
+    for r in decontaminate.contamination(wide, frame, max_item_bytes=2000).collect():
+        ws, hit, found = slow_hits(texts[r.doc_id], [(1, long_item), (2, "w1 w2 w3")])
+        assert (r["__hits"], r["__row"], r.contamination.n_words, r.contamination.n_hit, list(r.contamination["items"])) == ("mine", 5, len(ws), len(hit), sorted(found))
+
+
 def test_items_digest(spark):
     frame = spark.createDataFrame([(["10", "9"],), ([],)], "i array<string>")
     assert [r[0] for r in frame.select(decontaminate.items_digest(F.col("i"))).collect()] == [hashlib.sha256(x).hexdigest() for x in (b"10,9", b"")]
