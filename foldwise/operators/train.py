@@ -21,6 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldwise.operators import linear
 from foldwise.operators.folds import CONTIGUOUS, KFOLD, STRATIFIED, assign_folds, fit_mask, shuffle_key
 from foldwise.operators.metrics import score
 from foldwise.operators.models import build_estimator
@@ -110,6 +111,12 @@ class FoldData:
     row_id: str
     features: list[str]
     folds: list[tuple[DataFrame, DataFrame]]
+    wide: DataFrame              # pinned: row id, label, fold, features and the encodings by fit fold
+    label: str
+    fold_col: str
+    fold_kind: str
+    k: int
+    enc_cols: list[str]
 
 
 def prepare_folds(matrix: DataFrame, row_id: str, label: str, features: Sequence[str], k: int,
@@ -118,8 +125,9 @@ def prepare_folds(matrix: DataFrame, row_id: str, label: str, features: Sequence
     most ``k`` entries), joined to the matrix once and pinned with it; the
     frames of fold f take entry f by projection."""
     enc_cols = [] if encodings is None else [c for c in encodings.columns if c not in (row_id, "fit_fold", "heldout")]
-    feats = list(features) + [c for c in enc_cols if c not in features]
-    wide = matrix.select(row_id, label, fold_col, *features)
+    # an encoding takes the place of a feature of its name
+    feats = [c for c in features if c not in enc_cols] + enc_cols
+    wide = matrix.select(row_id, label, fold_col, *[c for c in features if c not in enc_cols])
     if encodings is not None:
         entry = F.struct(F.col("fit_fold").cast("int"), F.struct(*enc_cols))
         by_row = encodings.groupBy(row_id).agg(F.map_from_entries(F.collect_list(entry)).alias("_enc"))
@@ -131,7 +139,7 @@ def prepare_folds(matrix: DataFrame, row_id: str, label: str, features: Sequence
         own = own.select(row_id, label, fold_col, *feats)
         out.append(tuple(assemble(rows, feats).select(row_id, label, FEATURES)
                          for rows in (own.filter(fit_mask(F.col(fold_col), F.lit(f), fold_kind)), own.filter(F.col(fold_col) == f))))
-    return FoldData(row_id, feats, out)
+    return FoldData(row_id, feats, out, wide, label, fold_col, fold_kind, k, enc_cols)
 
 
 def run_cv(matrix: DataFrame, row_id: str, label: str, features: Sequence[str], name: str, params: dict,
@@ -144,6 +152,8 @@ def run_cv(matrix: DataFrame, row_id: str, label: str, features: Sequence[str],
     models' test predictions (test encodings from the full-train fit).
     ``prepared`` reuses pinned fold frames (searches)."""
     fd = prepared or prepare_folds(matrix, row_id, label, features, k, fold_col, fold_kind, encodings)
+    if linear.supported(name, task_kind, n_classes, len(fd.features)):
+        return _linear_cv(fd, name, linear.fit_folds(fd, name, [params], task_kind)[0], test, test_encodings)
 
     def one(f: int):
         tr, va = fd.folds[f]
@@ -169,6 +179,16 @@ def run_cv(matrix: DataFrame, row_id: str, label: str, features: Sequence[str],
     return CVResult(oof, models, fold_test)
 
 
+def _linear_cv(fd: FoldData, name: str, models: list, test: DataFrame | None, test_encodings: DataFrame | None) -> CVResult:
+    """The result of fold models fitted from fold statistics: one projection for all folds, one for the test rows."""
+    oof = materialize(linear.out_of_fold(fd, models, fd.row_id).select(fd.row_id, F.lit(name).alias("model"), "fold", "pred"))
+    fold_test = None
+    if test is not None:
+        te = assemble(_test_encodings(test, test_encodings, fd.row_id), fd.features)
+        fold_test = materialize(linear.mean_prediction(te, models, [fd.row_id]).withColumn("model", F.lit(name)))
+    return CVResult(oof, models, fold_test)
+
+
 def average_predictions(preds: DataFrame, row_id: str = "row_id", pred: str = "pred") -> DataFrame:
     """Mean over folds per row; probability vectors class by class, in one grouping."""
     from pyspark.sql.types import ArrayType
@@ -263,7 +283,13 @@ def stacking(oof: DataFrame, fold_test: DataFrame, labels: DataFrame, models: Se
     x_test = meta_features(fold_test, models, row_id=row_id)
     feats = [c for c in x.columns if c not in (row_id, label)]
     folded = assign_folds(x, row_id, k=k, kind=CONTIGUOUS, y=label if task_kind == "classification" else None)
-    cv = run_cv(folded, row_id, label, feats, meta_name, {}, task_kind, n_classes, k, fold_kind=KFOLD, seed=seed)
-    full = fit_model(meta_name, {}, assemble(x, feats), label, task_kind, n_classes, seed, row_id)
+    fd = prepare_folds(folded, row_id, label, feats, k, fold_kind=KFOLD)
+    if linear.supported(meta_name, task_kind, n_classes, len(feats)):
+        # the meta model of all rows is one more sum of the same statistics
+        *own, full = linear.fit_folds(fd, meta_name, [{}], task_kind, with_full=True)[0]
+        cv = _linear_cv(fd, meta_name, own, None, None)
+    else:
+        cv = run_cv(folded, row_id, label, feats, meta_name, {}, task_kind, n_classes, k, fold_kind=KFOLD, seed=seed, prepared=fd)
+        full = fit_model(meta_name, {}, assemble(x, feats), label, task_kind, n_classes, seed, row_id)
     test_pred = full.predict(assemble(x_test, feats), [row_id]).withColumn("model", F.lit("stacking"))
     return cv.oof.withColumn("model", F.lit("stacking")), test_pred

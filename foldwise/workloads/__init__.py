@@ -9,6 +9,7 @@ from foldwise.workloads import features as _features  # noqa: F401
 from foldwise.workloads import folds as _folds  # noqa: F401
 from foldwise.workloads import infold as _infold  # noqa: F401
 from foldwise.workloads import io as _io  # noqa: F401
+from foldwise.workloads import linear as _linear  # noqa: F401
 from foldwise.workloads import plans as _plans  # noqa: F401
 from foldwise.workloads import profile as _profile  # noqa: F401
 from foldwise.workloads import scoring as _scoring  # noqa: F401
