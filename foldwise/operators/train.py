@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -162,7 +163,8 @@ def run_cv(matrix: DataFrame, row_id: str, label: str, features: Sequence[str],
         return m, p
 
     with ThreadPoolExecutor(max_workers=parallelism or k) as ex:
-        results = list(ex.map(one, range(k)))
+        # the folds' jobs carry the caller's job tags
+        results = list(ex.map(inheritable_thread_target(fd.wide.sparkSession)(one), range(k)))
     models = [m for m, _ in results]
     oof = results[0][1]
     for _, p in results[1:]:
@@ -189,6 +191,16 @@ def _linear_cv(fd: FoldData, name: str, models: list, test: DataFrame | None, te
     return CVResult(oof, models, fold_test)
 
 
+def linear_scores(fd: FoldData, name: str, params: Sequence[dict], labels: DataFrame, metric: str, task_kind: str) -> list[float]:
+    """Out-of-fold scores of many parameter sets of a linear learner: one fit
+    of all of them, one projection with a prediction a set, one aggregate."""
+    fitted = linear.fit_folds(fd, name, params, task_kind)
+    each = linear.out_of_fold_all(fd, fitted, fd.row_id)
+    per_set = each.select(fd.row_id, F.posexplode("preds").alias("trial", "pred")).join(labels.select(fd.row_id, fd.label), fd.row_id)
+    found = {r["trial"]: r["score"] for r in score(per_set, metric, y=fd.label, group_by=["trial"]).collect()}
+    return [found[t] for t in range(len(params))]
+
+
 def average_predictions(preds: DataFrame, row_id: str = "row_id", pred: str = "pred") -> DataFrame:
     """Mean over folds per row; probability vectors class by class, in one grouping."""
     from pyspark.sql.types import ArrayType

@@ -167,44 +167,26 @@ def first_rows(spark, d):
     return S.load_table(spark, f"{d}/orders.parquet", "parquet", nrows=1000).select("o_orderkey", "o_orderstatus")
 
 
-@workload("resolve_roles", """
-SELECT * FROM (VALUES ('a', 'train', 'train.csv'), ('a', 'test', 'test.parquet'), ('a', 'sample', 'sample_submission.csv'),
-                      ('b', 'train', 'my_train.parquet'), ('b', 'sample', 'submission.parquet')) t(dataset, role, file)
+_STEMS = ("train", "my_train_v2", "test", "test_data", "sample_submission", "test_submission", "notes", "Training", "submission", "holdout")
+_SUFFIXES = ("csv", "parquet", "feather", "json", "txt", "CSV")
+
+
+@workload("resolve_roles", f"""
+WITH f AS (SELECT 'c' || o_custkey AS dataset, ({list(_STEMS)})[CAST(o_orderkey % {len(_STEMS)} AS BIGINT) + 1] || CASE WHEN o_orderkey % 3 = 0 THEN '_' || o_orderkey ELSE '' END AS stem,
+  ({list(_SUFFIXES)})[CAST(o_orderkey % {len(_SUFFIXES)} AS BIGINT) + 1] AS suffix FROM orders),
+k AS (SELECT DISTINCT dataset, stem || '.' || suffix AS file, lower(stem) AS stem, list_position(['csv', 'parquet', 'feather', 'json'], lower(suffix)) AS rank FROM f),
+c AS (SELECT *, 'train' AS role FROM k WHERE contains(stem, 'train') UNION ALL SELECT *, 'sample' FROM k WHERE contains(stem, 'submission')
+  UNION ALL SELECT *, 'test' FROM k WHERE contains(stem, 'test') AND NOT contains(stem, 'submission'))
+SELECT dataset, role, file FROM c WHERE rank IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dataset, role ORDER BY rank, length(stem), file) = 1
 """)
 def resolve_dataset_roles(spark, d):
-    """Role resolution over a directory of dataset folders written from the
-    orders and customer tables: format order, keyword in the stem, a sample
-    file never taken as test, test optional."""
-    base = _scratch(spark)
-    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    c = table(spark, d, "customer").select("c_custkey", "c_acctbal")
-    _one_file(o, f"{base}/a/train.csv")
-    _one_file(o, f"{base}/a/train.parquet")
-    _one_file(o.drop("o_totalprice"), f"{base}/a/test.parquet")
-    _one_file(o, f"{base}/a/sample_submission.csv")
-    _one_file(o, f"{base}/a/test_submission.parquet")
-    _one_file(c, f"{base}/b/my_train.parquet")
-    _one_file(c, f"{base}/b/submission.parquet")
-    found = S.resolve_roles(S.list_files(spark, base), base)
+    """Role resolution over a listing of one folder per customer, a file per
+    order (stem and suffix from its key): format order, keyword in the stem,
+    a sample file never taken as test, any role optional."""
+    key = F.col("o_orderkey")
+    pick = lambda names: F.element_at(F.array(*[F.lit(n) for n in names]), (key % len(names) + 1).cast("int"))
+    stem = F.concat(pick(_STEMS), F.when(key % 3 == 0, F.concat(F.lit("_"), key.cast("string"))).otherwise(""))
+    path = F.concat(F.lit("file:/data/c"), F.col("o_custkey").cast("string"), F.lit("/"), stem, F.lit("."), pick(_SUFFIXES))
+    listing = table(spark, d, "orders").select(path.alias("path"), F.lit(1).cast("bigint").alias("length")).distinct()
+    found = S.resolve_roles(listing, "/data")
     return found.select("dataset", "role", F.element_at(F.split("path", "/"), -1).alias("file"))
-
-
-def _one_file(df, path: str) -> None:
-    """A stand-in input file of that very name: the rows in batches, written by the task that reads them."""
-    def write(batches):
-        import pyarrow as pa
-        import pyarrow.csv as pc
-        import pyarrow.parquet as pq
-
-        from foldwise.sources.feather import output_stream
-
-        batches = list(batches)
-        schema = batches[0].schema if batches else pa.schema([])
-        with output_stream(path) as out:
-            if path.endswith(".csv"):
-                pc.write_csv(pa.Table.from_batches(batches, schema), out)
-            else:
-                pq.write_table(pa.Table.from_batches(batches, schema), out)
-        yield pa.RecordBatch.from_pydict({"file": [path]})
-
-    df.limit(100).repartition(1).mapInArrow(write, "file string").collect()

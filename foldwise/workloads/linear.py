@@ -118,3 +118,52 @@ def stacking_ridge(spark, d):
     meta_oof, meta_test = stacking(oof_a.unionByName(oof_b), test_a.unionByName(test_b), train.select("row_id", "y"), ["a", "b"], "row_id", "y", "regression", 0)
     out = meta_oof.select("row_id", F.lit("oof").alias("kind"), "pred").unionByName(meta_test.select("row_id", F.lit("test").alias("kind"), "pred"))
     return out.select("row_id", "kind", F.round("pred", DIGITS).alias("pred"))
+
+
+_N_TRIALS = 50
+_ALPHAS = f"""a AS (SELECT t AS trial, exp(ln(0.001) + (CAST('0x' || substr(md5('42:' || t || ':alpha'), 1, 13) AS BIGINT) / 4503599627370496.0) * (ln(100.0) - ln(0.001))) AS alpha
+  FROM (SELECT unnest(range({_N_TRIALS})) AS t))"""
+
+
+def trials_sql() -> str:
+    """Root mean squared error of the out-of-fold predictions of every trial's ridge, from the folds' products."""
+    return f"""
+WITH {_ORDERS}, {_ALPHAS},
+s AS (SELECT fold, count(*) AS n, sum(customer_part) AS sa, sum(month_part) AS sb, sum(y) AS sy, sum(customer_part * customer_part) AS saa, sum(customer_part * month_part) AS sab, sum(month_part * month_part) AS sbb,
+  sum(customer_part * y) AS say, sum(month_part * y) AS sby FROM tr GROUP BY fold),
+t AS (SELECT f AS fit_fold, sum(n) AS n, sum(sa) AS sa, sum(sb) AS sb, sum(sy) AS sy, sum(saa) AS saa, sum(sab) AS sab, sum(sbb) AS sbb, sum(say) AS say, sum(sby) AS sby FROM s, (SELECT unnest(range(5)) AS f) WHERE fold <> f GROUP BY f),
+c AS (SELECT trial, fit_fold, n, sa, sb, sy, saa - sa * sa / n + alpha AS aa, sab - sa * sb / n AS ab, sbb - sb * sb / n + alpha AS bb, say - sa * sy / n AS ay, sby - sb * sy / n AS byy FROM t, a),
+w AS (SELECT trial, fit_fold, n, sa, sb, sy, (ay * bb - byy * ab) / (aa * bb - ab * ab) AS ca, (byy * aa - ay * ab) / (aa * bb - ab * ab) AS cb FROM c),
+scores AS (SELECT trial, sqrt(avg(power(y - (sy - ca * sa - cb * sb) / n - ca * customer_part - cb * month_part, 2))) AS score FROM w JOIN tr ON fit_fold = fold GROUP BY trial)"""
+
+
+@workload("search_ridge_trials", f"""{trials_sql()},
+r AS (SELECT trial, score, 'all' AS search FROM scores UNION ALL SELECT trial, score, 'pruned' FROM scores WHERE trial < 10)
+SELECT search, CAST(trial AS INTEGER) AS trial, round(score, {DIGITS}) AS score, CASE search WHEN 'all' THEN 'COMPLETE' ELSE 'PRUNED_EARLY' END AS status FROM r
+""")
+def search_ridge_trials(spark, d):
+    """Two searches of fifty trials of ridge (log-uniform alpha) by the root
+    mean squared error of out-of-fold predictions, read back from their trial
+    table: one scored in batches from the same fold statistics; one run as
+    concurrent jobs against a prior best that stops it after ten trials."""
+    from foldwise.operators.metrics import score
+    from foldwise.operators.models import SEARCH_SPACES
+    from foldwise.operators.train import linear_scores
+    from foldwise.plans import search as S
+    from foldwise.plans.trials import TrialTable, search
+    from foldwise.workloads.io import _scratch
+
+    train, _ = _orders(spark, d)
+    features = ["customer_part", "month_part"]
+    fd = prepare_folds(train, "row_id", "y", features, 5)
+    trials = S.trial_params(S.sample_trials(spark, SEARCH_SPACES["Ridge"], _N_TRIALS, seed=42))
+    kept = TrialTable(spark, f"{_scratch(spark)}/trials")
+
+    def one(params):
+        oof = run_cv(train, "row_id", "y", features, "Ridge", params, "regression", 0, k=5, prepared=fd).oof
+        return score(oof.join(fd.wide.select("row_id", "y"), "row_id").withColumn("g", F.lit(1)), "rmse", group_by=["g"]).first()["score"]
+
+    whole = search(spark, trials, False, run_batch=lambda batch: linear_scores(fd, "Ridge", batch, fd.wide, "rmse", "regression"), table=kept, name="all")
+    pruned = search(spark, trials, False, prior_best=min(whole.scores) / 2, run_trial=one, table=kept, name="pruned", parallelism=3)
+    status = spark.createDataFrame([("all", whole.status), ("pruned", pruned.status)], "search string, status string")
+    return kept.read().join(F.broadcast(status), "search").select("search", "trial", F.round("score", DIGITS).alias("score"), "status")  # two rows

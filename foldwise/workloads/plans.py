@@ -192,7 +192,7 @@ def immediate_features(spark, d):
     return out.select("o_orderkey", "split", *[F.col(c) if c in codes else r(c) for c in cp.features])
 
 
-@workload("plan_error_counts", f"""
+_ERROR_COUNTS_SQL = f"""
 WITH {_PLAN_TEXT_SQL},
 b AS (SELECT event_id, dataset, trim(regexp_replace(text, '^\\s*```[A-Za-z]*\\s*|\\s*```\\s*$', '', 'g')) AS body FROM t),
 p AS (SELECT event_id, dataset, CASE WHEN starts_with(body, '[')
@@ -210,20 +210,40 @@ errs AS (SELECT CASE WHEN reg.arity IS NULL THEN 'unknown_operation'
                     THEN 'identity_unsafe' END AS error_type
       FROM v LEFT JOIN reg ON o.operation = reg.operation LEFT JOIN ds ON v.dataset = ds.dataset)
 SELECT 'features' AS phase, error_type, count(*) AS n FROM errs WHERE error_type IS NOT NULL GROUP BY 1, 2
-""")
+"""
+
+
+@workload("plan_error_counts", _ERROR_COUNTS_SQL)
 def plan_error_counts(spark, d):
     """Skipped-op log: validation errors of the parsed plans appended to an
     errors table and counted per (phase, error type)."""
     from foldwise.operators.history import error_counts
 
+    return error_counts(_plan_errors(spark, d))
+
+
+@workload("error_log", _ERROR_COUNTS_SQL)
+def error_log(spark, d):
+    """The same counts from an append-only error log whose phase was written
+    twice: a run, phase and plan holds the rows of its last write."""
+    from foldwise.operators.history import error_counts
+    from foldwise.sources.logs import append_log, read_log
+    from foldwise.workloads.io import _scratch
+
+    errors, path = _plan_errors(spark, d), f"{_scratch(spark)}/errors"
+    append_log(errors, path)
+    append_log(errors, path)
+    return error_counts(read_log(spark, path, ["run_id", "phase", "event_id"]))
+
+
+def _plan_errors(spark, d):
     plans = parse_plans(_plan_texts(spark, d), key=["dataset", "event_id"])
     ds = spark.createDataFrame(
         [("view", True, ["user_id"]), ("click", True, []), ("error", False, ["value"]), ("purchase", False, []),
          ("signup", False, ["user_id"])], "dataset string, is_time_series boolean, identity_cols array<string>")
     v = validate_plans(plans, ds).filter(F.col("error").isNotNull())
-    errors = v.select(F.col("dataset").alias("run_id"), F.lit("features").alias("phase"), F.col("error").alias("error_type"),
-                      F.col("output_name").alias("message"))
-    return error_counts(errors)
+    return v.select(F.col("dataset").alias("run_id"), F.lit("features").alias("phase"), "event_id", F.col("error").alias("error_type"),
+                    F.col("output_name").alias("message"))
 
 
 @workload("plan_skips_failing_ops", """

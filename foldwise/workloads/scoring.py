@@ -270,17 +270,23 @@ h AS (SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY
              (value + (event_id % 7) - 3) / 100.0 AS public_score, ts, event_id FROM events)"""
 
 
-@workload("history_best_gap", f"""
+_BEST_GAP_SQL = f"""
 WITH {_HIST_SQL},
 b AS (SELECT run_id, arg_max(path, cv_score) AS path, max(cv_score) AS cv_score FROM h GROUP BY 1),
 g AS (SELECT run_id, count(*) FILTER (WHERE abs(public_score - cv_score) > 0.01) AS n_gap,
              round(avg(public_score - cv_score), 6) AS mean_delta FROM h GROUP BY 1)
 SELECT b.run_id, b.path, round(b.cv_score, 6) AS cv_score, g.n_gap, g.mean_delta FROM b JOIN g ON b.run_id = g.run_id
-""")
+"""
+
+
+@workload("history_best_gap", _BEST_GAP_SQL)
 def history_best_gap(spark, d):
     """Best output per run by CV score (higher is better) and CV-vs-public
     gap flags, over a history table derived from events."""
-    h = _history(spark, d)
+    return _best_gap(_history(spark, d))
+
+
+def _best_gap(h):
     best = H.best_output(h, higher_is_better=True)
     gaps = H.score_gap(h).groupBy("run_id").agg(F.count(F.when(F.col("gap_flag"), 1)).alias("n_gap"),
                                                  r(F.avg("delta"), "mean_delta"))
@@ -301,6 +307,22 @@ def _history(spark, d):
                     "ts", "event_id")
 
 
+@workload("history_log", _BEST_GAP_SQL)
+def history_log(spark, d):
+    """The same answers from an append-only log of outputs: the rows of an
+    attempt cut short (other scores), then of the attempt that replaced it,
+    written twice; readers see each (run, iteration) once, as last written."""
+    from foldwise.sources.logs import append_log, read_log
+    from foldwise.workloads.io import _scratch
+
+    h = _history(spark, d)
+    path = f"{_scratch(spark)}/outputs"
+    append_log(h.filter("iteration % 3 = 0").withColumn("cv_score", F.col("cv_score") + 1000.0), path)
+    append_log(h, path)
+    append_log(h, path)
+    return _best_gap(read_log(spark, path, ["run_id", "iteration"]))
+
+
 @workload("history_reentry_budget", f"""
 WITH {_HIST_SQL},
 st AS (SELECT run_id, iteration, public_score - cv_score AS delta, cv_score AS blend_score,
