@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from foldwise.functions import columns as C
 from foldwise.operators.ordering import quantiles, with_trailing_window
-from foldwise.plans.spec import FeatureOp, PlanError
+from foldwise.plans.spec import PLUGINS, FeatureOp, PlanError, Plugin
 from foldwise.session import lookup_join, size_checked_broadcast
 
 
@@ -35,6 +35,44 @@ class _Lookup:
     small: bool               # checked small enough to broadcast
 
 
+@dataclass
+class _FittedPlugin:
+    plugin: Plugin
+    values: dict              # of a one-row table
+    table: DataFrame | None   # of a keyed one
+    small: bool
+
+    def add(self, df: DataFrame, op: FeatureOp, i: int) -> DataFrame:
+        """``df`` with the op's outputs; a keyed table is joined on the op's first column."""
+        if self.table is None:
+            return df.withColumns(self._outputs(op, {n: F.lit(v).cast(t) for n, (v, t) in self.values.items()}))
+        tmp = f"_pl{i}_"
+        key, *names = self.table.columns
+        t = self.table.select(F.col(f"`{key}`").alias(f"{tmp}key"), *[F.col(f"`{n}`").alias(f"{tmp}{n}") for n in names])
+        out = lookup_join(df, t, op.columns[0], f"{tmp}key", self.small)
+        return out.withColumns(self._outputs(op, {n: F.col(f"`{tmp}{n}`") for n in names})).drop(f"{tmp}key", *[f"{tmp}{n}" for n in names])
+
+    def _outputs(self, op: FeatureOp, stats: dict) -> dict[str, Column]:
+        made = self.plugin.apply(op, stats)
+        return made if isinstance(made, dict) else {op.output_name: made}
+
+
+def _fit_plugin(plugin: Plugin, train: DataFrame, op: FeatureOp) -> _FittedPlugin:
+    if plugin.fit is None:
+        return _FittedPlugin(plugin, {}, None, True)
+    table = plugin.fit(train, op)
+    if plugin.keyed:
+        key = table.columns[0]
+        table, small = size_checked_broadcast(table.filter(F.col(f"`{key}`").isNotNull()))
+        if not table.groupBy(F.col(f"`{key}`")).count().filter("count > 1").isEmpty():
+            raise PlanError(f"{op.operation!r}: the statistics repeat a key")
+        return _FittedPlugin(plugin, {}, table, small)
+    rows = table.limit(2).collect()
+    if len(rows) != 1:
+        raise PlanError(f"{op.operation!r}: the statistics are not one row")
+    return _FittedPlugin(plugin, {f.name: (rows[0][f.name], f.dataType) for f in table.schema.fields}, None, True)
+
+
 @dataclass
 class FittedFeatures:
     ops: list[FeatureOp]
@@ -42,6 +80,7 @@ class FittedFeatures:
     lookups: dict[str, _Lookup] = field(default_factory=dict)
     created: list[str] = field(default_factory=list)
     skipped: list[tuple[str, str]] = field(default_factory=list)
+    plugins: dict[str, _FittedPlugin] = field(default_factory=dict)
 
     def _expr(self, op: FeatureOp, i: int, dtypes: dict) -> dict[str, Column]:
         a = op.columns[0]
@@ -84,6 +123,8 @@ class FittedFeatures:
                 continue
             if op.operation in ("lag", "rolling_mean"):
                 windowed.append(op)
+            elif op.output_name in self.plugins:
+                out = self.plugins[op.output_name].add(out, op, i)
             elif op.operation in ("count_encoding", "extract_title"):
                 lk = self.lookups[op.output_name]
                 key = F.col(op.columns[0]) if lk.key_expr == "raw" else C.title_of(op.columns[0])
@@ -190,6 +231,11 @@ def fit_immediate(train: DataFrame, ops: Sequence[FeatureOp]) -> FittedFeatures:
                  .filter(F.col("_lk_val") >= min_count))
             t, small = size_checked_broadcast(t)
             fitted.lookups[name] = _Lookup(op, t, "title", small)
+        elif op.operation in PLUGINS:
+            fitted.plugins[name] = _fit_plugin(PLUGINS[op.operation], train, op)
+            before = train.limit(0)
+            fitted.created += [c for c in fitted.plugins[name].add(before, op, i).columns if c not in before.columns]
+            continue
         if skip:
             fitted.skipped.append((name, skip))
             continue

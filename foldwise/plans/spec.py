@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -36,10 +38,58 @@ IDENTITY_UNSAFE_OPS = ("tfidf_svd",)
 NUMERIC_OPS = ("log_transform", "sqrt_transform", "interaction_multiply", "interaction_ratio", "polynomial_degree2",
                "bin_equal_width", "bin_equal_freq", "rolling_mean", "family_size", "is_alone")
 
+
+
+@dataclass(frozen=True)
+class Plugin:
+    """A user's op.  ``fit(train, op)`` returns its statistics as a table: one
+    row, or, with ``keyed``, a row a value of the op's first column, in its
+    first column.  ``apply(op, stats)`` gets the statistics as Columns by
+    name (those of a row's own key; NULL for an unseen one) and returns a
+    Column, or a dict of Columns by output name."""
+
+    name: str
+    fit: Callable
+    apply: Callable
+    keyed: bool
+
+
+PLUGINS: dict[str, Plugin] = {}
+
+
+def register(name: str, arity: int, fit: Callable | None, apply: Callable, *, keyed: bool = False) -> None:
+    """Add an immediate op to the registry; plans, validation, fitting and
+    streams treat it like the built-in ones.  ``fit`` may be None for an op
+    without statistics.  Built-in ops cannot be replaced; a registered one can."""
+    if name in REGISTRY and name not in PLUGINS:
+        raise PlanError(f"{name!r} is a built-in operation")
+    if arity < 1:
+        raise PlanError("an operation needs a column")
+    if keyed and fit is None:
+        raise PlanError("a keyed operation needs a fit")
+    REGISTRY[name] = (arity, "immediate", False)
+    PLUGINS[name] = Plugin(name, fit, apply, keyed)
+
+
+def unregister(name: str) -> None:
+    if name not in PLUGINS:
+        raise PlanError(f"{name!r} is not a registered operation")
+    del REGISTRY[name], PLUGINS[name]
+
+
+@contextmanager
+def registered(name: str, arity: int, fit: Callable | None, apply: Callable, *, keyed: bool = False):
+    """``register`` for the length of a block; what was compiled in it stays usable."""
+    register(name, arity, fit, apply, keyed=keyed)
+    try:
+        yield
+    finally:
+        unregister(name)
+
+
 DEFERRED = tuple(k for k, v in REGISTRY.items() if v[1] == "deferred")
 ORDERED = tuple(k for k, v in REGISTRY.items() if v[2])
 
-
 class PlanError(ValueError):
     """An op is routed to the wrong executor or lacks what it needs."""
 

@@ -22,7 +22,7 @@ def _orders_y(spark, d):
         (F.col("o_orderstatus") == "F").cast("int").alias("y"))
 
 
-@workload("infold_target_encode", f"""
+_TARGET_SQL = f"""
 WITH {_FOLDS_SQL_STRAT},
 g AS (SELECT ff.fit_fold, avg(y) AS gm FROM f JOIN ff ON f.fold <> ff.fit_fold GROUP BY 1),
 s AS (SELECT ff.fit_fold, o_orderpriority, avg(y) AS m, count(y) AS n
@@ -34,7 +34,10 @@ enc AS (SELECT f.fold AS fit_fold, f.o_orderpriority, f.y,
 SELECT fit_fold AS fold, o_orderpriority, count(*) AS n_heldout,
        round(avg(te), 6) AS mean_enc, round(avg(abs(y - te)), 6) AS mean_abs_err
 FROM enc GROUP BY 1, 2
-""")
+"""
+
+
+@workload("infold_target_encode", _TARGET_SQL)
 def infold_target_encode(spark, d):
     """Stratified md5 folds on orders, in-fold smoothed target encoding of the
     order priority for every fold at once, held-out encoding error per
@@ -43,7 +46,28 @@ def infold_target_encode(spark, d):
                          y="y")
     enc = infold_encode(folds, [Deferred("target_encode", ("o_orderpriority",), "te")],
                         "o_orderkey", "y", k=5, kind=STRATIFIED)
-    held = enc.filter("heldout")
+    return _held_out_error(enc.filter("heldout"))
+
+
+def _held_out_error(held):
     return held.groupBy(F.col("fit_fold").alias("fold"), "o_orderpriority").agg(
         F.count(F.lit(1)).alias("n_heldout"), r(F.avg("te"), "mean_enc"),
         r(F.avg(F.abs(F.col("y") - F.col("te"))), "mean_abs_err"))
+
+
+@workload("encoder_saved_and_reloaded", _TARGET_SQL)
+def encoder_saved_and_reloaded(spark, d):
+    """The same encoding from an ML pipeline stage: fitted inside a Pipeline,
+    saved, loaded again and applied."""
+    from pyspark.ml import Pipeline, PipelineModel
+
+    from foldwise.operators.encoder import InFoldEncoder
+    from foldwise.sources.sinks import save_model
+    from foldwise.workloads.io import _scratch
+
+    folds = assign_folds(_orders_y(spark, d), "o_orderkey", k=5, kind=STRATIFIED, seed=42, y="y")
+    stage = InFoldEncoder(inputCols=["o_orderpriority"], targetCol="y", outputCol="te", numFolds=5, foldKind=STRATIFIED)
+    path = f"{_scratch(spark)}/encoder"
+    save_model(Pipeline(stages=[stage]).fit(folds), path)
+    held = PipelineModel.load(path).transform(folds)
+    return _held_out_error(held.withColumn("fit_fold", F.col("fold")))

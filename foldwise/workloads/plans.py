@@ -269,3 +269,41 @@ def plan_skips_failing_ops(spark, d):
                       targets=["y"], order_by="o_orderkey")
     both = cp.train.drop("y").withColumn("split", F.lit("train")).unionByName(cp.test.withColumn("split", F.lit("test")))
     return both.select("o_orderkey", "split", r("log_tp"), r("ce_cust"), F.lit(",".join(f"{n}:{e}" for n, e in cp.errors)).alias("skipped"))
+
+
+@workload("registered_op", """
+WITH o AS (SELECT o_orderkey, o_orderkey % 5 = 4 AS test, o_totalprice, o_orderpriority, o_custkey FROM orders),
+g AS (SELECT o_orderpriority, avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s FROM o WHERE NOT test GROUP BY 1),
+q AS (SELECT min(o_custkey) AS lo, max(o_custkey) AS hi FROM o WHERE NOT test)
+SELECT o_orderkey, CASE WHEN test THEN 'test' ELSE 'train' END AS split, round((o_totalprice - m) / s, 6) AS z, round((o_custkey - lo) / (hi - lo), 6) AS span_unit, round(2 * (o_custkey - lo) / (hi - lo) - 1, 6) AS span_signed
+FROM o JOIN g USING (o_orderpriority), q
+""")
+def registered_op(spark, d):
+    """Two ops of the user's own, the 20th and 21st, through plan texts,
+    validation and the compiled plan: a score within the row's group (a table
+    by key) and a rescaling to the range of train (one row, two outputs)."""
+    from foldwise.plans.compile import compile_plan
+    from foldwise.plans.spec import FeatureOp, registered
+    from foldwise.workloads.common import is_test, r
+
+    def fit_z(train, op):
+        g, v = op.columns
+        return train.groupBy(g).agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"))
+
+    def fit_span(train, op):
+        return train.agg(F.min(op.columns[0]).alias("lo"), F.max(op.columns[0]).alias("hi"))
+
+    def apply_span(op, s):
+        share = (F.col(op.columns[0]) - s["lo"]) / (s["hi"] - s["lo"])
+        return {f"{op.output_name}_unit": share, f"{op.output_name}_signed": 2 * share - 1}
+
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", "o_custkey")
+    with registered("group_zscore", 2, fit_z, lambda op, s: (F.col(op.columns[1]) - s["mean"]) / s["sd"], keyed=True), registered("rescale", 1, fit_span, apply_span):
+        texts = spark.createDataFrame([("o", '[{"operation": "group_zscore", "columns": ["o_orderpriority", "o_totalprice"], "output_name": "z"}, '
+                                             '{"operation": "rescale", "columns": ["o_custkey"], "output_name": "span"}, {"operation": "rescale", "columns": [], "output_name": "bad"}]')], "dataset string, text string")
+        ops = [FeatureOp.of(x["operation"], list(x["columns"]), x["output_name"]) for x in parse_plans(texts).orderBy("seq").collect()]
+        cp = compile_plan(o.filter(~is_test("o_orderkey")), o.filter(is_test("o_orderkey")), ops, id_column="o_orderkey", targets=[], order_by="o_orderkey")
+        if cp.errors != [("bad", "wrong_arity")]:
+            raise RuntimeError(f"unexpected plan errors: {cp.errors}")
+        both = cp.train.withColumn("split", F.lit("train")).unionByName(cp.test.withColumn("split", F.lit("test")))
+    return both.select("o_orderkey", "split", r("z"), r("span_unit"), r("span_signed"))
