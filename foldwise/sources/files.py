@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -86,6 +87,8 @@ def load_table(spark: SparkSession, path: str, fmt: str | None = None, nrows: in
         r = spark.read.option("header", "true")
         df = r.schema(schema).csv(path) if schema else r.option("inferSchema", "true").csv(path)
     elif fmt == "parquet":
+        if nrows is not None:
+            return nan_to_null(first_parquet_rows(spark, path, nrows))
         df = spark.read.parquet(path)
     elif fmt in ("feather", "arrow", "ipc"):
         from foldwise.sources.feather import register
@@ -93,16 +96,86 @@ def load_table(spark: SparkSession, path: str, fmt: str | None = None, nrows: in
         register(spark)
         df = spark.read.format("feather").load(path)
     elif fmt == "json":
-        df = spark.read.option("multiLine", "true").json(path, schema=schema)
-        if "_corrupt_record" in df.columns or (len(df.schema.fields) > 0 and all(
-                f.dataType.typeName() == "struct" for f in df.schema.fields) and df.limit(2).count() == 1):
-            raise ValueError("JSON must be an array of records (column-oriented objects are not supported)")
+        df = spark.read.option("multiLine", "true").json(path, schema=schema) if _json_shape(spark, path) == "[" else columns_json(spark, path, schema)
     else:
         raise ValueError(f"Unsupported data format: .{fmt}")
     df = nan_to_null(df)
     return first_rows(df, nrows) if nrows is not None else df
 
 
+def _json_shape(spark: SparkSession, path: str) -> str:
+    """The first character of the first line that has any."""
+    first = F.substring(F.regexp_replace("value", r"^[\\s\uFEFF]+", ""), 1, 1)
+    row = spark.read.text(path).select(first.alias("c")).filter("c <> ''").first()
+    return row["c"] if row else "["
+
+
+def columns_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """JSON files of columns, ``{column: {row label: value, ...}, ...}``.
+
+    A file is parsed by one task (it is one JSON value) into a VARIANT, whose
+    cells become rows (file, column, label, value) and are grouped back by row, in as
+    many tasks as the shuffle has; no row holds a column as a struct.  Types
+    come from the values: whole numbers, doubles, booleans, texts; columns of mixed
+    kinds and nested values are texts.  Columns follow the first file that has
+    them; rows are those of any column's labels, missing cells NULL."""
+    from foldwise.session import materialize
+
+    text = spark.read.option("wholetext", "true").text(path)
+    docs = text.select(F.col("_metadata.file_path").alias("file"), F.json_object_keys("value").alias("names"), F.try_parse_json("value").alias("v"))
+    columns = spark.sql("SELECT file, names, c.key AS name, c.value AS cells, schema_of_variant(c.value) AS kind FROM {d}, LATERAL variant_explode(v) AS c", d=docs)
+    broken = docs.join(columns.filter("kind LIKE 'OBJECT%'").select("file").distinct(), "file", "left_anti").select("file")
+    wrong = columns.filter("kind NOT LIKE 'OBJECT%'").select("file")
+    if not broken.unionByName(wrong).isEmpty():
+        raise ValueError("JSON must be an array of records or an object of columns, each an object of its rows")
+    cells = materialize(spark.sql("SELECT file, name, r.key AS label, r.value AS value FROM {c}, LATERAL variant_explode(cells) AS r", c=columns))
+    order = docs.select("file", F.posexplode("names").alias("at", "name")).groupBy("name").agg(F.min(F.struct("file", "at")).alias("first")).orderBy("first")
+    names = [r["name"] for r in order.collect()]  # a row a column
+    if schema is not None:
+        kinds = {f.name: f.dataType.simpleString() for f in schema.fields}
+    else:
+        seen = cells.groupBy("name").agg(F.schema_of_variant_agg("value").alias("kind")).collect()
+        kinds = {r["name"]: _variant_type(r["kind"]) for r in seen}
+    cell = lambda n: F.max(F.when(F.col("name") == n, F.try_variant_get("value", "$", kinds.get(n, "string")))).alias(n)
+    rows = cells.groupBy(F.col("file").alias("_fw_file"), F.col("label").alias("_fw_label")).agg(*[cell(n) for n in names])
+    # file order: labels are row numbers in most files
+    return rows.orderBy("_fw_file", F.expr("try_cast(_fw_label AS BIGINT)"), "_fw_label").select(*[F.col(f"`{n}`") for n in names])
+
+
+def _variant_type(kind: str) -> str:
+    if kind.startswith("DECIMAL") or kind in ("FLOAT", "DOUBLE"):
+        return "double"
+    return {"BIGINT": "bigint", "BOOLEAN": "boolean"}.get(kind, "string")
+
+
+def _plain_path(path: str) -> str:
+    """A path in one form, whether a listing or a scan gives it."""
+    return unquote(re.sub(r"^(\w+):/+", r"\1:/", path))
+
+
+def first_parquet_rows(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """The first ``n`` rows in file order, from the files that hold them: rows
+    per file come from the footers (a count reads no column), of 1, 2, 4, ...
+    files in order until there are enough; the scan names only those files."""
+    whole = spark.read.parquet(path)
+    files, read, at, rows = sorted(whole.inputFiles()), 0, 0, []
+    reader = spark.read.schema(whole.schema).option("basePath", path) if not path.endswith(".parquet") else spark.read.schema(whole.schema)
+    while at < len(files) and read < n:
+        part = files[at:at + max(1, at)]
+        counted = {_plain_path(r["f"]): (r["n"], r["f"]) for r in reader.parquet(*part).groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        for f in part:
+            held, name = counted.get(_plain_path(f), (0, None))
+            if read < n and held:
+                rows.append((f, name, min(held, n - read)))
+                read += held
+        at += len(part)
+    if not rows:
+        return whole.limit(0)
+    df = reader.parquet(*[f for f, _, _ in rows])
+    *_, (_, last, left) = rows
+    return df.filter((F.col("_metadata.file_path") != last) | (F.col("_metadata.row_index") < left))
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Floating NaN becomes NULL (missing), so max / corr / quantiles and
     comparisons treat it as the reference's pandas code does."""

@@ -20,9 +20,9 @@ def _scratch(spark) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
-def _write_per_partition(df, base: str, fmt: str) -> None:
+def _write_per_partition(df, base: str, fmt: str, orient: str = "records") -> None:
     """Stand-in input files: every task writes its own partition as one
-    feather file or one JSON array-of-records file."""
+    feather file (in batches of 500 rows) or one JSON file of that orientation."""
     def write(batches):
         import io
 
@@ -43,10 +43,10 @@ def _write_per_partition(df, base: str, fmt: str) -> None:
         name = f"{base}/part-{TaskContext.get().partitionId():05d}.{fmt}"
         with output_stream(name) as out:
             if fmt == "feather":
-                feather.write_feather(t, out)
+                feather.write_feather(t, out, chunksize=500)
             else:
                 buf = io.StringIO()
-                t.to_pandas().to_json(buf, orient="records", date_format="iso")
+                t.to_pandas().to_json(buf, orient=orient, date_format="iso", double_precision=15)
                 out.write(buf.getvalue().encode("utf-8"))
         yield pa.RecordBatch.from_pandas(pd.DataFrame({"file": [name]}))
 
@@ -82,6 +82,38 @@ def scan_formats(spark, d):
     return out.select("format", "n_rows", "sum_total", "n_priorities", "max_key")
 
 
+@workload("scan_columns_json", """
+SELECT o_orderkey, round(o_totalprice, 6) AS o_totalprice, CASE WHEN o_orderkey % 7 > 0 THEN o_orderpriority END AS o_orderpriority, o_orderkey % 3 = 0 AS third FROM orders
+""")
+def scan_columns_json(spark, d):
+    """Orders written as JSON objects of columns (one file a partition, some
+    cells null) and read back as rows."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.when(F.col("o_orderkey") % 7 > 0, F.col("o_orderpriority")).alias("o_orderpriority"),
+                                         (F.col("o_orderkey") % 3 == 0).alias("third"))
+    base = _scratch(spark)
+    # a file is one JSON value, which one task parses: many files rather than large ones
+    _write_per_partition(o.repartition(8), f"{base}/json", "json", "columns")
+    back = S.load_table(spark, f"{base}/json", "json")
+    return back.select("o_orderkey", r("o_totalprice"), "o_orderpriority", "third")
+
+
+@workload("scan_feather_batches", """
+SELECT o_orderpriority, count(*) AS n_rows, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders WHERE o_orderkey >= 500 GROUP BY 1
+""")
+def scan_feather_batches(spark, d):
+    """One Feather file read by many tasks, each some of its record batches,
+    and only the buffers of two of its columns."""
+    from foldwise.sources.feather import register
+
+    base = _scratch(spark)
+    _write_per_partition(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority").coalesce(1), f"{base}/f", "feather")
+    register(spark)
+    df = spark.read.format("feather").option("columns", "o_orderkey,o_orderpriority").option("partitionBytes", 1 << 14).load(f"{base}/f")
+    if df.rdd.getNumPartitions() < 2 or len(df.columns) != 2:
+        raise RuntimeError("the file is not split")
+    return df.filter("o_orderkey >= 500").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("o_orderkey").cast("bigint").alias("keys"))
+
+
 @workload("sink_predictions", """
 WITH o AS (SELECT o_orderkey FROM orders)
 SELECT kind, model, count(*) AS n_rows FROM (
