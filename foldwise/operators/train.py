@@ -223,10 +223,17 @@ def probe_importance(matrix: DataFrame, row_id: str, label: str, features: Seque
     """Mean importance per feature over 3 shuffled folds with default
     parameters: native tree importances, else permutation importance on each
     validation fold (3 repeats).  Returns ``(feature, importance)`` sorted
-    descending."""
+    descending.  Linear learners are fitted and permuted for all folds,
+    repeats and features in one job."""
     spark = matrix.sparkSession
     kind = STRATIFIED if task_kind == "classification" else KFOLD
     folded = assign_folds(matrix, row_id, k=3, kind=kind, seed=seed, y=label if kind == STRATIFIED else None)
+    by = metric or ("r2" if task_kind == "regression" else "accuracy")
+    if linear.supported(name, task_kind, n_classes, len(features)) and linear.permutable(by):
+        fd = prepare_folds(folded, row_id, label, features, 3, fold_kind=kind)
+        found = linear.permutation_importance(fd, linear.fit_folds(fd, name, [{}], task_kind)[0], by, seed)
+        return spark.createDataFrame(list(found.items()), "feature string, importance double").orderBy(F.desc("importance"), "feature")
+    folded = materialize(folded)  # read by every fold's fit
     totals = {f: 0.0 for f in features}
     for f in range(3):
         tr = assemble(folded.filter(F.col("fold") != f), features)

@@ -167,3 +167,23 @@ def search_ridge_trials(spark, d):
     pruned = search(spark, trials, False, prior_best=min(whole.scores) / 2, run_trial=one, table=kept, name="pruned", parallelism=3)
     status = spark.createDataFrame([("all", whole.status), ("pruned", pruned.status)], "search string, status string")
     return kept.read().join(F.broadcast(status), "search").select("search", "trial", F.round("score", DIGITS).alias("score"), "status")  # two rows
+
+
+@workload("permutation_importance", f"""
+WITH l AS (SELECT o_orderkey AS row_id, o_totalprice / 1000 AS y, CAST(o_custkey % 50 AS DOUBLE) AS a, CAST(month(o_orderdate) AS DOUBLE) / 100 AS b FROM orders),
+tr AS (SELECT *, (row_number() OVER (ORDER BY md5('42:' || CAST(row_id AS VARCHAR)), row_id) - 1) % 3 AS fold FROM l),
+{ridge_sql("g", "tr", "y", "a", "b", 1.0, folds="range(3)")},
+m AS (SELECT row_id, fold, y, a, b, row_number() OVER (PARTITION BY fold ORDER BY row_id) AS k FROM tr),
+p AS (SELECT s AS rep, fold, a AS pa, b AS pb, row_number() OVER (PARTITION BY fold, s ORDER BY md5((42 + s) || ':' || CAST(row_id AS VARCHAR)), row_id) AS k FROM tr, (SELECT unnest(range(3)) AS s)),
+e AS (SELECT m.fold, rep, sum(power(y - icept - ca * a - cb * b, 2)) AS e0, sum(power(y - icept - ca * pa - cb * b, 2)) AS ea, sum(power(y - icept - ca * a - cb * pb, 2)) AS eb, var_pop(y) * count(*) AS v
+  FROM m JOIN p ON m.fold = p.fold AND m.k = p.k JOIN g_m ON fit_fold = m.fold GROUP BY m.fold, rep)
+SELECT f AS feature, round(avg(CASE f WHEN 'a' THEN ea - e0 ELSE eb - e0 END / v), 8) AS importance FROM e, (VALUES ('a'), ('b')) t(f) GROUP BY f
+""")
+def permutation_importance(spark, d):
+    """Importance probe of a learner without native importances: ridge on
+    three folds, each feature permuted three times on each fold's own rows,
+    by the drop of R2."""
+    from foldwise.operators.train import probe_importance
+
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), (F.col("o_totalprice") / 1000).alias("y"), (F.col("o_custkey") % 50).cast("double").alias("a"), (F.month("o_orderdate") / 100).alias("b"))
+    return probe_importance(o, "row_id", "y", ["a", "b"], "Ridge", "regression", 0).select("feature", F.round("importance", 8).alias("importance"))
