@@ -264,6 +264,19 @@ def output_validate(spark, d):
     return O.validation_report(out, sample, "o_orderkey")
 
 
+@workload("output_validate_labels", """
+WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 > 0 THEN o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 13 > 0)
+SELECT false AS column_mismatch, CAST(0 AS BIGINT) AS row_count_diff, (SELECT count(*) FROM orders) - (SELECT count(o_orderstatus) FROM o) AS null_or_nan_cells,
+       CAST(0 AS BIGINT) AS infinite_cells, CAST(0 AS BIGINT) AS ids_missing, CAST(0 AS BIGINT) AS ids_extra
+""")
+def output_validate_labels(spark, d):
+    """Validation report of a label output: ids without a prediction and
+    predictions without a label both leave an empty cell."""
+    sample = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    preds = sample.filter("o_orderkey % 13 > 0").select("o_orderkey", F.when(F.col("o_orderkey") % 11 > 0, F.col("o_orderstatus")).alias("pred"))
+    return O.validation_report(O.build_output(sample, preds, "o_orderkey", ["o_orderstatus"]), sample, "o_orderkey")
+
+
 _HIST_SQL = """
 h AS (SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS iteration,
              'out_' || CAST(event_id AS VARCHAR) AS path, value / 100.0 AS cv_score,
