@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from foldwise.functions import columns as C
 from foldwise.operators.ordering import quantiles, with_trailing_window
+from foldwise.operators.sketches import column_sketches, quantile_estimates
 from foldwise.plans.spec import PLUGINS, FeatureOp, PlanError, Plugin
 from foldwise.session import lookup_join, size_checked_broadcast
 
@@ -192,7 +193,11 @@ def fit_immediate(train: DataFrame, ops: Sequence[FeatureOp]) -> FittedFeatures:
     freq = [(i, op) for i, op in enumerate(ops) if op.operation == "bin_equal_freq"]
     for i, op in freq:  # exact quantiles; per op because the bin counts differ
         src = train.select(C.as_double(op.columns[0]).alias("x"))
-        row[f"q{i}"] = quantiles(src, ["x"], _quantile_points(op.param("bins", 10)))["x"]
+        points = _quantile_points(op.param("bins", 10))
+        if op.param("approximate", 0):  # edges from a KLL sketch
+            row[f"q{i}"] = quantile_estimates(column_sketches(src, ["x"]), points).get("x", [None])
+        else:
+            row[f"q{i}"] = quantiles(src, ["x"], points)["x"]
         if row[f"q{i}"][0] is None:
             row[f"q{i}"] = None
     fitted = FittedFeatures(ops, {})

@@ -247,3 +247,37 @@ def time_series_text_dates(spark, d):
                                          (1990 + F.floor(F.col("o_orderkey") / 9000)).cast("int").alias("year"))
     res = P.time_series_columns(o, ["id"])
     return res.select("column", "as_type", "n_nonnull", r("share_nondecreasing"), "is_monotonic")
+
+
+@workload("sketches_within_error", """
+WITH l AS (SELECT 'l_orderkey' AS c, CAST(l_orderkey AS VARCHAR) AS v FROM lineitem UNION ALL SELECT 'l_extendedprice', CAST(l_extendedprice AS VARCHAR) FROM lineitem
+  UNION ALL SELECT 'l_shipdate', CAST(l_shipdate AS VARCHAR) FROM lineitem UNION ALL SELECT 'l_returnflag', CAST(l_returnflag AS VARCHAR) FROM lineitem
+  UNION ALL SELECT 'discount_or_null', CASE WHEN l_linenumber % 3 > 0 THEN CAST(l_discount AS VARCHAR) END FROM lineitem)
+SELECT c AS "column", count(*) AS n, count(*) - count(v) AS n_null, true AS distinct_within, CASE WHEN c IN ('l_orderkey', 'l_extendedprice', 'discount_or_null') THEN true END AS quartiles_within FROM l GROUP BY c
+""")
+def sketches_within_error(spark, d):
+    """HLL and KLL sketches of lineitem kept per file and merged: rows and
+    nulls, and whether distinct counts and the ranks of the quartiles lie
+    within the stated errors of the exact ones."""
+    from foldwise.operators import sketches as K
+    from foldwise.operators.ordering import value_counts
+    from foldwise.workloads.io import _scratch
+
+    base = _scratch(spark)
+    columns = ["l_orderkey", "l_extendedprice", "l_shipdate", "l_returnflag", "discount_or_null"]
+    li = table(spark, d, "lineitem").withColumn("discount_or_null", F.when(F.col("l_linenumber") % 3 > 0, F.col("l_discount"))).select(*columns)
+    li.repartition(4).write.parquet(f"{base}/l")
+    K.update_sketches(spark, f"{base}/l", columns, f"{base}/store")
+    kept = K.update_sketches(spark, f"{base}/l", columns, f"{base}/store")  # nothing new
+    back = spark.read.parquet(f"{base}/l")
+    exact, guess = P.distinct_counts(back, columns), K.distinct_estimates(kept)
+    probs = [0.25, 0.5, 0.75]
+    asked = [(c, p, q) for c, qs in K.quantile_estimates(kept, probs).items() for p, q in zip(probs, qs) if q is not None]
+    points = spark.createDataFrame(asked, "c string, p double, q double")  # three rows a column
+    numeric = sorted({c for c, _, _ in asked})
+    below = value_counts(back.select(*[F.col(c).cast("double").alias(c) for c in numeric]), numeric).join(F.broadcast(points), "c").groupBy("c", "p").agg(
+        (F.sum(F.when(F.col("v") < F.col("q"), F.col("cnt")).otherwise(0)) / F.sum("cnt")).alias("low"), (F.sum(F.when(F.col("v") <= F.col("q"), F.col("cnt")).otherwise(0)) / F.sum("cnt")).alias("high"))
+    ranks = below.groupBy(F.col("c").alias("column")).agg(F.bool_and((F.col("low") - K.RANK_ERROR <= F.col("p")) & (F.col("p") <= F.col("high") + K.RANK_ERROR)).alias("quartiles_within"))
+    close = spark.createDataFrame([(c, abs(guess[c] - exact[c]) <= K.DISTINCT_ERROR * max(1, exact[c])) for c in columns], "column string, distinct_within boolean")
+    counts = K.merged(kept).select("column", "n", "n_null")
+    return counts.join(close, "column").join(ranks, "column", "left").select("column", "n", "n_null", "distinct_within", "quartiles_within")
