@@ -176,7 +176,7 @@ def fit_immediate(train: DataFrame, ops: Sequence[FeatureOp]) -> FittedFeatures:
     ops = list(ops)
     for op in ops:
         if op.kind != "immediate":
-            raise PlanError(f"{op.operation!r} is in-fold only; it must not be fitted on full train")
+            raise PlanError(f"{op.operation!r} belongs to the folds: fitting it on every training row would leak the target")
         if op.operation == "tfidf_svd":
             raise PlanError("tfidf_svd is fitted by foldwise.operators.text")
     dtypes = dict(train.dtypes)

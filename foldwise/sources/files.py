@@ -73,7 +73,7 @@ def check_roles(resolved: DataFrame) -> dict[str, dict[str, str]]:
     for ds, roles in out.items():
         for need in ("train", "sample"):
             if need not in roles:
-                raise ResolveError(f"No {need} file found for dataset {ds!r}")
+                raise ResolveError(f"dataset {ds!r} lacks a file for the role {need!r}")
     return out
 
 
@@ -98,7 +98,7 @@ def load_table(spark: SparkSession, path: str, fmt: str | None = None, nrows: in
     elif fmt == "json":
         df = spark.read.option("multiLine", "true").json(path, schema=schema) if _json_shape(spark, path) == "[" else columns_json(spark, path, schema)
     else:
-        raise ValueError(f"Unsupported data format: .{fmt}")
+        raise ValueError(f"no reader for files of the kind {fmt!r}")
     df = nan_to_null(df)
     return first_rows(df, nrows) if nrows is not None else df
 
