@@ -191,12 +191,12 @@ def _linear_cv(fd: FoldData, name: str, models: list, test: DataFrame | None, te
     return CVResult(oof, models, fold_test)
 
 
-def linear_scores(fd: FoldData, name: str, params: Sequence[dict], labels: DataFrame, metric: str, task_kind: str) -> list[float]:
+def linear_scores(fd: FoldData, name: str, params: Sequence[dict], metric: str, task_kind: str) -> list[float]:
     """Out-of-fold scores of many parameter sets of a linear learner: one fit
     of all of them, one projection with a prediction a set, one aggregate."""
     fitted = linear.fit_folds(fd, name, params, task_kind)
-    each = linear.out_of_fold_all(fd, fitted, fd.row_id)
-    per_set = each.select(fd.row_id, F.posexplode("preds").alias("trial", "pred")).join(labels.select(fd.row_id, fd.label), fd.row_id)
+    each = linear.out_of_fold_all(fd, fitted, fd.row_id, keep=[fd.label])
+    per_set = each.select(fd.label, F.posexplode("preds").alias("trial", "pred"))
     found = {r["trial"]: r["score"] for r in score(per_set, metric, y=fd.label, group_by=["trial"]).collect()}
     return [found[t] for t in range(len(params))]
 

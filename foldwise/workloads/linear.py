@@ -163,7 +163,7 @@ def search_ridge_trials(spark, d):
         oof = run_cv(train, "row_id", "y", features, "Ridge", params, "regression", 0, k=5, prepared=fd).oof
         return score(oof.join(fd.wide.select("row_id", "y"), "row_id").withColumn("g", F.lit(1)), "rmse", group_by=["g"]).first()["score"]
 
-    whole = search(spark, trials, False, run_batch=lambda batch: linear_scores(fd, "Ridge", batch, fd.wide, "rmse", "regression"), table=kept, name="all")
+    whole = search(spark, trials, False, run_batch=lambda batch: linear_scores(fd, "Ridge", batch, "rmse", "regression"), table=kept, name="all")
     pruned = search(spark, trials, False, prior_best=min(whole.scores) / 2, run_trial=one, table=kept, name="pruned", parallelism=3)
     status = spark.createDataFrame([("all", whole.status), ("pruned", pruned.status)], "search string, status string")
     return kept.read().join(F.broadcast(status), "search").select("search", "trial", F.round("score", DIGITS).alias("score"), "status")  # two rows
