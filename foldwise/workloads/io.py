@@ -15,6 +15,10 @@ from foldwise.workloads.common import r, table, workload
 from foldwise.workloads.scoring import binary_preds
 
 
+#: Rows of one stand-in JSON file of columns.
+JSON_FILE_ROWS = 25_000
+
+
 def _scratch(spark) -> str:
     """A fresh directory under the shared checkpoint location."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
@@ -92,7 +96,7 @@ def scan_columns_json(spark, d):
                                          (F.col("o_orderkey") % 3 == 0).alias("third"))
     base = _scratch(spark)
     # a file is one JSON value, which one task parses: many files rather than large ones
-    _write_per_partition(o.repartition(8), f"{base}/json", "json", "columns")
+    _write_per_partition(o.repartition(max(8, -(-o.count() // JSON_FILE_ROWS))), f"{base}/json", "json", "columns")
     back = S.load_table(spark, f"{base}/json", "json")
     return back.select("o_orderkey", r("o_totalprice"), "o_orderpriority", "third")
 
