@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from foldwise.session import ensure_checkpoint_dir, prepare_session
+from foldwise.session import ensure_checkpoint_dir, prepare_session, size_checked_broadcast
 
 #: ASCII letters to lower case, every other ASCII byte that is no digit to a space; bytes from 0x80 on belong to words.
 ALNUM_TABLE = bytes(c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -82,13 +82,12 @@ class Buckets(dict):
         return value
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, *, label: str, columns: list[str], doc_id: str, text: str, rows: int, max_bytes: int, held_out: tuple[int, int]) -> DataFrame:
-    """At most ``rows`` labelled documents to learn from, the first by a hash of their id: ``columns`` and ``label``
-    (0 or 1).  Rows whose crc32 of the id is remainder ``held_out[1]`` modulo ``held_out[0]`` are never among them, nor
-    texts over ``max_bytes``.  A document labelled twice counts with the larger label; null labels and ids are left out."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, *, label: str, columns: list[str], doc_id: str, held_out: tuple[int, int]) -> DataFrame:
+    """All labelled documents to learn from: ``__id``, ``columns`` and ``label`` (0 or 1).  Rows whose crc32 of the id
+    is remainder ``held_out[1]`` modulo ``held_out[0]`` are never among them.  A document labelled twice counts with the
+    larger label; null labels and ids are left out."""
     known = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias(label)).filter(F.col(label).isin(0, 1) & F.col("__id").isNotNull())
     known = known.filter(crc_bucket("__id", held_out[0]) != held_out[1]).groupBy("__id").agg(F.max(label).alias(label))
-    chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(rows)
-    rest = docs.select(F.col(f"`{doc_id}`").alias("__id"), *[F.col(f"`{c}`") for c in columns]).filter(F.octet_length(F.col(f"`{text}`").cast("binary")) <= max_bytes)
-    # ``rows`` ids and labels: a bounded side
-    return rest.join(F.broadcast(chosen), "__id").dropDuplicates(["__id"])
+    known, _ = size_checked_broadcast(known)
+    rest = docs.select(F.col(f"`{doc_id}`").alias("__id"), *[F.col(f"`{c}`") for c in columns])
+    return rest.join(known, "__id")

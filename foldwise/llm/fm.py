@@ -1,4 +1,5 @@
-"""Quality classifier: a factorisation machine over hashed words, structure statistics and metadata.
+"""Quality classifier: a factorisation machine over hashed words, structure statistics and metadata, learnt from all
+labelled rows in shards.
 
 Scored in linear time by the sum-of-squares identity: the sum over pairs <v_i, v_j> x_i x_j is
 0.5 * sum over factors of ((sum v x)^2 - sum (v x)^2).
@@ -7,6 +8,7 @@ from collections import Counter
 from dataclasses import dataclass
 from itertools import islice
 from operator import eq
+from typing import Callable
 
 import numpy as np
 import xxhash
@@ -14,15 +16,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldwise.llm.common import Buckets, alnum_words, labelled_sample, per_text, space_words
+from foldwise.llm.averaging import averaged, deal, n_shards, packed, unpacked
+from foldwise.llm.common import Buckets, alnum_words, labelled_rows, per_text, space_words
+from foldwise.operators.ordering import quantiles
 
-SAMPLE_ROWS = 12_000
-SAMPLE_BYTES = 200_000
 WORD_BITS = 17
 FACTORS = 8
 BINS = 12
 THRESHOLD = 0.7
 HELD_OUT = (4, 2)
+#: Passes over the rows, minibatches at the least, rows of one, step size, pull to zero.
+EPOCHS, STEPS, BATCH, RATE, DECAY = 12, 300, 256, 0.15, 1e-4
 #: Structure statistics, then metadata: the declared length and how far it is from the real one.
 STATISTICS = ("log_words", "mean_word", "distinct", "upper", "symbols", "exclaims", "digits", "bars", "pairs", "top_word", "lines", "dup_lines", "log_declared", "declared_off")
 _UPPER = bytes(range(65, 91))
@@ -97,35 +101,52 @@ class FactorMachine:
         return 1 / (1 + np.exp(-np.clip(self.margin(*self.csr(words, np.array(stats)))[0], -30, 30)))
 
 
-def fit(words: list[np.ndarray], stats: np.ndarray, y: np.ndarray, epochs: int = 12, steps: int = 300, batch: int = 256, rate: float = 0.15, decay: float = 1e-4, seed: int = 5) -> FactorMachine:
+def _start(edges: np.ndarray, n: float, positive: float, rng) -> FactorMachine:
+    rows = (1 << WORD_BITS) + BINS * len(STATISTICS)
+    share = (positive + 1) / (n + 2)
+    return FactorMachine(float(np.log(share / (1 - share))), np.zeros(rows, np.float32), rng.normal(0, 0.02, (rows, FACTORS)).astype(np.float32), np.ascontiguousarray(edges))
+
+
+def _gradient_sums(model: FactorMachine) -> list:
+    return [np.full(model.w.shape, 1e-3, np.float32), np.full(model.v.shape, 1e-3, np.float32), 1.0]
+
+
+def _passes(n: int, epochs: int, steps: int, batch: int) -> int:
+    return max(epochs, -(-steps // -(-max(1, n) // batch)))
+
+
+def _pass(model: FactorMachine, sums: list, order: np.ndarray, words: Callable[[int], np.ndarray], stats: np.ndarray, y: np.ndarray, batch: int, rate: float, decay: float) -> None:
+    """AdaGrad steps over the rows in that order; ``sums`` holds the sums of squared gradients of w, v and bias."""
+    gw, gv, _ = sums
+    for at in range(0, len(order), batch):
+        pick = order[at:at + batch]
+        index, value, starts = model.csr([words(i) for i in pick], stats[pick])
+        margin, vx, total = model.margin(index, value, starts)
+        error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y[pick]) / len(pick)
+        each = np.repeat(error, np.diff(starts))
+        used, place = np.unique(index, return_inverse=True)
+        dw = np.bincount(place, each * value) + decay * model.w[used]
+        dv = each[:, None] * value[:, None] * (np.repeat(total, np.diff(starts), axis=0) - vx)
+        dv = np.stack([np.bincount(place, dv[:, f]) for f in range(FACTORS)], axis=1) + decay * model.v[used]
+        gw[used] += dw ** 2
+        gv[used] += dv ** 2
+        sums[2] += error.sum() ** 2
+        model.w[used] -= rate * dw / np.sqrt(gw[used])
+        model.v[used] -= 0.3 * rate * dv / np.sqrt(gv[used])
+        model.bias -= rate * error.sum() / np.sqrt(sums[2])
+
+
+def fit(words: list[np.ndarray], stats: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, decay: float = DECAY, seed: int = 5) -> FactorMachine:
     """Logistic loss by AdaGrad over minibatches, for ``epochs`` and at least ``steps`` of them.  One class alone gives a constant model at its smoothed share."""
     rng = np.random.default_rng(seed)
-    rows = (1 << WORD_BITS) + BINS * len(STATISTICS)
-    share = (y.sum() + 1) / (len(y) + 2)
     edges = np.quantile(stats, np.arange(1, BINS) / BINS, axis=0).T if len(y) else np.zeros((len(STATISTICS), BINS - 1))
-    model = FactorMachine(float(np.log(share / (1 - share))), np.zeros(rows, np.float32), rng.normal(0, 0.02, (rows, FACTORS)).astype(np.float32), np.ascontiguousarray(edges))
+    model = _start(edges, len(y), y.sum(), rng)
     if len(set(y.tolist())) < 2:
         model.v[:] = 0
         return model
-    gw, gv, gb = np.full(rows, 1e-3, np.float32), np.full((rows, FACTORS), 1e-3, np.float32), 1.0
-    for _ in range(max(epochs, -(-steps // -(-len(y) // batch)))):
-        order = rng.permutation(len(y))
-        for at in range(0, len(order), batch):
-            pick = order[at:at + batch]
-            index, value, starts = model.csr([words[i] for i in pick], stats[pick])
-            margin, vx, sums = model.margin(index, value, starts)
-            error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y[pick]) / len(pick)
-            each = np.repeat(error, np.diff(starts))
-            used, place = np.unique(index, return_inverse=True)
-            dw = np.bincount(place, each * value) + decay * model.w[used]
-            dv = each[:, None] * value[:, None] * (np.repeat(sums, np.diff(starts), axis=0) - vx)
-            dv = np.stack([np.bincount(place, dv[:, f]) for f in range(FACTORS)], axis=1) + decay * model.v[used]
-            gw[used] += dw ** 2
-            gv[used] += dv ** 2
-            gb += error.sum() ** 2
-            model.w[used] -= rate * dw / np.sqrt(gw[used])
-            model.v[used] -= 0.3 * rate * dv / np.sqrt(gv[used])
-            model.bias -= rate * error.sum() / np.sqrt(gb)
+    sums = _gradient_sums(model)
+    for _ in range(_passes(len(y), epochs, steps, batch)):
+        _pass(model, sums, rng.permutation(len(y)), words.__getitem__, stats, y, batch, rate, decay)
     return model
 
 
@@ -139,20 +160,45 @@ def _feature_worker():
 
     def work(rows):
         made = [features(*r) for r in rows]
-        return [(w.tobytes(), [float(x) for x in s]) for w, s in made]
+        return [(packed(w), [float(x) for x in s]) for w, s in made]
 
     return work
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", declared: str | None = "n_chars",
-                  sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, held_out: tuple[int, int] = HELD_OUT) -> FactorMachine:
-    """Learns from at most ``sample_rows`` labelled rows outside the held-out remainder, texts of at most
-    ``sample_bytes``; features are made by Spark, the fit of this bounded sample runs in numpy on the driver."""
+                  held_out: tuple[int, int] = HELD_OUT) -> FactorMachine:
+    """Learns from every labelled row outside the held-out remainder, whole texts: Spark makes the features and the
+    exact quantiles that bound the bins, and runs the passes on shards, whose models are averaged after each."""
+    rng = np.random.default_rng(5)
     columns = [text] + ([declared] if declared and declared in docs.columns else [])
-    sample = labelled_sample(docs, labels, label=label, columns=columns, doc_id=doc_id, text=text, rows=sample_rows, max_bytes=sample_bytes, held_out=held_out)
-    rows = sample.select("__id", label, per_text(_feature_worker, FEATURES)(_inputs(sample, text, declared)).alias("f")).select("__id", label, "f.words", "f.stats").toPandas()
-    rows = rows.sort_values("__id")
-    return fit([np.frombuffer(x, dtype=np.int32) for x in rows["words"]], np.array(rows["stats"].tolist(), dtype=float).reshape(len(rows), len(STATISTICS)), rows[label].to_numpy(dtype=float))
+    known = labelled_rows(docs, labels, label=label, columns=columns, doc_id=doc_id, held_out=held_out)
+    shards = n_shards(known, text)
+    made = known.select("__id", F.col(label).alias("y"), per_text(_feature_worker, FEATURES)(_inputs(known, text, declared)).alias("f"))
+    rows = deal(made.select("__id", "y", F.col("f.words").alias("words"), F.col("f.stats").alias("stats")), shards)
+    sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    n, positive = sum(sizes.values()), sizes.get(1, 0)
+    edges = np.zeros((len(STATISTICS), BINS - 1))
+    if len(sizes) > 1:
+        found = quantiles(rows.select(*[F.col("stats")[k].alias(name) for k, name in enumerate(STATISTICS)]), STATISTICS, [b / BINS for b in range(1, BINS)])
+        edges = np.array([found[name] for name in STATISTICS])
+    model = _start(edges, n, positive, rng)
+    if len(sizes) < 2:
+        model.v[:] = 0
+        return model
+    # a single shard makes its passes in one task; small shards make several a round
+    passes = _passes(n, EPOCHS, STEPS, BATCH)
+    rounds = min(passes, EPOCHS) if shards > 1 else 1
+
+    def move(parts, columns, rng):
+        bias, w, v, *sums = parts
+        own = FactorMachine(bias, w, v, edges)
+        stats, y = np.array(columns["stats"], dtype=float), np.array(columns["y"], dtype=float)
+        for _ in range(-(-passes // rounds)):
+            _pass(own, sums, rng.permutation(len(y)), lambda i: unpacked(columns["words"][i], np.int32), stats, y, BATCH, RATE, DECAY)
+        return [own.bias, own.w, own.v, *sums]
+
+    model.bias, model.w, model.v, *_ = averaged(rows.select("y", "words", "stats"), shards, [model.bias, model.w, model.v, *_gradient_sums(model)], rounds, move, seed=5)
+    return model
 
 
 def quality_scores(docs: DataFrame, model: FactorMachine, *, text: str = "text", declared: str | None = "n_chars", threshold: float = THRESHOLD, out: str = "quality") -> DataFrame:

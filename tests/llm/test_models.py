@@ -242,3 +242,28 @@ def test_visible_text_and_declared_language():
     assert language.visible_text(page).split() == [b"a", b"b", b"c", b"d", b"1", b"<", b"2"] and language.declared_language(page) == "de"
     assert language.visible_text(b"x<script>y<b>z").split() == [b"x", b"y", b"z"] and language.visible_text(b"a<!--b>c").split() == [b"a", b"c"]
     assert language.declared_language(b"<meta content=it property=og:locale><meta property='og:locale' content='pt_BR'>") == "pt" and language.declared_language(b"<html lang=engl>") is None
+
+
+def test_classifiers_learn_from_every_labelled_row(spark, monkeypatch):
+    """More rows than one shard, and long ones: a word of one late row moves the weights, wherever it stands."""
+    from foldwise.llm import averaging
+
+    monkeypatch.setattr(averaging, "SHARD_ROWS", 40)
+    rows = [(k, f"plain words of row {k} " + ("vile " if k % 3 == 0 else "") + "more " * (k % 7), "en", 30) for k in range(160)]
+    rows += [(160, "filler " * 40_000 + "lonely", "en", 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars int")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0), int(k % 3 == 0)) for k in range(160)] + [(160, 1, 1)], "doc_id long, quality int, toxic int")
+    known = labels.filter("crc32(cast(doc_id as string)) % 4 <> 2")
+    assert averaging.n_shards(docs.join(known, "doc_id"), "text") > 1
+    seen = []
+    shard_sum = averaging.shard_sum
+    monkeypatch.setattr(averaging, "shard_sum", lambda *a: seen.append(shard_sum(*a)) or seen[-1])
+    machine = fm.train_quality(docs, labels)
+    assert {found[0] for found in seen} == {known.count()}
+    model = textcnn.train_toxicity(docs, labels)
+    scored = textcnn.toxicity_scores(docs, model).join(labels, "doc_id").select("toxicity.score", "toxic").toPandas()
+    assert scored[scored.toxic == 1].score.mean() > 2 * scored[scored.toxic == 0].score.mean()
+    scored = fm.quality_scores(docs, machine).join(labels.withColumnRenamed("quality", "y"), "doc_id").select("quality.score", "y").toPandas()
+    assert scored[scored.y == 1].score.mean() > 2 * scored[scored.y == 0].score.mean()
+    if zlib.crc32(b"160") % 4 != 2:
+        assert np.any(machine.v[fm.bucket_of(b"lonely")] != fm._start(machine.edges, 0, 0, np.random.default_rng(5)).v[fm.bucket_of(b"lonely")])
