@@ -63,7 +63,7 @@ def update_sketches(spark: SparkSession, path: str, columns: Sequence[str], stor
         # a scan may write its paths otherwise than the listing: files meet by name where names tell them apart
         if len(set(names.values())) == len(new):
             table = F.create_map(*[x for f, n in names.items() for x in (F.lit(n), F.lit(f))])
-            made = column_sketches(rows, columns, table[F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)])
+            made = column_sketches(rows, columns, F.substring_index(F.col("_metadata.file_path"), "/", -1)).withColumn("file", table[F.col("file")])
         else:
             for f in new:
                 one = column_sketches(spark.read.schema(whole.schema).parquet(f), columns, F.lit(f))

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from foldwise.operators import profile as P
 from foldwise.workloads.common import r, table, workload
 
+#: Rows of a file of ``sketches_within_error``.
+SKETCH_FILE_ROWS = 1_000_000
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 
@@ -266,7 +269,8 @@ def sketches_within_error(spark, d):
     base = _scratch(spark)
     columns = ["l_orderkey", "l_extendedprice", "l_shipdate", "l_returnflag", "discount_or_null"]
     li = table(spark, d, "lineitem").withColumn("discount_or_null", F.when(F.col("l_linenumber") % 3 > 0, F.col("l_discount"))).select(*columns)
-    li.repartition(4).write.parquet(f"{base}/l")
+    # files that a task can write and sketch, however many rows there are
+    li.repartition(max(4, -(-li.count() // SKETCH_FILE_ROWS))).write.parquet(f"{base}/l")
     K.update_sketches(spark, f"{base}/l", columns, f"{base}/store")
     kept = K.update_sketches(spark, f"{base}/l", columns, f"{base}/store")  # nothing new
     back = spark.read.parquet(f"{base}/l")

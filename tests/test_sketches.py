@@ -46,3 +46,18 @@ def test_files_are_sketched_once(spark, monkeypatch):
     kept = K.update_sketches(spark, f"{base}/d", ["k"], f"{base}/store")
     assert len(calls) == 1 and kept.count() == 4 and K.merged(kept).first().n == 1500
     assert abs(K.distinct_estimates(kept)["k"] - 1500) <= 1500 * K.DISTINCT_ERROR
+
+
+def test_sketch_files_grow_with_the_rows(spark, monkeypatch):
+    """The query's files stay within a number of rows; they were four, however many rows there are."""
+    from foldwise.operators import sketches
+    from foldwise.workloads import profile
+
+    monkeypatch.setattr(profile, "SKETCH_FILE_ROWS", 500)
+    seen, update = [], sketches.update_sketches
+    monkeypatch.setattr(sketches, "update_sketches", lambda spark, path, *a: seen.append(path) or update(spark, path, *a))
+    sf = "/root/testdata/sf0.001"
+    got = profile.sketches_within_error(spark, sf).collect()
+    assert len(got) == 5 and all(r["distinct_within"] and r["quartiles_within"] in (True, None) for r in got)
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert rows > 2000 and len(spark.read.parquet(seen[0]).inputFiles()) == -(-rows // 500)
