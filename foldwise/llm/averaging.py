@@ -1,10 +1,11 @@
 """Models learnt from all rows: shards of them are learnt from in parallel, parameters are averaged after each round.
 
 Rows are dealt to shards by a hash of their id; their number follows from the rows and the length of their texts, so
-a task's share is bounded whatever the input.  The driver holds one model at a time.
+a task's share is bounded whatever the input.  The driver holds one model at a time; it goes out as a broadcast that
+ends with its round and comes back in small blocks, a partition of them at a time.
 """
 import zlib
-from typing import Callable, Iterator
+from typing import Callable, Iterable, Iterator
 
 import numpy as np
 from pyspark import TaskContext
@@ -17,6 +18,8 @@ from foldwise.session import materialize
 #: Rows, and bytes of text, of about one shard.
 SHARD_ROWS = 25_000
 SHARD_BYTES = 256 << 20
+#: Numbers of a block in which sums of vectors are handed on: no large object in the driver's JVM.
+CELLS = 1 << 15
 
 
 def n_shards(rows: DataFrame, text: str) -> int:
@@ -37,9 +40,9 @@ def unpacked(data: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), dtype=dtype)
 
 
-def shard_sum(rows: DataFrame, shards: int, work: Callable[[dict, int], tuple[float, np.ndarray]]) -> tuple[float, np.ndarray] | None:
-    """``work`` maps a shard's columns (lists by name) and its number to a weight and a vector; the sums of the weights
-    and of the weighted vectors.  None without rows."""
+def shard_sum(rows: DataFrame, shards: int, work: Callable[[dict, int], tuple[float, Iterable[np.ndarray]]]) -> tuple[float, list[np.ndarray]] | None:
+    """``work`` maps a shard's columns (lists by name) and its number to a weight and vectors; the sums of the weights
+    and of each weighted vector.  None without rows."""
     names = rows.columns
 
     def run(batches) -> Iterator:
@@ -48,42 +51,47 @@ def shard_sum(rows: DataFrame, shards: int, work: Callable[[dict, int], tuple[fl
             for n, column in zip(names, batch.columns):
                 held[n] += column.to_pylist()
         if held[names[0]]:
-            weight, vector = work(held, TaskContext.get().partitionId())
-            yield block_row(0, 0, 0, np.concatenate([[weight], weight * vector.astype(np.float64)])[None])
-
-    found = sum_blocks(rows.mapInArrow(run, BLOCK), tasks=shards).first()
-    if found is None:
+            weight, vectors = work(held, TaskContext.get().partitionId())
+            yield block_row(-1, 0, 0, np.array([[weight]]))
+            for k, vector in enumerate(vectors):
+                for at in range(0, max(1, len(vector)), CELLS):
+                    yield block_row(k, at, 0, weight * vector[None, at:at + CELLS].astype(np.float64))
+
+    parts: dict[int, dict[int, np.ndarray]] = {}
+    for row in sum_blocks(rows.mapInArrow(run, BLOCK), tasks=shards).toLocalIterator():
+        parts.setdefault(row["a"], {})[row["b"]] = np.frombuffer(row["block"])
+    if not parts:
         return None
-    total = np.frombuffer(found["block"])
-    return total[0], total[1:]
+    weight = parts.pop(-1)[0][0]
+    return weight, [np.concatenate([own[at] for at in sorted(own)]) for own in (parts.pop(k) for k in sorted(parts))]
 
 
-def flat(arrays: list) -> np.ndarray:
-    return np.concatenate([np.ravel(np.asarray(a, dtype=np.float64)) for a in arrays])
+def numbers(a) -> np.ndarray:
+    return np.ravel(np.asarray(a, dtype=np.float64))
 
 
-def shaped(vector: np.ndarray, like: list) -> list:
-    """Copies in the shapes and kinds of ``like``; numbers stay numbers."""
-    out, at = [], 0
-    for a in like:
-        size = np.size(a)
-        part = vector[at:at + size]
-        out.append(part.reshape(a.shape).astype(a.dtype) if isinstance(a, np.ndarray) else float(part[0]))
-        at += size
-    return out
+def shaped(vector: np.ndarray, like):
+    """In the shape and kind of ``like``; numbers stay numbers."""
+    return vector.reshape(like.shape).astype(like.dtype) if isinstance(like, np.ndarray) else float(vector[0])
 
 
 def averaged(rows: DataFrame, shards: int, start: list, rounds: int, learn: Callable[[list, dict, np.random.Generator], list], seed: int) -> list:
     """``learn`` moves a model (a list of arrays and numbers) by a shard's rows; after each round the shards' models
     become their mean, weighted by rows."""
     for turn in range(rounds):
-        def work(held, shard, model=start, turn=turn):
-            own = [a.copy() if isinstance(a, np.ndarray) else a for a in model]
+        model = rows.sparkSession.sparkContext.broadcast(start)
+
+        def work(held, shard, model=model, turn=turn):
+            own = learn([a.copy() if isinstance(a, np.ndarray) else a for a in model.value], held, np.random.default_rng([seed, turn, shard]))
             # what moved: the rows of words that a shard lacks are zeros, which shuffle as little
-            return float(len(next(iter(held.values())))), flat(learn(own, held, np.random.default_rng([seed, turn, shard]))) - flat(model)
+            return float(len(next(iter(held.values())))), (numbers(a) - numbers(b) for a, b in zip(own, model.value))
 
-        found = shard_sum(rows, shards, work)
+        try:
+            found = shard_sum(rows, shards, work)
+        finally:
+            model.destroy()
         if found is None:
             return start
-        start = shaped(flat(start) + found[1] / found[0], start)
+        weight, moved = found
+        start = [shaped(numbers(a) + d / weight, a) for a, d in zip(start, moved)]
     return start

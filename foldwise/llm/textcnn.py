@@ -302,9 +302,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id"
         return _constant(sum(both.values()), both.get(1, 0), rng)
 
     def count(columns, shard):
-        return 1.0, _row_counts((unpacked(x, np.int64) for x in columns["words"]), columns["y"]).ravel()
+        return 1.0, [_row_counts((unpacked(x, np.int64) for x in columns["words"]), columns["y"]).ravel()]
 
-    model = _init(shard_sum(learn, shards, count)[1].reshape(2, -1), n, positive, rng)
+    model = _init(shard_sum(learn, shards, count)[1][0].reshape(2, -1), n, positive, rng)
     # a single shard makes its passes in one task; small shards make several a round
     passes = _passes(n, EPOCHS, STEPS, BATCH)
     rounds = min(passes, EPOCHS) if shards > 1 else 1

@@ -267,3 +267,30 @@ def test_classifiers_learn_from_every_labelled_row(spark, monkeypatch):
     assert scored[scored.y == 1].score.mean() > 2 * scored[scored.y == 0].score.mean()
     if zlib.crc32(b"160") % 4 != 2:
         assert np.any(machine.v[fm.bucket_of(b"lonely")] != fm._start(machine.edges, 0, 0, np.random.default_rng(5)).v[fm.bucket_of(b"lonely")])
+
+
+def test_models_come_back_in_small_blocks(spark, monkeypatch):
+    """A model of many numbers is averaged exactly, and no row that the driver reads holds much of it."""
+    from foldwise.llm import averaging
+
+    rows = averaging.deal(spark.range(100).select(F.col("id").alias("__id"), F.col("id").cast("double").alias("y")), 3)
+    start = [np.arange(300_000, dtype=np.float32).reshape(3, -1), 0.5, np.zeros(7)]
+    sizes = []
+
+    def summed(blocks, tasks=None):
+        out = sum_blocks(blocks, tasks)
+        sizes.extend(r["n"] for r in out.select(F.length("block").alias("n")).collect())
+        return out
+
+    sum_blocks = averaging.sum_blocks
+    monkeypatch.setattr(averaging, "sum_blocks", summed)
+
+    def learn(parts, columns, rng):
+        mean = np.mean(columns["y"])
+        return [parts[0] + np.float32(mean > 0), parts[1] + mean, parts[2] + mean]
+
+    got = averaging.averaged(rows, 3, start, 2, learn, seed=1)
+    assert np.array_equal(got[0], start[0] + 2) and got[0].dtype == np.float32
+    assert math.isclose(got[1], 0.5 + 2 * 49.5) and np.allclose(got[2], 2 * 49.5)
+    assert max(sizes) <= 8 * averaging.CELLS
+    assert averaging.averaged(rows.filter("false"), 3, start, 1, learn, seed=1) is start
