@@ -8,11 +8,12 @@ import zlib
 from typing import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.operators.gram import BLOCK, block_row, sum_blocks
+from foldwise.operators.gram import FAN_IN
 from foldwise.session import materialize
 
 #: Rows, and bytes of text, of about one shard.
@@ -20,6 +21,12 @@ SHARD_ROWS = 25_000
 SHARD_BYTES = 256 << 20
 #: Numbers of a block in which sums of vectors are handed on: no large object in the driver's JVM.
 CELLS = 1 << 15
+#: Passes of a shard over its rows between two averages.
+PASSES = 2
+#: A piece of a vector: the vector's number, the piece's start and length, its weight, the places that are not zero as
+#: bits, the kind of their numbers and these.
+PART = "k int, at int, n int, weight double, places binary, kind string, block binary"
+PART_SCHEMA = pa.schema([("k", pa.int32()), ("at", pa.int32()), ("n", pa.int32()), ("weight", pa.float64()), ("places", pa.binary()), ("kind", pa.string()), ("block", pa.binary())])
 
 
 def n_shards(rows: DataFrame, text: str) -> int:
@@ -40,9 +47,46 @@ def unpacked(data: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), dtype=dtype)
 
 
+def part_row(k: int, at: int, weight: float, values: np.ndarray) -> pa.RecordBatch:
+    """The places of ``values`` that are not zero, and these in their own kind."""
+    there = values != 0
+    kept = np.ascontiguousarray(values[there])
+    row = (k, at, len(values), weight, np.packbits(there).tobytes(), kept.dtype.str, kept.tobytes())
+    return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, PART_SCHEMA)], schema=PART_SCHEMA)
+
+
+def there_and_values(n: int, places: bytes, kind: str, block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.unpackbits(np.frombuffer(places, np.uint8), count=n).astype(bool), np.frombuffer(block, kind)
+
+
+def _add(batches) -> Iterator[pa.RecordBatch]:
+    """For parts sorted by k and at: one part of weight 1 for each, the sum of all, each times its weight."""
+    now, total = None, None
+    for batch in batches:
+        for at in range(batch.num_rows):
+            part = {name: batch.column(name)[at].as_py() for name in PART_SCHEMA.names}
+            if (part["k"], part["at"]) != now:
+                if now is not None:
+                    yield part_row(*now, 1.0, total)
+                now, total = (part["k"], part["at"]), np.zeros(part["n"])
+            there, values = there_and_values(part["n"], part["places"], part["kind"], part["block"])
+            total[there] += part["weight"] * values
+    if now is not None:
+        yield part_row(*now, 1.0, total)
+
+
+def sum_blocks(parts: DataFrame, tasks: int | None = None) -> DataFrame:
+    """One part for each k and at: the weighted sum of all.  Those of many ``tasks`` are first added in groups."""
+    if tasks and tasks > FAN_IN:
+        group = F.pmod(F.spark_partition_id(), F.lit(max(2, int(tasks**0.5))))
+        parts = parts.withColumn("_group", group).repartition("k", "at", "_group").sortWithinPartitions("k", "at", "_group").drop("_group").mapInArrow(_add, PART)
+    return parts.repartition("k", "at").sortWithinPartitions("k", "at").mapInArrow(_add, PART)
+
+
 def shard_sum(rows: DataFrame, shards: int, work: Callable[[dict, int], tuple[float, Iterable[np.ndarray]]]) -> tuple[float, list[np.ndarray]] | None:
     """``work`` maps a shard's columns (lists by name) and its number to a weight and vectors; the sums of the weights
-    and of each weighted vector.  None without rows."""
+    and of each weighted vector.  Zeros are not shuffled, other numbers in the vector's own kind; sums are of doubles.
+    None without rows."""
     names = rows.columns
 
     def run(batches) -> Iterator:
@@ -52,24 +96,42 @@ def shard_sum(rows: DataFrame, shards: int, work: Callable[[dict, int], tuple[fl
                 held[n] += column.to_pylist()
         if held[names[0]]:
             weight, vectors = work(held, TaskContext.get().partitionId())
-            yield block_row(-1, 0, 0, np.array([[weight]]))
+            yield part_row(-1, 0, 1.0, np.array([weight]))
             for k, vector in enumerate(vectors):
                 for at in range(0, max(1, len(vector)), CELLS):
-                    yield block_row(k, at, 0, weight * vector[None, at:at + CELLS].astype(np.float64))
+                    yield part_row(k, at, weight, vector[at:at + CELLS])
 
-    parts: dict[int, dict[int, np.ndarray]] = {}
-    for row in sum_blocks(rows.mapInArrow(run, BLOCK), tasks=shards).toLocalIterator():
-        parts.setdefault(row["a"], {})[row["b"]] = np.frombuffer(row["block"])
-    if not parts:
+    found: dict[int, dict[int, tuple]] = {}
+    for row in sum_blocks(rows.mapInArrow(run, PART), shards).toLocalIterator():
+        found.setdefault(row["k"], {})[row["at"]] = (row["n"], bytes(row["places"]), row["kind"], bytes(row["block"]))
+    if not found:
         return None
-    weight = parts.pop(-1)[0][0]
-    return weight, [np.concatenate([own[at] for at in sorted(own)]) for own in (parts.pop(k) for k in sorted(parts))]
+    weight = float(np.frombuffer(found.pop(-1)[0][3])[0])
+    return weight, [_joined(found.pop(k)) for k in sorted(found)]
+
+
+def _joined(parts: dict[int, tuple]) -> np.ndarray:
+    out = np.zeros(sum(n for n, *_ in parts.values()))
+    for at in sorted(parts):
+        there, values = there_and_values(*parts.pop(at))
+        out[at:at + len(there)][there] = values
+    return out
 
 
 def numbers(a) -> np.ndarray:
     return np.ravel(np.asarray(a, dtype=np.float64))
 
 
+def moved(new, old) -> np.ndarray:
+    """What an array or number moved by, in the array's own kind."""
+    return np.ravel(new - old) if isinstance(new, np.ndarray) else numbers(new) - numbers(old)
+
+
+def rounds_of(passes: int, epochs: int, shards: int) -> int:
+    """A single shard makes its passes in one task; several meet after ``PASSES`` each, small ones after more."""
+    return max(1, min(passes, epochs) // PASSES) if shards > 1 else 1
+
+
 def shaped(vector: np.ndarray, like):
     """In the shape and kind of ``like``; numbers stay numbers."""
     return vector.reshape(like.shape).astype(like.dtype) if isinstance(like, np.ndarray) else float(vector[0])
@@ -77,14 +139,14 @@ def shaped(vector: np.ndarray, like):
 
 def averaged(rows: DataFrame, shards: int, start: list, rounds: int, learn: Callable[[list, dict, np.random.Generator], list], seed: int) -> list:
     """``learn`` moves a model (a list of arrays and numbers) by a shard's rows; after each round the shards' models
-    become their mean, weighted by rows."""
+    become their mean, weighted by rows.  A shard hands on what it moved, an array's numbers in the array's own kind."""
     for turn in range(rounds):
         model = rows.sparkSession.sparkContext.broadcast(start)
 
         def work(held, shard, model=model, turn=turn):
             own = learn([a.copy() if isinstance(a, np.ndarray) else a for a in model.value], held, np.random.default_rng([seed, turn, shard]))
-            # what moved: the rows of words that a shard lacks are zeros, which shuffle as little
-            return float(len(next(iter(held.values())))), (numbers(a) - numbers(b) for a, b in zip(own, model.value))
+            # the rows of words that a shard lacks have not moved
+            return float(len(next(iter(held.values())))), (moved(a, b) for a, b in zip(own, model.value))
 
         try:
             found = shard_sum(rows, shards, work)
@@ -92,6 +154,7 @@ def averaged(rows: DataFrame, shards: int, start: list, rounds: int, learn: Call
             model.destroy()
         if found is None:
             return start
-        weight, moved = found
-        start = [shaped(numbers(a) + d / weight, a) for a, d in zip(start, moved)]
+        weight, steps = found
+        start = [shaped(numbers(a) + d / weight, a) for a, d in zip(start, steps)]
+        del found, steps
     return start

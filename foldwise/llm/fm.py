@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldwise.llm.averaging import averaged, deal, n_shards, packed, unpacked
+from foldwise.llm.averaging import averaged, deal, n_shards, packed, rounds_of, unpacked
 from foldwise.llm.common import Buckets, alnum_words, labelled_rows, per_text, space_words
 from foldwise.operators.ordering import quantiles
 
@@ -185,9 +185,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id",
     if len(sizes) < 2:
         model.v[:] = 0
         return model
-    # a single shard makes its passes in one task; small shards make several a round
     passes = _passes(n, EPOCHS, STEPS, BATCH)
-    rounds = min(passes, EPOCHS) if shards > 1 else 1
+    rounds = rounds_of(passes, EPOCHS, shards)
 
     def move(parts, columns, rng):
         bias, w, v, *sums = parts

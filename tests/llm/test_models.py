@@ -294,3 +294,30 @@ def test_models_come_back_in_small_blocks(spark, monkeypatch):
     assert math.isclose(got[1], 0.5 + 2 * 49.5) and np.allclose(got[2], 2 * 49.5)
     assert max(sizes) <= 8 * averaging.CELLS
     assert averaging.averaged(rows.filter("false"), 3, start, 1, learn, seed=1) is start
+
+
+def test_shards_hand_on_what_moved_only(spark, monkeypatch):
+    """Numbers that a shard leaves as they are take a bit each, others of four bytes no more than these; shards meet after every second pass."""
+    from foldwise.llm import averaging
+
+    rows = averaging.deal(spark.range(100).select(F.col("id").alias("__id"), F.col("id").cast("double").alias("y")), 3)
+    start, sent = [np.ones(200_000, np.float32), 0.25], []
+
+    def summed(parts, tasks=None):
+        sent.append(parts.select(F.sum(F.length("places") + F.length("block"))).first()[0])
+        return sum_blocks(parts, tasks)
+
+    sum_blocks = averaging.sum_blocks
+    monkeypatch.setattr(averaging, "sum_blocks", summed)
+
+    def learn(parts, columns, rng):
+        parts[0][::10] += np.float32(0.5)
+        return [parts[0], parts[1] + 0.1]
+
+    got = averaging.averaged(rows, 3, start, 1, learn, seed=1)
+    assert got[0].dtype == np.float32 and np.all(got[0][::10] == 1.5) and np.all(got[0][1::10] == 1) and math.isclose(got[1], 0.35)
+    assert sent[0] < 3 * (20_000 * 4 + 25_000 + 100)
+    # three tasks at least are added in groups first
+    monkeypatch.setattr(averaging, "FAN_IN", 2)
+    assert np.array_equal(averaging.averaged(rows, 3, start, 1, learn, seed=1)[0], got[0])
+    assert [averaging.rounds_of(12, 12, s) for s in (1, 4)] == [1, 6] and averaging.rounds_of(1, 1, 4) == 1 and averaging.rounds_of(50, 6, 4) == 3
