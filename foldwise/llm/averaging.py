@@ -23,10 +23,10 @@ SHARD_BYTES = 256 << 20
 CELLS = 1 << 15
 #: Passes of a shard over its rows between two averages.
 PASSES = 2
-#: A piece of a vector: the vector's number, the piece's start and length, its weight, the places that are not zero as
-#: bits, the kind of their numbers and these.
-PART = "k int, at int, n int, weight double, places binary, kind string, block binary"
-PART_SCHEMA = pa.schema([("k", pa.int32()), ("at", pa.int32()), ("n", pa.int32()), ("weight", pa.float64()), ("places", pa.binary()), ("kind", pa.string()), ("block", pa.binary())])
+#: A piece of a vector: the vector's number, the piece's start and length, its weight, the places held as bits, the kind
+#: of their numbers and these; of a sum also the weight at each place held.
+PART = "k int, at int, n int, weight double, places binary, kind string, block binary, weights binary"
+PART_SCHEMA = pa.schema([("k", pa.int32()), ("at", pa.int32()), ("n", pa.int32()), ("weight", pa.float64()), ("places", pa.binary()), ("kind", pa.string()), ("block", pa.binary()), ("weights", pa.binary())])
 
 
 def n_shards(rows: DataFrame, text: str) -> int:
@@ -47,11 +47,10 @@ def unpacked(data: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), dtype=dtype)
 
 
-def part_row(k: int, at: int, weight: float, values: np.ndarray) -> pa.RecordBatch:
-    """The places of ``values`` that are not zero, and these in their own kind."""
-    there = values != 0
+def part_row(k: int, at: int, weight: float, values: np.ndarray, there: np.ndarray, weights: np.ndarray | None = None) -> pa.RecordBatch:
+    """The values of the places ``there``, in their own kind."""
     kept = np.ascontiguousarray(values[there])
-    row = (k, at, len(values), weight, np.packbits(there).tobytes(), kept.dtype.str, kept.tobytes())
+    row = (k, at, len(values), weight, np.packbits(there).tobytes(), kept.dtype.str, kept.tobytes(), None if weights is None else weights[there].tobytes())
     return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, PART_SCHEMA)], schema=PART_SCHEMA)
 
 
@@ -60,19 +59,20 @@ def there_and_values(n: int, places: bytes, kind: str, block: bytes) -> tuple[np
 
 
 def _add(batches) -> Iterator[pa.RecordBatch]:
-    """For parts sorted by k and at: one part of weight 1 for each, the sum of all, each times its weight."""
-    now, total = None, None
+    """For parts sorted by k and at: one part for each, the sum of all, each times its weight, and a weight for each place."""
+    now, total, weights = None, None, None
     for batch in batches:
         for at in range(batch.num_rows):
             part = {name: batch.column(name)[at].as_py() for name in PART_SCHEMA.names}
             if (part["k"], part["at"]) != now:
                 if now is not None:
-                    yield part_row(*now, 1.0, total)
-                now, total = (part["k"], part["at"]), np.zeros(part["n"])
+                    yield part_row(*now, 1.0, total, weights != 0, weights)
+                now, total, weights = (part["k"], part["at"]), np.zeros(part["n"]), np.zeros(part["n"])
             there, values = there_and_values(part["n"], part["places"], part["kind"], part["block"])
-            total[there] += part["weight"] * values
+            total[there] += part["weight"] * values.astype(np.float64)
+            weights[there] += part["weight"] if part["weights"] is None else np.frombuffer(part["weights"])
     if now is not None:
-        yield part_row(*now, 1.0, total)
+        yield part_row(*now, 1.0, total, weights != 0, weights)
 
 
 def sum_blocks(parts: DataFrame, tasks: int | None = None) -> DataFrame:
@@ -83,10 +83,10 @@ def sum_blocks(parts: DataFrame, tasks: int | None = None) -> DataFrame:
     return parts.repartition("k", "at").sortWithinPartitions("k", "at").mapInArrow(_add, PART)
 
 
-def shard_sum(rows: DataFrame, shards: int, work: Callable[[dict, int], tuple[float, Iterable[np.ndarray]]]) -> tuple[float, list[np.ndarray]] | None:
-    """``work`` maps a shard's columns (lists by name) and its number to a weight and vectors; the sums of the weights
-    and of each weighted vector.  Zeros are not shuffled, other numbers in the vector's own kind; sums are of doubles.
-    None without rows."""
+def shard_sum(rows: DataFrame, shards: int, work: Callable[[dict, int], tuple[float, Iterable]]) -> tuple[float, list[dict]] | None:
+    """``work`` maps a shard's columns (lists by name) and its number to a weight and vectors; the sum of the weights,
+    and for each vector what ``joined`` makes its weighted sum of.  A vector that comes with a mask is shuffled at the
+    mask's places only, one without where it is not zero, in its own kind; sums are of doubles.  None without rows."""
     names = rows.columns
 
     def run(batches) -> Iterator:
@@ -96,35 +96,46 @@ def shard_sum(rows: DataFrame, shards: int, work: Callable[[dict, int], tuple[fl
                 held[n] += column.to_pylist()
         if held[names[0]]:
             weight, vectors = work(held, TaskContext.get().partitionId())
-            yield part_row(-1, 0, 1.0, np.array([weight]))
+            yield part_row(-1, 0, 1.0, np.array([weight]), np.array([True]))
             for k, vector in enumerate(vectors):
+                vector, there = vector if isinstance(vector, tuple) else (vector, vector != 0)
                 for at in range(0, max(1, len(vector)), CELLS):
-                    yield part_row(k, at, weight, vector[at:at + CELLS])
+                    yield part_row(k, at, weight, vector[at:at + CELLS], there[at:at + CELLS])
 
     found: dict[int, dict[int, tuple]] = {}
     for row in sum_blocks(rows.mapInArrow(run, PART), shards).toLocalIterator():
-        found.setdefault(row["k"], {})[row["at"]] = (row["n"], bytes(row["places"]), row["kind"], bytes(row["block"]))
+        found.setdefault(row["k"], {})[row["at"]] = (row["n"], bytes(row["places"]), bytes(row["block"]), bytes(row["weights"]))
     if not found:
         return None
-    weight = float(np.frombuffer(found.pop(-1)[0][3])[0])
-    return weight, [_joined(found.pop(k)) for k in sorted(found)]
+    weight = float(np.frombuffer(found.pop(-1)[0][2])[0])
+    return weight, [found[k] for k in sorted(found)]
 
 
-def _joined(parts: dict[int, tuple]) -> np.ndarray:
-    out = np.zeros(sum(n for n, *_ in parts.values()))
+def joined(parts: dict[int, tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """The weighted sum of a vector and the weights at its places; takes the pieces."""
+    sums, weights = (np.zeros(sum(n for n, *_ in parts.values())) for _ in range(2))
     for at in sorted(parts):
-        there, values = there_and_values(*parts.pop(at))
-        out[at:at + len(there)][there] = values
-    return out
+        n, places, *blocks = parts.pop(at)
+        for out, block in zip((sums, weights), blocks):
+            there, values = there_and_values(n, places, "<f8", block)
+            out[at:at + n][there] = values
+    return sums, weights
 
 
 def numbers(a) -> np.ndarray:
     return np.ravel(np.asarray(a, dtype=np.float64))
 
 
-def moved(new, old) -> np.ndarray:
-    """What an array or number moved by, in the array's own kind."""
-    return np.ravel(new - old) if isinstance(new, np.ndarray) else numbers(new) - numbers(old)
+def moved(new, old) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of an array (in its own kind) or a number, and which of them moved."""
+    return (np.ravel(new) if isinstance(new, np.ndarray) else numbers(new)), numbers(new) != numbers(old)
+
+
+def _mean(old, weight: float, total: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The shards that did not move a number hold it as it was."""
+    total += (weight - weights) * numbers(old)
+    total /= weight
+    return total
 
 
 def rounds_of(passes: int, epochs: int, shards: int) -> int:
@@ -139,7 +150,7 @@ def shaped(vector: np.ndarray, like):
 
 def averaged(rows: DataFrame, shards: int, start: list, rounds: int, learn: Callable[[list, dict, np.random.Generator], list], seed: int) -> list:
     """``learn`` moves a model (a list of arrays and numbers) by a shard's rows; after each round the shards' models
-    become their mean, weighted by rows.  A shard hands on what it moved, an array's numbers in the array's own kind."""
+    become their mean, weighted by rows.  A shard hands on the numbers that it moved, an array's in its own kind."""
     for turn in range(rounds):
         model = rows.sparkSession.sparkContext.broadcast(start)
 
@@ -154,7 +165,6 @@ def averaged(rows: DataFrame, shards: int, start: list, rounds: int, learn: Call
             model.destroy()
         if found is None:
             return start
-        weight, steps = found
-        start = [shaped(numbers(a) + d / weight, a) for a, d in zip(start, steps)]
-        del found, steps
+        weight, vectors = found
+        start = [shaped(_mean(a, weight, *joined(parts)), a) for a, parts in zip(start, vectors)]
     return start

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldwise.llm.averaging import averaged, deal, n_shards, packed, rounds_of, shard_sum, unpacked
+from foldwise.llm.averaging import averaged, deal, joined, n_shards, packed, rounds_of, shard_sum, unpacked
 from foldwise.llm.common import Buckets, alnum_words, labelled_rows, per_text
 
 ROW_BITS = 18
@@ -304,7 +304,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id"
     def count(columns, shard):
         return 1.0, [_row_counts((unpacked(x, np.int64) for x in columns["words"]), columns["y"]).ravel()]
 
-    model = _init(shard_sum(learn, shards, count)[1][0].reshape(2, -1), n, positive, rng)
+    model = _init(joined(shard_sum(learn, shards, count)[1][0])[0].reshape(2, -1), n, positive, rng)
     passes = _passes(n, EPOCHS, STEPS, BATCH)
     rounds = rounds_of(passes, EPOCHS, shards)
 

@@ -317,6 +317,10 @@ def test_shards_hand_on_what_moved_only(spark, monkeypatch):
     got = averaging.averaged(rows, 3, start, 1, learn, seed=1)
     assert got[0].dtype == np.float32 and np.all(got[0][::10] == 1.5) and np.all(got[0][1::10] == 1) and math.isclose(got[1], 0.35)
     assert sent[0] < 3 * (20_000 * 4 + 25_000 + 100)
+    # a single shard's model is its own to the last bit, as are numbers that become zero
+    odd = np.random.default_rng(3).normal(size=50_000).astype(np.float32) * np.float32(1e3)
+    odd[::7] = 0
+    assert np.array_equal(averaging.averaged(rows.coalesce(1), 1, [np.full(50_000, 1e-3, np.float32)], 1, lambda *_: [odd], seed=1)[0], odd)
     # three tasks at least are added in groups first
     monkeypatch.setattr(averaging, "FAN_IN", 2)
     assert np.array_equal(averaging.averaged(rows, 3, start, 1, learn, seed=1)[0], got[0])
