@@ -47,15 +47,25 @@ def unpacked(data: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), dtype=dtype)
 
 
+def planes(values: np.ndarray) -> bytes:
+    """First bytes of all numbers, then second ones and so on, packed: exponents are much alike."""
+    values = np.ascontiguousarray(values)
+    return zlib.compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), 1)
+
+
+def from_planes(data: bytes, kind: str) -> np.ndarray:
+    held = np.frombuffer(zlib.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(held.T).view(kind).ravel()
+
+
 def part_row(k: int, at: int, weight: float, values: np.ndarray, there: np.ndarray, weights: np.ndarray | None = None) -> pa.RecordBatch:
     """The values of the places ``there``, in their own kind."""
-    kept = np.ascontiguousarray(values[there])
-    row = (k, at, len(values), weight, np.packbits(there).tobytes(), kept.dtype.str, kept.tobytes(), None if weights is None else weights[there].tobytes())
+    row = (k, at, len(values), weight, np.packbits(there).tobytes(), values.dtype.str, planes(values[there]), None if weights is None else planes(weights[there]))
     return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, PART_SCHEMA)], schema=PART_SCHEMA)
 
 
 def there_and_values(n: int, places: bytes, kind: str, block: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.unpackbits(np.frombuffer(places, np.uint8), count=n).astype(bool), np.frombuffer(block, kind)
+    return np.unpackbits(np.frombuffer(places, np.uint8), count=n).astype(bool), from_planes(block, kind)
 
 
 def _add(batches) -> Iterator[pa.RecordBatch]:
@@ -70,7 +80,7 @@ def _add(batches) -> Iterator[pa.RecordBatch]:
                 now, total, weights = (part["k"], part["at"]), np.zeros(part["n"]), np.zeros(part["n"])
             there, values = there_and_values(part["n"], part["places"], part["kind"], part["block"])
             total[there] += part["weight"] * values.astype(np.float64)
-            weights[there] += part["weight"] if part["weights"] is None else np.frombuffer(part["weights"])
+            weights[there] += part["weight"] if part["weights"] is None else from_planes(part["weights"], "<f8")
     if now is not None:
         yield part_row(*now, 1.0, total, weights != 0, weights)
 
@@ -107,7 +117,7 @@ def shard_sum(rows: DataFrame, shards: int, work: Callable[[dict, int], tuple[fl
         found.setdefault(row["k"], {})[row["at"]] = (row["n"], bytes(row["places"]), bytes(row["block"]), bytes(row["weights"]))
     if not found:
         return None
-    weight = float(np.frombuffer(found.pop(-1)[0][2])[0])
+    weight = float(from_planes(found.pop(-1)[0][2], "<f8")[0])
     return weight, [found[k] for k in sorted(found)]
 
 

@@ -321,6 +321,9 @@ def test_shards_hand_on_what_moved_only(spark, monkeypatch):
     odd = np.random.default_rng(3).normal(size=50_000).astype(np.float32) * np.float32(1e3)
     odd[::7] = 0
     assert np.array_equal(averaging.averaged(rows.coalesce(1), 1, [np.full(50_000, 1e-3, np.float32)], 1, lambda *_: [odd], seed=1)[0], odd)
+    for kind in (np.float32, np.float64):
+        for some in (odd.astype(kind), np.zeros(0, kind), np.array([np.nan, -0.0, np.inf], kind)):
+            assert averaging.from_planes(averaging.planes(some), some.dtype.str).tobytes() == some.tobytes()
     # three tasks at least are added in groups first
     monkeypatch.setattr(averaging, "FAN_IN", 2)
     assert np.array_equal(averaging.averaged(rows, 3, start, 1, learn, seed=1)[0], got[0])
